@@ -26,7 +26,8 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(reach):  # the first symbols packed in one number; past the end counts as the smallest symbol
         key <<= bits
-        key[: n - j] |= text[j:]
+        if j < n:
+            key[: n - j] |= text[j:]
     order = np.argsort(key, kind="stable")
     head = np.empty(n, bool)
     head[0] = True
