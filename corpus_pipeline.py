@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontaminate, jaccard_join, mixing, token_output, toxicity
-from ridgeline.llm.common import by_ids, materialize
+from ridgeline.llm.common import by_ids
 from ridgeline.llm.queries import TOXIC, tokenizer_path
+from ridgeline.operators.tables import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,7 @@
-"""What the operators of this package share: scratch tables, size-checked joins, byte-level text hashing."""
+"""What the operators of this package share: size-checked joins by id, byte-level text hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
@@ -11,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of a key table (tens of bytes each) that may be broadcast; more of them are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
+from ridgeline.operators.tables import few
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers import this package when only the driver's path has it."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -23,64 +19,17 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (``spark.checkpoint.dir``); local masters without one get a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/ridgeline/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to shared storage and reads it back: lineage ends there and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that ``materialize`` wrote and nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null is empty. ``lower`` equals that on pure ASCII and is far faster."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, UPPER.lower()))
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def by_ids(docs: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` on distinct ``ids``; the ids are broadcast only if a count shows that they are few."""
     return docs.join(F.broadcast(ids) if few(ids) else ids, column, how)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
-    """Left join with ``right``, which has one row for a key.
-
-    Keys with over 1/``share`` of the ``rows`` of ``left`` are fewer than ``share``, so their rows of ``right`` are
-    broadcast; all other keys go through a shuffle in which no key is large. Null keys stay unmatched.
-    """
-    if few(right):
-        return left.join(F.broadcast(right), key, "left")
-    hot = F.broadcast(left.groupBy(key).count().filter(F.col("count") * share > rows).select(key, F.lit(True).alias("_hot")))
-    marked = left.join(hot, key, "left")
-    big = marked.filter("_hot").drop("_hot").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
-    return big.unionByName(marked.filter("_hot is null").drop("_hot").join(right, key, "left"))
-
-
 # --- text as bytes ---------------------------------------------------------------------------------------------------
 #: Random odd base of the word hash, its inverse modulo 2**64, and a random value for each byte.
 BASE = 0x9E3779B97F4A7C15

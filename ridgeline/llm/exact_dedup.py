@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import fold_ascii, join_hot, materialize
+from ridgeline.llm.common import fold_ascii
+from ridgeline.operators.tables import join_hot, materialize
 
 #: Bits of one filter block: what Spark's bitmap functions hold in 4 KB.
 BLOCK_BITS = 32768

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import SPACED, by_ids, few, hash_words, join_hot, materialize, mix, prepare, slices, text_buffers
-from ridgeline.llm.components import components
+from ridgeline.llm.common import SPACED, by_ids, hash_words, mix, prepare, slices, text_buffers
+from ridgeline.operators.components import components
+from ridgeline.operators.tables import few, join_hot, materialize
 
 #: Groups of the points that leaves compare, and points of a leaf.
 GROUPS, LEAF = 64, 32

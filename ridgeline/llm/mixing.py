@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import few, materialize
+from ridgeline.operators.tables import few, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -8,7 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import UPPER, join_hot, materialize
+from ridgeline.llm.common import UPPER
+from ridgeline.operators.tables import join_hot, materialize
 
 
 class Rule(NamedTuple):
