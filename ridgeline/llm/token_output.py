@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -9,51 +11,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import prepare, scratch
+from ridgeline.llm.common import prepare
+from ridgeline.operators.tables import scratch
 
 _ENCODERS: dict[str, WordEncoder] = {}
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+#: Letters of one or two bytes that lower-case one to one and are composed, then ASCII symbols without the apostrophe.
+SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class Memory(dict):
+    """Remembers what was met lately: when the young generation is full it becomes the old one, and what is met again moves back."""
+
+    def __init__(self, limit: int):
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def known(self, key) -> bool:
+        return key in self or key in self.old
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordEncoder:
     """Encodes texts with the tokenizers library, remembering each piece between blanks.
 
-    This tokenizer drops blanks and never joins across them, so a text's ids are those of its pieces in turn. Pieces not
-    yet seen are encoded in one call a batch. Memory has two generations of ``limit`` pieces: when the young one is full
-    it becomes the old one, and what is met again moves back.
+    This tokenizer drops blanks and never joins across them, so a text's ids are those of its pieces in turn. A piece of
+    letters and symbols is those of its lower-cased letters, then of its symbols, which are remembered apart and reach the
+    library's byte-pair model without normalisation; any other piece is encoded by the whole tokenizer. What was not yet
+    seen is encoded in one call a batch.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 250_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces_seen, self.parts_seen = Memory(limit), Memory(2 * limit)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [self.pieces(t) for t in texts]
-        out = []
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = {p for own in pieces for p in own if p not in young}
-        for p in [p for p in new if p in old]:
-            young[p] = old[p]
-            new.discard(p)
-        fresh = list(new)
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[p] = np.array(e.ids, np.uint16).tobytes()
-        for own in pieces:
-            out.append(np.frombuffer(b"".join(map(young.__getitem__, own)), np.uint16))
-        return out
+        seen, parts = self.pieces_seen, self.parts_seen
+        seen.turn()
+        parts.turn()
+        new = {p for own in pieces for p in own if p not in seen}
+        split, other = [], []
+        for p in new:
+            if p in seen.old:
+                continue
+            m = SIMPLE.fullmatch(p)
+            if m is None:
+                other.append(p)
+            else:
+                split.append((p, m[1].lower(), m[2]))
+        fresh = list({w for _, *both in split for w in both if w and not parts.known(w)})
+        for source, found, out in ((self.words, fresh, parts), (self.whole, other, seen)):
+            for i in range(0, len(found), 10_000):
+                part = found[i : i + 10_000]
+                for p, e in zip(part, source.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    out[p] = array("H", e.ids).tobytes()
+        for p, letters, symbols in split:
+            seen[p] = parts[letters] + parts[symbols] if symbols else parts[letters]
+        return [np.frombuffer(b"".join([seen[p] for p in own]), np.uint16) for own in pieces]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Pieces between blanks; the few separators that Python splits at but the tokenizer does not keep a text whole."""
-        return [text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return [text] if SEPARATORS.search(text) else text.split()
 
 
 def encoder(path: str) -> WordEncoder:
