@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from zlib import crc32
@@ -18,8 +19,9 @@ _ENCODERS: dict[str, WordEncoder] = {}
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-#: Letters of one or two bytes that lower-case one to one and are composed, then ASCII symbols without the apostrophe.
-SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII symbols without the apostrophe, and letters that lower-case one to one and are composed.
+SYMBOLS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+COMPOSED = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
 
 class Memory(dict):
@@ -28,13 +30,6 @@ class Memory(dict):
     def __init__(self, limit: int):
         self.limit, self.old = limit, {}
 
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
-
-    def known(self, key) -> bool:
-        return key in self or key in self.old
-
     def turn(self) -> None:
         if len(self) > self.limit:
             self.old = dict(self)
@@ -50,7 +45,7 @@ class WordEncoder:
     seen is encoded in one call a batch.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -58,24 +53,40 @@ class WordEncoder:
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.pieces_seen, self.parts_seen = Memory(limit), Memory(2 * limit)
+        self.pieces_seen, self.parts_seen = Memory(limit), Memory(limit)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self.pieces(t) for t in texts]
+        gc.disable()  # no cycles arise here, and the collector would walk the memories again and again
+        try:
+            return self._encode([self.pieces(t) for t in texts])
+        finally:
+            gc.enable()
+
+    def _encode(self, own: list[list[str]]) -> list[np.ndarray]:
+        flat = [p for x in own for p in x]
         seen, parts = self.pieces_seen, self.parts_seen
         seen.turn()
         parts.turn()
-        new = {p for own in pieces for p in own if p not in seen}
+        ids = list(map(seen.get, flat))
+        gaps = [i for i, v in enumerate(ids) if v is None]
         split, other = [], []
-        for p in new:
-            if p in seen.old:
+        for p in {flat[i] for i in gaps}:
+            v = seen.old.get(p)
+            if v is not None:
+                seen[p] = v
                 continue
-            m = SIMPLE.fullmatch(p)
-            if m is None:
+            letters = p.rstrip(SYMBOLS)
+            if letters.isalpha() and (letters.isascii() or COMPOSED.fullmatch(letters)):
+                split.append((p, letters.lower(), p[len(letters) :]))
+            else:
                 other.append(p)
+        fresh = []
+        for w in {w for _, *both in split for w in both}:
+            v = parts.get(w) or parts.old.get(w)
+            if v is None and w:
+                fresh.append(w)
             else:
-                split.append((p, m[1].lower(), m[2]))
-        fresh = list({w for _, *both in split for w in both if w and not parts.known(w)})
+                parts[w] = v or b""
         for source, found, out in ((self.words, fresh, parts), (self.whole, other, seen)):
             for i in range(0, len(found), 10_000):
                 part = found[i : i + 10_000]
@@ -83,7 +94,13 @@ class WordEncoder:
                     out[p] = array("H", e.ids).tobytes()
         for p, letters, symbols in split:
             seen[p] = parts[letters] + parts[symbols] if symbols else parts[letters]
-        return [np.frombuffer(b"".join([seen[p] for p in own]), np.uint16) for own in pieces]
+        for i in gaps:
+            ids[i] = seen[flat[i]]
+        out, at = [], 0
+        for x in own:
+            out.append(np.frombuffer(b"".join(ids[at : at + len(x)]), np.uint16))
+            at += len(x)
+        return out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
