@@ -376,3 +376,19 @@ def test_learning_contract(spark):
     assert out.filter("prediction = label").count() == 120 and len(out.first().embedding) == len(names)
     a = learning.reconstruction_error(features.split_rows(x, "label", "alert_id"), names[:6], 2)
     assert a.filter("anomaly < 0").count() == 0
+
+
+def test_isolation_and_ward(spark):
+    from ridgeline.operators import anomaly
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(200, 2)), [[9.0, 9.0]]])
+    df = spark.createDataFrame([(i, float(a), float(b), int(i == 200)) for i, (a, b) in enumerate(x)], "alert_id int, a double, b double, label int")
+    got = anomaly.isolation_scores(df, ["a", "b"], "label = 0", trees=30).collect()
+    assert max(got, key=lambda r: r.isolation).alert_id == 200 and all(0 <= r.isolation <= 1 for r in got)
+    points = np.array([[0, 0], [0.5, 0], [0, 0.5], [5, 5], [5.4, 5], [20, 0]], float)
+    assert anomaly.merge_labels(points, 1.5).tolist() == [0, 0, 0, 1, 1, 2]
+    g = spark.createDataFrame([("k", i, *map(float, p)) for i, p in enumerate(points)], "g string, alert_id int, a double, b double")
+    assert [r.cluster for r in anomaly.agglomerative(g, ["a", "b"], "g").orderBy("alert_id").collect()] == [0, 0, 0, 1, 1, 2]
+    p = anomaly.fused_probability(anomaly.isolation_scores(df, ["a", "b"], "label = 0", trees=5)).filter("label = 1").first()
+    assert p.prediction == 1 and p.probability > 0.9

@@ -142,3 +142,18 @@ def test_stream_gate_keeps_counts_across_batches(spark, tmp_path):
     assert sum(r == "rare_relationship" for _, r in got.values()) == 10
     batch = gate.gate(spark.read.parquet(str(tmp_path / "in")), "rel_key", ["ts", "alert_id"], F.col("attack"))
     assert batch.filter("store").count() == 10
+
+
+def test_generator_is_reproducible_and_overlaps(spark):
+    from ridgeline.sources import generator
+
+    a = generator.generate(spark, 300, 10, seed=7, profile="hard")
+    assert a.columns == list(readers.K.FALCON_COLUMNS)
+    rows = sorted(map(tuple, a.collect()))
+    assert rows == sorted(map(tuple, generator.generate(spark, 300, 10, seed=7, profile="hard").collect())) and rows != sorted(map(tuple, generator.generate(spark, 300, 10, seed=8, profile="hard").collect()))
+    s = generator.summarize(a).first()
+    assert (s.alerts, s.incidents) == (300, 10) and 60 <= s.incident_alerts <= 120 and len({r[0] for r in rows}) == 300
+    by = {k: {r[7] for r in rows if r[9] == k} for k in "01"}
+    assert len(by["0"] & by["1"]) >= 2
+    with pytest.raises(ValueError):
+        generator.generate(spark, profile="odd")
