@@ -18,8 +18,8 @@ from ridgeline.operators.tables import materialize
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of being toxic reaches ``TOXIC``."""
-    labelled, names = toxicity.category_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.toxicity_scores(docs, toxicity.train(labelled, names), out="_toxicity")
+    model = toxicity.train_by_language(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.toxicity_scores(docs, model, out="_toxicity")
     return scored.filter(F.element_at("_toxicity", -1) < TOXIC).select(*docs.columns)
 
 

@@ -26,8 +26,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    labelled, names = toxicity.category_labels(docs, labels)
-    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), toxicity.train(labelled, names))
+    names = list(toxicity.CATEGORIES)
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), toxicity.train_by_language(docs, labels))
     parts = [F.col("toxicity")[i].alias(f"p_{n}") for i, n in enumerate(names)]
     return scored.select("doc_id", "toxicity").select("doc_id", *parts).withColumn("toxic", F.col(f"p_{names[-1]}") >= TOXIC)
 

@@ -124,28 +124,29 @@ def fit_chain(features: Sequence[np.ndarray], labels: np.ndarray, categories: Se
     return ChainModel(tuple(categories), {int(used[j]): i for i, j in enumerate(order)}, tuple(weights))
 
 
-def train(labelled: DataFrame, categories: Sequence[str], max_rows: int = 8_000, max_words: int = 4_000) -> ChainModel:
-    """Fits the chain on a bounded sample: the ``max_rows`` rows of ``labelled`` (doc_id, text, categories) whose id hashes lowest.
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], extra: Sequence[str] = (), max_rows: int = 5_000, max_words: int = 4_000) -> ChainModel:
+    """Fits the chain on a bounded sample: documents of the ``max_rows`` rows of ``labels`` whose doc_id hashes lowest.
 
-    Of a training text of over ``max_words`` distinct features an even share by hash is used, so what reaches the driver
-    is bounded; scoring always takes whole texts. Null labels count as 0.
+    ``categories`` are SQL conditions, in chain order, over the columns of ``labels`` and the columns ``extra`` of ``docs``,
+    which are used for targets only. The sample is drawn from the labels and broadcast, so texts don't shuffle. Of a
+    training text of over ``max_words`` distinct features an even share by hash is used, so what reaches the driver is
+    bounded; scoring always takes whole texts. Null conditions count as 0; labels without a document are skipped.
     """
-    prepare(labelled.sparkSession)
-    rows = labelled.select("doc_id", "text", *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories)])
-    # ids are chosen before texts are touched
-    sample = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_rows).select("doc_id").distinct()
-    picked = rows.join(F.broadcast(sample), "doc_id", "left_semi")
+    prepare(docs.sparkSession)
+    sample = labels.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    joined = docs.select("doc_id", "text", *extra).join(F.broadcast(sample), "doc_id")
+    picked = joined.select("doc_id", "text", *[F.coalesce(F.expr(c).cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())])
     names = [f"y{i}" for i in range(len(categories))]
 
     def features(batches):
         memo: dict = {}
         for p in batches:
-            found = [np.sort(np.fromiter(document_features(t, memo), np.int64)) for t in p["text"]]
-            found = [f if len(f) <= max_words else f[np.argsort(f * 2654435761 % BUCKETS, kind="stable")[:max_words]] for f in found]
+            found = [np.sort(np.fromiter(document_features(t, memo), np.int32)) for t in p["text"]]
+            found = [f if len(f) <= max_words else f[np.argsort(f * np.int64(2654435761) % BUCKETS, kind="stable")[:max_words]] for f in found]
             yield pd.DataFrame({"doc_id": p["doc_id"], **{n: p[n] for n in names}, "features": found})
 
-    got = picked.mapInPandas(features, "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", features array<long>").toPandas().sort_values(["doc_id", *names], kind="stable")
-    return fit_chain([np.asarray(f, np.int64) for f in got["features"]], got[names].to_numpy(np.int64).reshape(len(got), len(names)), categories)
+    got = picked.mapInPandas(features, "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", features array<int>").toPandas().sort_values(["doc_id", *names], kind="stable")
+    return fit_chain([np.asarray(f, np.int32) for f in got["features"]], got[names].to_numpy(np.int64).reshape(len(got), len(names)), list(categories))
 
 
 _MEMO: dict[str, tuple[int, int]] = {}
@@ -172,9 +173,9 @@ def toxicity_scores(docs: DataFrame, model: ChainModel, text_col: str = "text",
 LANGUAGES = ("en", "de", "es", "fr")
 
 
-def category_labels(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Labelled texts with the chain's categories in order; the language is used for training targets only, never as an input."""
-    toxic = F.col("toxic").cast("int") == 1
-    rows = docs.select("doc_id", "text", "lang").join(labels.select("doc_id", "toxic").filter("toxic is not null"), "doc_id")
-    names = [f"toxic_{x}" for x in LANGUAGES]
-    return rows.select("doc_id", "text", *[(toxic & (F.col("lang") == x)).alias(n) for x, n in zip(LANGUAGES, names, strict=True)], toxic.alias("toxic")), [*names, "toxic"]
+CATEGORIES = {f"toxic_{x}": f"toxic = 1 and lang = '{x}'" for x in LANGUAGES} | {"toxic": "toxic = 1"}
+
+
+def train_by_language(docs: DataFrame, labels: DataFrame) -> ChainModel:
+    """The chain of ``CATEGORIES`` from labels (doc_id, toxic); the language decides training targets, never a score."""
+    return train(docs, labels.select("doc_id", "toxic").filter("toxic is not null"), CATEGORIES, ("lang",))

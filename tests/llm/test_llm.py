@@ -498,10 +498,10 @@ def test_toxicity_chain_finds_planted_documents(spark):
 
 
 def test_toxicity_labels_of_one_kind_and_empty_tables(spark):
-    labelled = frame(spark, ["a b", "c d"]).select("doc_id", "text", F.lit(0).alias("toxic"))
-    model = toxicity.train(labelled, ["toxic"])
+    docs, labels = frame(spark, ["a b", "c d"]), spark.createDataFrame([(0, 0), (1, None), (9, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, {"toxic": "toxic = 1"})
     assert toxicity.toxicity_scores(frame(spark, ["idiot"]), model).first().toxicity[0] < 0.5
-    empty = toxicity.train(labelled.limit(0), ["toxic"])
+    empty = toxicity.train(docs, labels.limit(0), {"toxic": "toxic = 1"})
     assert toxicity.toxicity_scores(frame(spark, []), empty).count() == 0
 
 
