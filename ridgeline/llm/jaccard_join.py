@@ -7,7 +7,9 @@ of coordinate differences, and the sum of coordinate minima bounds their overlap
 1. slabs of size: partners lie in the same slab or the next;
 2. cells: a slab cuts the groups into more blocks than d, so partners have equal counts throughout at least one block.
    Points meet in a cell if slab, block and all counts of the block agree. A node of this level is thus a box without
-   extent in its block; finding it is a hash lookup, which Spark does by a shuffle;
+   extent in its block; finding it is a hash lookup, which Spark does by a shuffle. A block without any rare shingle says
+   little, since passages that many documents share fill it alike. There are s more blocks than needed, so a set with
+   no more than s such blocks leaves their cells out: partners of which one does so agree in another block, too;
 3. leaves: cells that share points form candidate groups, small but for true families of near copies. Inside one, points
    are packed into leaves with upper corners, and pairs are dropped by the summed minima of corner and point, then of
    both points; what survives is verified on the sets.
@@ -29,8 +31,6 @@ from ridgeline.operators.tables import few, join_hot, materialize
 
 #: Groups of the points that leaves compare, and points of a leaf.
 GROUPS, LEAF = 64, 32
-#: Random values of the 4,096 groups of a block; their sum over a block's elements stands for the block's counts.
-GROUP_VALUES = np.random.default_rng(20240301).integers(0, 1 << 63, 4096, dtype=np.uint64)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -57,10 +57,15 @@ class Rule:
             out.append(max(out[-1] + 1, (out[-1] - 1) * self.den // self.num + 1))
         return np.array([*out, max(out[-1] + 1, (out[-1] - 1) * self.den // self.num + 1)], np.int64)
 
-    def blocks(self, slabs: np.ndarray) -> np.ndarray:
-        """For each slab one more block than the greatest difference of linked sets, the larger of which is in it."""
+    def differences(self, slabs: np.ndarray) -> np.ndarray:
+        """For each slab the greatest difference of linked sets, the larger of which is in it."""
         d = self.distance
-        return np.array([int(2 * (s - 1) * d) + 1 for s in slabs[1:].tolist()], np.int64)
+        return np.array([int(2 * (s - 1) * d) for s in slabs[1:].tolist()], np.int64)
+
+    def blocks(self, slabs: np.ndarray) -> np.ndarray:
+        """For each slab the number of blocks: more than the greatest difference, by a twelfth and one."""
+        d = self.differences(slabs)
+        return d + 1 + -(-d // 12)
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> list[np.ndarray]:
@@ -101,34 +106,45 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> np.uint64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.int32)
 
 
-def cells(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of every set, as (number of the set, cell): for its own slab, and for the next, where larger partners are."""
+def cells(sets: list[np.ndarray], rule: Rule, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of every set, as (number of the set, cell): for its own slab, and for the next, where larger partners are.
+
+    ``common`` holds the shingles that don't count as rare, sorted; it decides how many cells there are, never which links
+    are found. A cell's key is a hash of slab, block and the sum of the random values of the block's groups, of which
+    there are as many as hashes.
+    """
     size = np.array([len(s) for s in sets], np.int64)
     if not size.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     slabs = rule.slabs(int(size.max()))
-    blocks = rule.blocks(slabs)
+    blocks, most = rule.blocks(slabs), rule.differences(slabs)
     own = np.searchsorted(slabs, size, "right") - 1
     flat = np.concatenate(sets)
+    rare = np.ones(len(flat), bool) if not len(common) else common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat
     doc = np.repeat(np.arange(len(sets)), size)
-    value = GROUP_VALUES[(flat >> np.uint64(8)).astype(np.int64) & 4095]
+    value = mix(flat ^ _C)
     halves = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
     spread = (flat >> np.uint64(32)).astype(np.int64)
     owners, keys = [], []
     with np.errstate(over="ignore"):
         for step in (0, 1):
             slab = own + step
-            m = np.where((size > 0) & (blocks[slab] > 1), blocks[slab], 0)  # one block: only equal sets can link
+            m = np.where((size > 0) & (most[slab] > 0), blocks[slab], 0)  # no difference: only equal sets can link
             at = np.concatenate(([0], np.cumsum(m)))
             use = m[doc] > 0
             d = doc[use]
             where = at[d] + spread[use] % m[d]
-            low, high = (np.bincount(where, h[use], int(at[-1])).astype(np.uint64) for h in halves)
+            n = int(at[-1])
+            low, high = (np.bincount(where, h[use], n).astype(np.uint64) for h in halves)
+            weak = np.bincount(where[rare[use]], minlength=n) == 0
             owner = np.repeat(np.arange(len(sets)), m)
-            block = (np.arange(int(at[-1])) - at[owner]).astype(np.uint64)
+            block = (np.arange(n) - at[owner]).astype(np.uint64)
             key = mix(mix(low * _A + high * _B + block * _C) + slab[owner].astype(np.uint64) * _A)
-            owners.append(owner)
-            keys.append(key.view(np.int64))
+            # linked sets have m - most equal blocks at least; if either has fewer weak ones, they meet in a strong one
+            all_ = np.bincount(owner[weak], minlength=len(sets)) >= m - most[slab]
+            keep = ~weak | all_[owner]
+            owners.append(owner[keep])
+            keys.append(key[keep].view(np.int64))
     return np.concatenate(owners), np.concatenate(keys)
 
 
@@ -206,16 +222,44 @@ def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
     return _text_rows(docs).mapInArrow(build, "doc_id long, n_shingles long, set long")
 
 
-def cell_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+def common_shingles(docs: DataFrame, rule: Rule, least: int = 32, most: int = 1_000_000, run: int = 4_000_000) -> np.ndarray:
+    """Sorted shingles of many different sets, from all documents: counts of those that repeat within a run of about ``run``
+    shingles are summed and kept from ``least`` on, the ``most`` commonest of them (8 MB). Missing one costs time only."""
+
+    def build(batches):
+        held, n = {}, 0
+
+        def flush():
+            h, c = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], ["shingle", "n"])
+
+        for b in batches:
+            for _, _, sets in _each_set(b, rule):
+                held.update((set_key(s), s) for s in sets if len(s))
+                n = sum(map(len, held.values()))
+                if n >= run:
+                    yield flush()
+                    held, n = {}, 0
+        if held:
+            yield flush()
+
+    counts = _text_rows(docs).mapInArrow(build, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def cell_rows(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
     """(cell, set). Of sets that meet in a cell within a run of rows only the first goes on; the others get a cell of their own with it,
     so a family of near copies that is a third of all rows sends a few rows a run, not one per copy and cell."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
     def build(batches):
         for batch in batches:
             for _, _, sets in _each_set(batch, rule):
                 keys = np.array([set_key(s) for s in sets], np.int64)
                 _, once = np.unique(keys, return_index=True)
-                owner, cell = cells([sets[i] for i in once], rule)
+                owner, cell = cells([sets[i] for i in once], rule, shared.value)
                 keys = keys[once]
                 order = np.lexsort((owner, cell))
                 owner, cell = owner[order], cell[order]
@@ -328,12 +372,12 @@ def group_links(sets: DataFrame, rule: Rule, capacity: int) -> DataFrame:
     return first.unionByName(materialize(second, "links"))
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles (size of the set), component_id (least doc_id reachable by links, itself included).
 
     Words are runs without blanks, A-Z lower-cased; a document's set holds its distinct shingles of ``rule.words`` words, or
     the whole sequence if it has fewer. Equal sets are searched once, however many documents have them. Texts are read
-    three times (sets, cells, and the shingles of those sets that met others), so no table of all shingles is ever kept.
+    four times (sets, common shingles, cells, and the shingles of those sets that met others), so no table of all shingles is ever kept.
     ``capacity`` is the number of shingles that a task compares at a time; it bounds memory and drops nothing.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows with a null id have no component. Rows
@@ -343,7 +387,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 500
     table = materialize(set_table(docs, rule), "sets")
     count = table.count()
     reps = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    met = materialize(meetings(cell_rows(docs, rule)), "met")
+    met = materialize(meetings(cell_rows(docs, rule, common_shingles(docs, rule))), "met")
     roots = materialize(components(met), "roots")
     active = roots.select(F.col("node").alias("set"), "root").unionByName(roots.select(F.col("root").alias("set"), "root").distinct())
     active = materialize(active.join(reps, "set").filter("rep is not null"), "active")
