@@ -37,7 +37,7 @@ def generate(spark: SparkSession, alerts: int = 2_000, incidents: int = 20, seed
         raise ValueError(f"profile must be one of {sorted(SEVERITY_WEIGHTS)}")
     host = lambda *k: F.concat(F.lit("AID-"), _draw(seed, hosts, *k).cast("string"))
     user = lambda *k: F.concat(F.lit("USER-"), _draw(seed, users, *k).cast("string"))
-    tactics = [t for t in K.ATTACK_CHAINS[0]]
+    tactics = K.ATTACK_CHAINS[0]
     day = F.lit("2026-01-01 00:00:00").cast("timestamp")
     later = lambda s: F.timestamp_micros(F.unix_micros(day) + (s * 1_000_000).cast("long"))
     i = F.col("incident")
