@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -57,6 +58,18 @@ SPACED[0] = 255
 #: Words are runs of digits, letters and all beyond ASCII: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing.
 ALNUM = byte_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 _POWERS: dict[str, np.ndarray] = {}
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, forget: Callable[[], None]) -> None:
+    """Called by a task whose operator keeps something in the worker: what other operators kept there is dropped, since a worker serves them one after another."""
+    for other in [k for k in _KEPT if k != name]:
+        _KEPT.pop(other)()
+    _KEPT[name] = forget
+
+
+def claim_hashes() -> None:
+    claim("hashes", _POWERS.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

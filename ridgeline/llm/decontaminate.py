@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import ALNUM, hash_words, prepare, slices, text_buffers
+from ridgeline.llm.common import ALNUM, claim_hashes, hash_words, prepare, slices, text_buffers
 
 #: Symbols of the indexed text: its own end, the end of a document, any run of words that no test phrase has, then the phrases' words.
 LAST, END, OTHER, FIRST = 0, 1, 2, 3
@@ -218,7 +218,7 @@ def scan_shard(data: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, blo
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word:int,end_word:int,first_byte:int,end_byte:int>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 6 << 20, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged, to be removed).
 
     Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A phrase is ``width`` consecutive
@@ -255,6 +255,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, s
                 del b._value
 
     def scan(batches):
+        claim_hashes()
         for batch in batches:
             data, starts = text_buffers(batch.column("text"))
             ids = batch.column("doc_id")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import SPACED, by_ids, hash_words, mix, prepare, slices, text_buffers
+from ridgeline.llm.common import SPACED, by_ids, claim_hashes, hash_words, mix, prepare, slices, text_buffers
 from ridgeline.operators.components import components
 from ridgeline.operators.tables import few, join_hot, materialize
 
@@ -204,8 +204,9 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _each_set(batch: pa.RecordBatch, rule: Rule, size: int = 4 << 20):
+def _each_set(batch: pa.RecordBatch, rule: Rule, size: int = 2_000_000):
     """Runs of a batch's rows with their sets."""
+    claim_hashes()
     data, starts = text_buffers(batch.column("text"))
     for i, j in slices(starts, size):
         yield i, j, shingle_sets(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], rule.words)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import prepare
+from ridgeline.llm.common import claim, prepare
 
 #: Splits text ahead of byte-pair merging, as the vocabulary was made with (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -20,6 +20,7 @@ _ENCODERS: dict[str, tuple[Callable, np.ndarray]] = {}
 
 def encoder(path: str) -> tuple[Callable, np.ndarray]:
     """Encoding function of the rank file at ``path`` and the bytes of each token; kept by the worker."""
+    claim("counts", _ENCODERS.clear)
     if path not in _ENCODERS:
         import tiktoken
 

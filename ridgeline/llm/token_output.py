@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import prepare
+from ridgeline.llm.common import claim, prepare
 from ridgeline.operators.tables import scratch
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -45,7 +45,7 @@ class WordEncoder:
     seen is encoded in one call a batch.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -53,7 +53,7 @@ class WordEncoder:
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.pieces_seen, self.parts_seen = Memory(limit), Memory(limit)
+        self.limit, self.pieces_seen, self.parts_seen = limit, Memory(limit), Memory(limit)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         gc.disable()  # no cycles arise here, and the collector would walk the memories again and again
@@ -108,16 +108,17 @@ class WordEncoder:
         return [text] if SEPARATORS.search(text) else text.split()
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
+def encoder(path: str, limit: int) -> WordEncoder:
+    claim("tokens", _ENCODERS.clear)
+    if path not in _ENCODERS or _ENCODERS[path].limit != limit:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it has
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, limit)
     return _ENCODERS[path]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id", row_group_mb: int = 16, page_rows: int = 1_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id", row_group_mb: int = 16, page_rows: int = 1_000, remember: int = 500_000) -> None:
     """Writes ``docs`` to ``path`` in ascending id order: files shard=0, 1, ... of rows (doc_id, n_tokens, shard_start, tokens).
 
     Each whole text (null: empty) is encoded without special tokens and ended by ``end_id``. Ids are dictionary-encoded
@@ -127,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, te
 
     Texts are range-partitioned by id and sorted within their partition, which spills if it must; encoding follows, so
     the sample that finds the ranges doesn't encode. Rows with equal ids, and null ids, which come first, keep the order
-    of their texts. A very long text is one list. An empty table writes no rows.
+    of their texts. A worker remembers up to 4 * ``remember`` pieces, some 140 bytes each. A very long text is one list. An empty table writes no rows.
     """
     prepare(docs.sparkSession)
     # ranges take the text's hash as a second key, so many rows of one id don't meet in one task
@@ -137,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, te
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("shard_start", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
     def encode(batches):
-        coder, start = encoder(tokenizer), 0
+        coder, start = encoder(tokenizer, remember), 0
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 ids = coder.encode(b.column("text").to_pylist())

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import prepare
+from ridgeline.llm.common import claim, prepare
 
 WORDS = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
 #: Feature space of the hashed words and word beginnings.
@@ -164,6 +164,7 @@ def toxicity_scores(docs: DataFrame, model: ChainModel, text_col: str = "text",
 
     @F.pandas_udf("array<double>")
     def score(texts: pd.Series) -> pd.Series:
+        claim("toxicity", _MEMO.clear)
         return pd.Series(list(shared.value.predict(texts.tolist(), _MEMO)), index=texts.index, dtype=object)
 
     return docs.withColumn(out, score(F.col(text_col)))
