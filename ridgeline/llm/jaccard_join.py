@@ -75,7 +75,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> list[np.nd
     runs = np.zeros(n, np.uint64)
     power = np.uint64(1)
     with np.errstate(over="ignore"):
-        for j in range(words):
+        for j in range(min(words, n)):
             runs[: n - j] += hashes[j:] * power
             power = power * _A
         runs = mix(runs + np.uint64(words))

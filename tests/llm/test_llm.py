@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,14 @@ def test_jaccard_null_ids_repeats_and_empty_tables(spark):
     assert jaccard_join.jaccard_components(frame(spark, [None, ""])).count() == 2
 
 
+@pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d"])
+def test_jaccard_tables_of_fewer_words_than_a_shingle(spark, text):
+    got = jaccard_join.jaccard_components(frame(spark, [text, text.upper(), ""]), jaccard_join.Rule(5, 8, 10)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(0, 1, 0), (1, 1, 0), (2, 0, 2)]
+    data, starts = text_buffers(pa.array([text, None]))
+    assert [len(s) for s in jaccard_join.shingle_sets(data, starts, 5)] == [1, 0]
+
+
 def test_slabs_cover_all_partners():
     for num, den in ((90, 100), (8, 10)):
         rule = jaccard_join.Rule(3, num, den)
