@@ -15,6 +15,9 @@ from ridgeline.llm.common import by_ids
 from ridgeline.llm.queries import TOXIC, tokenizer_path
 from ridgeline.operators.tables import materialize
 
+#: Number of a row while a stage decides about it.
+ROW = "_row"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of being toxic reaches ``TOXIC``."""
@@ -24,17 +27,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component of links at five words and a similarity of 0.8."""
-    classes = jaccard_join.jaccard_components(docs, jaccard_join.Rule(5, 8, 10))
-    copies = materialize(classes.filter("component_id < doc_id").select("doc_id").distinct(), "near-copies")
-    return by_ids(docs, copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the row with the least (doc_id, row number) of each component of links at five words and a similarity of 0.8.
+
+    Rows are told apart by a number that is written once with them, so null and repeated ids are searched and removed
+    like others; a null id comes after all others.
+    """
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = jaccard_join.jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), jaccard_join.Rule(5, 8, 10))
+    classes = materialize(found.select(F.col("doc_id").alias(ROW), "component_id"), "classes")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    first = classes.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min_by(ROW, place).alias(ROW))
+    copies = materialize(classes.join(first.select(ROW), ROW, "left_anti").select(ROW), "near-copies")
+    return by_ids(rows, copies, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a passage of ten words of a benchmark item, or all of a shorter one."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = materialize(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return by_ids(docs, hit, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import ALNUM, claim_hashes, hash_words, prepare, slices, text_buffers
@@ -218,23 +218,8 @@ def scan_shard(data: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, blo
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word:int,end_word:int,first_byte:int,end_byte:int>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged, to be removed).
-
-    Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A phrase is ``width`` consecutive
-    words of a benchmark item, or all words of a shorter item. Each task cuts its texts into shards of about
-    ``shard_bytes`` (a longer text is a shard), gives words numbers, runs of words that no phrase has one number
-    together, and builds the shard's FM-index; every phrase is searched backwards in it, and occurrences are located from
-    sampled suffixes. Words are told apart by 64-bit hashes. Nothing shuffles, and copies or passages that many documents
-    share cost no more than other text.
-
-    The benchmark is the query set: its size is checked (``max_benchmark_bytes``, else ValueError), and it is broadcast in
-    blocks of ``block_items`` items that a task loads one after another, so many items mean more time, not memory.
-    Null and empty texts have no words and no hits; null items and items without words match nothing; items that repeat
-    count under each id. Without a benchmark nothing is contaminated. Repeated rows are treated alike; empty tables give
-    no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
+def _searcher(spark: SparkSession, benchmark: DataFrame, width: int, shard_bytes: int, block_items: int, max_benchmark_bytes: int):
+    """A function for tasks: of a column of texts, each run of rows (from, to) with what ``scan_shard`` finds in it."""
     prepare(spark)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_benchmark_bytes:
@@ -246,7 +231,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, s
     broadcast = spark.sparkContext.broadcast
     shared = broadcast(vocabulary)
     blocks = [broadcast(make_phrases(items[i : i + block_items], vocabulary, width)) for i in range(0, len(items), block_items)]
-    span = pa.list_(pa.struct([(n, pa.int32()) for n in ("first_word", "end_word", "first_byte", "end_byte")]))
 
     def load():
         for b in blocks:
@@ -254,13 +238,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, s
             if len(blocks) > 1:
                 del b._value
 
+    def search(column):
+        data, starts = text_buffers(column)
+        for i, j in slices(starts, shard_bytes):
+            yield i, j, *scan_shard(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], shared.value, load())
+
+    return search
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged, to be removed).
+
+    Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A phrase is ``width`` consecutive
+    words of a benchmark item, or all words of a shorter item. Each task cuts its texts into shards of about
+    ``shard_bytes`` (a longer text is a shard), gives words numbers, runs of words that no phrase has one number
+    together, and builds the shard's FM-index; every phrase is searched backwards in it, and occurrences are located from
+    sampled suffixes. Words are told apart by 64-bit hashes. Nothing shuffles, and copies or passages that many documents
+    share cost no more than other text.
+
+    The benchmark is the query set: its size is checked (``max_benchmark_bytes``, else ValueError), and it is broadcast in
+    blocks of ``block_items`` items that a task loads one after another, so many items mean more time, not memory.
+    Null and empty texts have no words and no hits; null items and items without words match nothing; items that repeat
+    count under each id. Without a benchmark nothing is contaminated. Repeated rows are treated alike; empty tables give
+    no rows; other columns are not read.
+    """
+    search = _searcher(docs.sparkSession, benchmark, width, shard_bytes, block_items, max_benchmark_bytes)
+    span = pa.list_(pa.struct([(n, pa.int32()) for n in ("first_word", "end_word", "first_byte", "end_byte")]))
+
     def scan(batches):
         claim_hashes()
         for batch in batches:
-            data, starts = text_buffers(batch.column("text"))
             ids = batch.column("doc_id")
-            for i, j in slices(starts, shard_bytes):
-                n_words, found, (d, a, b, x, y) = scan_shard(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], shared.value, load())
+            for i, j, n_words, found, (d, a, b, x, y) in search(batch.column("text")):
                 n_hit = np.bincount(d, b - a, j - i).astype(np.int64)
                 names = [sorted(f) for f in found]
                 digests = [sha256(",".join(f).encode()).hexdigest() for f in names]
@@ -274,6 +283,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, s
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, RESULT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+    """The rows of ``docs`` that ``find_contamination`` doesn't mark, with all their columns.
+
+    Each row is decided by its own text where it lies, so null and repeated ids matter to nobody, and nothing shuffles.
+    """
+    search = _searcher(docs.sparkSession, benchmark, width, shard_bytes, block_items, max_benchmark_bytes)
+
+    def keep(batches):
+        claim_hashes()
+        for batch in batches:
+            for i, j, _, _, (d, *_) in search(batch.column("text")):
+                clean = np.ones(j - i, bool)
+                clean[d] = False
+                yield batch.slice(i, j - i).filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 SQL = r"""
 WITH lower_docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

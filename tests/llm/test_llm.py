@@ -541,3 +541,20 @@ def test_pipeline_stages_decide_and_keep_columns(spark):
             assert set(after) == {i for i, f in zip(ids, brute_contamination([before[i] for i in ids], items)) if not f[4]}
         kept = spark.createDataFrame(out.collect(), docs.schema)
     assert P.STAGES[4][1](spark, kept, SF).count() == kept.count()
+
+
+def test_pipeline_stages_tell_rows_with_null_and_repeated_ids_apart(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(21)
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(alnum(r.text)) >= 10)
+    copy, other, alone, leak = prose(rng, 60), prose(rng, 60), prose(rng, 60), f"{prose(rng, 20)} {item}"
+    ids = [None, None, 5, 5, 5, 2, 2, None, None, 2]
+    texts = [copy, copy + " end", other, other, alone, copy, leak, leak + " more", None, "a b"]
+    docs = frame(spark, texts, ids).select("doc_id", "text", "lang", "source", "n_chars")
+    out = P.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert kept == sorted([(5, other), (5, alone), (2, copy), (2, leak), (None, None), (2, "a b")], key=str)
+    clean = sorted(((r.doc_id, r.text) for r in P.drop_contaminated(spark, docs, SF).collect()), key=str)
+    assert clean == sorted([(i, t) for i, t in zip(ids, texts) if not (t or "").startswith(leak)], key=str)
