@@ -142,7 +142,7 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [hashes[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def make_phrases(items: list[tuple[str, np.ndarray]], vocabulary: np.ndarray, width: int) -> Phrases:
+def make_phrases(items: list[tuple[str | None, np.ndarray]], vocabulary: np.ndarray, width: int) -> Phrases:
     """Distinct windows of ``width`` consecutive words; an item of fewer words, but not none, is one window."""
     owners: dict[bytes, list[int]] = {}
     for k, (_, words) in enumerate(items):
@@ -170,7 +170,7 @@ def scan_shard(data: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, blo
     words, first, end, at = hash_words(data, starts, ALNUM)
     docs = len(starts) - 1
     n_words = np.diff(at)
-    found: list[set[str]] = [set() for _ in range(docs)]
+    found: list[set[str | None]] = [set() for _ in range(docs)]
     none = np.zeros(0, np.int64)
     if not len(words) or not len(vocabulary):
         return n_words, found, (none,) * 5
@@ -218,16 +218,16 @@ def scan_shard(data: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, blo
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word:int,end_word:int,first_byte:int,end_byte:int>>"
 
 
-def _searcher(spark: SparkSession, benchmark: DataFrame, width: int, shard_bytes: int, block_items: int, max_benchmark_bytes: int):
+def _searcher(spark: SparkSession, benchmark: DataFrame, width: int, shard_bytes: int, block_items: int, max_benchmark_bytes: int, unnamed: bool):
     """A function for tasks: of a column of texts, each run of rows (from, to) with what ``scan_shard`` finds in it."""
     prepare(spark)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_benchmark_bytes:
         raise ValueError(f"the benchmark has {size} bytes; split it into parts of at most {max_benchmark_bytes}")
-    got = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null").toPandas().sort_values(["item_id", "text"])
+    got = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null" if unnamed else "item_id is not null and text is not null").toPandas().sort_values(["item_id", "text"])
     words = item_words(got["text"].tolist())
     vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    items = list(zip(got["item_id"], words, strict=True))
+    items = list(zip(got["item_id"].astype(object).where(got["item_id"].notna(), None), words, strict=True))
     broadcast = spark.sparkContext.broadcast
     shared = broadcast(vocabulary)
     blocks = [broadcast(make_phrases(items[i : i + block_items], vocabulary, width)) for i in range(0, len(items), block_items)]
@@ -246,7 +246,7 @@ def _searcher(spark: SparkSession, benchmark: DataFrame, width: int, shard_bytes
     return search
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20, unnamed: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged, to be removed).
 
     Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A phrase is ``width`` consecutive
@@ -258,11 +258,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, s
 
     The benchmark is the query set: its size is checked (``max_benchmark_bytes``, else ValueError), and it is broadcast in
     blocks of ``block_items`` items that a task loads one after another, so many items mean more time, not memory.
-    Null and empty texts have no words and no hits; null items and items without words match nothing; items that repeat
-    count under each id. Without a benchmark nothing is contaminated. Repeated rows are treated alike; empty tables give
+    Null and empty texts have no words and no hits; null texts and items without words match nothing; items that repeat
+    count under each id. Items with a null id are left out, or with ``unnamed`` searched like others: they count as one
+    item together, and ``items_sha256`` has no id of theirs. Without a benchmark nothing is contaminated. Repeated rows are treated alike; empty tables give
     no rows; other columns are not read.
     """
-    search = _searcher(docs.sparkSession, benchmark, width, shard_bytes, block_items, max_benchmark_bytes)
+    search = _searcher(docs.sparkSession, benchmark, width, shard_bytes, block_items, max_benchmark_bytes, unnamed)
     span = pa.list_(pa.struct([(n, pa.int32()) for n in ("first_word", "end_word", "first_byte", "end_byte")]))
 
     def scan(batches):
@@ -271,24 +272,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, s
             ids = batch.column("doc_id")
             for i, j, n_words, found, (d, a, b, x, y) in search(batch.column("text")):
                 n_hit = np.bincount(d, b - a, j - i).astype(np.int64)
-                names = [sorted(f) for f in found]
+                names = [sorted(f - {None}) for f in found]
                 digests = [sha256(",".join(f).encode()).hexdigest() for f in names]
                 at = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=j - i))))
                 spans = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (a, b, x, y)], fields=list(span.value_type))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(f) for f in names], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)],
+                    [ids.slice(i, j - i), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(f) for f in found], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)],
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, RESULT)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20, unnamed: bool = False) -> DataFrame:
     """The rows of ``docs`` that ``find_contamination`` doesn't mark, with all their columns.
 
     Each row is decided by its own text where it lies, so null and repeated ids matter to nobody, and nothing shuffles.
     """
-    search = _searcher(docs.sparkSession, benchmark, width, shard_bytes, block_items, max_benchmark_bytes)
+    search = _searcher(docs.sparkSession, benchmark, width, shard_bytes, block_items, max_benchmark_bytes, unnamed)
 
     def keep(batches):
         claim_hashes()

@@ -197,6 +197,18 @@ def test_contamination_without_benchmark_or_documents(spark):
     assert decontaminate.find_contamination(frame(spark, []), none).count() == 0
 
 
+def test_contamination_by_items_without_id_equals_the_sql(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = ["has w1 in it", "w2 w3 and w1", "clean", None]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "w1"), (None, "w3 and"), (4, "w2"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op3_benchmark_decontamination(spark, str(tmp_path)).orderBy("doc_id").collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert [(r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got] == [(1, 1, sha(""), True), (4, 2, sha("4"), True), (0, 0, sha(""), False), (0, 0, sha(""), False)]
+    assert sorted(r.doc_id for r in P.drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()) == [2, 3]
+
+
 def test_suffix_array_and_search():
     rng = np.random.default_rng(1)
     for n, symbols in ((1, 4), (50, 4), (3000, 6), (3000, 500)):
