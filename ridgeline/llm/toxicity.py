@@ -86,7 +86,8 @@ def fit_chain(features: Sequence[np.ndarray], labels: np.ndarray, categories: Se
 
     For every category the ``per_category`` features whose presence tells most about it (likelihood ratio) are used.
     The probabilities that later categories get as inputs while training are out-of-fold: each row's come from a model
-    that never saw the row, so later models learn how far to trust them.
+    that never saw the row, so later models learn how far to trust them. Without documents the chain finds nothing: every
+    category has the bias of one whose labels are all 0.
     """
     size = np.array([len(f) for f in features], np.int64)
     r = np.repeat(np.arange(len(features)), size)
@@ -112,7 +113,7 @@ def fit_chain(features: Sequence[np.ndarray], labels: np.ndarray, categories: Se
     inputs, weights = np.zeros((n_docs, 0)), []
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        weights.append(_fit_linear(r, c, inputs, y, n) if n_docs else np.zeros(n + k + 1))
+        weights.append(_fit_linear(r, c, inputs, y, n) if n_docs else np.append(np.zeros(n + k), -8.0))
         out = np.zeros(n_docs)
         for f in range(folds if n_docs >= folds else 0):
             train, number = fold != f, np.cumsum(fold != f) - 1

@@ -526,6 +526,17 @@ def test_toxicity_labels_of_one_kind_and_empty_tables(spark):
     assert toxicity.toxicity_scores(frame(spark, []), empty).count() == 0
 
 
+@pytest.mark.parametrize("labels", [[], [(0, None), (None, 1)], [(77, 1)]])
+def test_toxicity_without_labelled_documents_drops_nothing(spark, tmp_path, labels):
+    import corpus_pipeline as P
+
+    docs = frame(spark, ["you idiot", "fine words", None, ""])
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.drop_toxic(spark, docs, str(tmp_path)).count() == 4
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.toxic for r in queries.op1_toxicity(spark, str(tmp_path)).collect()] == [False] * 4
+
+
 def test_toxicity_on_labelled_documents(spark):
     rows = queries.op1_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert np.mean([r[6] == bool(r[-1]) for r in rows]) >= 0.97
