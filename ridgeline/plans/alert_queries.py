@@ -10,7 +10,7 @@ from ridgeline.functions import scalars as S
 from ridgeline.operators import components, evaluate, features, gate, joins, scoring, sequence, sessions
 from ridgeline.operators.tables import materialize
 from ridgeline.plans.alerts import ENTITY_SQL, SQL, alerts, truth
-from ridgeline.plans.registry import query
+from ridgeline.plans.registry import on_all, query
 
 A = f"WITH {SQL}"
 AR = f"WITH RECURSIVE {SQL}"
@@ -23,8 +23,10 @@ def entities(rows: DataFrame, *keep: str) -> DataFrame:
     return joins.explode_entities(rows, ENTITY_COLUMNS, keep=keep).withColumn("etype", F.split_part("entity", F.lit(":"), F.lit(1)))
 
 
-def severe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts(spark, sf_dir).filter("severity >= 6")
+def severe(spark: SparkSession, sf_dir: str, severity: int | None = 6) -> DataFrame:
+    """Alerts from a severity on, or all; the SQL of several queries covers severe ones only, and ``WHOLE`` has those on all alerts."""
+    rows = alerts(spark, sf_dir)
+    return rows if severity is None else rows.filter(F.col("severity") >= severity)
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +105,8 @@ def entity_sessions(spark, sf_dir):
   AND abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 <= 7200 AND greatest(a.severity, b.severity) / ln(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 + 2) >= 0.70),
 r AS (SELECT alert_id AS a, alert_id AS b FROM alerts WHERE severity >= 6 UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS alert_id, min(b) AS cluster FROM r GROUP BY a""")
-def severity_sessions(spark, sf_dir):
-    rows = sessions.severity_sessions(severe(spark, sf_dir), ["host"], "ts", "alert_id", "severity")
+def severity_sessions(spark, sf_dir, severity=6):
+    rows = sessions.severity_sessions(severe(spark, sf_dir, severity), ["host"], "ts", "alert_id", "severity")
     first = F.min("alert_id").over(Window.partitionBy("host", "session"))
     return rows.select("alert_id", first.alias("cluster"))
 
@@ -122,13 +124,13 @@ m AS (SELECT a AS alert_id, min(b) AS cluster FROM r GROUP BY a)"""
 
 
 @query(f"{ARE}, {LINK_SQL} SELECT cluster, alert_id FROM m")
-def entity_time_components(spark, sf_dir):
-    return entity_components(severe(spark, sf_dir))
+def entity_time_components(spark, sf_dir, severity=6):
+    return entity_components(severe(spark, sf_dir, severity))
 
 
-def big_clusters(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
-    """Severe alerts with their component, components of at least ``least`` alerts; written once, since many queries read it twice."""
-    rows = severe(spark, sf_dir)
+def big_clusters(spark: SparkSession, sf_dir: str, least: int = 2, severity: int | None = 6) -> DataFrame:
+    """Alerts from a severity on with their component, components of at least ``least`` alerts; written once, since many queries read it twice."""
+    rows = severe(spark, sf_dir, severity)
     m = entity_components(rows)
     sized = m.join(m.groupBy("cluster").count().filter(F.col("count") >= least).select("cluster"), "cluster", "left_semi")
     return materialize(rows.join(sized, "alert_id"), "clusters")
@@ -139,8 +141,8 @@ BIG_SQL = LINK_SQL + ", c AS (SELECT m.cluster, a.* FROM m JOIN alerts a USING (
 
 @query(f"""{ARE}, {LINK_SQL} SELECT cluster, 'cluster_' || lpad(CAST(row_number() OVER (ORDER BY min(ts), min(m.alert_id)) AS VARCHAR), 4, '0') AS name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
 FROM m JOIN alerts USING (alert_id) GROUP BY cluster HAVING count(*) >= 1""")
-def cluster_numbers(spark, sf_dir):
-    rows = severe(spark, sf_dir)
+def cluster_numbers(spark, sf_dir, severity=6):
+    rows = severe(spark, sf_dir, severity)
     g = rows.join(entity_components(rows), "alert_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("alert_id").alias("_id"))
     n = F.row_number().over(Window.orderBy("first_ts", "_id")).cast("string")
     return g.select("cluster", F.concat(F.lit("cluster_"), F.lpad(n, 4, "0")).alias("name"), "n", "first_ts", "last_ts")
@@ -152,8 +154,8 @@ r AS (SELECT alert_id AS a, alert_id AS b FROM alerts WHERE severity >= 6 UNION
 m AS (SELECT a AS alert_id, min(b) AS cluster FROM r GROUP BY a),
 h AS (SELECT cluster, alert_id, unnest([host, target]) AS host FROM m JOIN alerts USING (alert_id))
 SELECT cluster, count(DISTINCT alert_id) AS n, count(DISTINCT host) AS hosts FROM h GROUP BY cluster HAVING count(DISTINCT alert_id) >= 4 AND count(DISTINCT host) > 1""")
-def communities(spark, sf_dir):
-    rows = severe(spark, sf_dir)
+def communities(spark, sf_dir, severity=6):
+    rows = severe(spark, sf_dir, severity)
     by = sessions.severity_sessions(entities(rows, "ts", "severity"), ["entity"], "ts", "alert_id", "severity")
     m = components.members(rows, sessions.session_links(by, ["entity"], "alert_id", ["ts", "alert_id"]))
     hosts = m.join(rows, "alert_id").select("cluster", "alert_id", F.explode(F.array("host", "target")).alias("host"))
@@ -173,15 +175,15 @@ def tactic_pair_matches(spark, sf_dir):
     return m.select("pattern", "earlier", "later", F.round("gap_s", 3).alias("gap_s"))
 
 
-def severe_pairs(spark, sf_dir) -> DataFrame:
-    return joins.tactic_pair_matches(entities(severe(spark, sf_dir), "ts", "tactic"))
+def severe_pairs(spark, sf_dir, severity: int | None = 6) -> DataFrame:
+    return joins.tactic_pair_matches(entities(severe(spark, sf_dir, severity), "ts", "tactic"))
 
 
 @query(f"""{ARE}, {PAIR_SQL}, v AS (SELECT earlier AS a, later AS b FROM pm JOIN alerts x ON x.alert_id = earlier JOIN alerts y ON y.alert_id = later WHERE x.severity >= 6 AND y.severity >= 6),
 l AS (SELECT a, b FROM v UNION SELECT b, a FROM v), r AS (SELECT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT a AS alert_id, min(b) AS cluster FROM r GROUP BY a""")
-def pattern_components(spark, sf_dir):
-    pairs = severe_pairs(spark, sf_dir).select(F.col("earlier").alias("a"), F.col("later").alias("b"))
+def pattern_components(spark, sf_dir, severity=6):
+    pairs = severe_pairs(spark, sf_dir, severity).select(F.col("earlier").alias("a"), F.col("later").alias("b"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("alert_id"))
     return components.members(nodes, pairs)
 
@@ -272,8 +274,8 @@ def homogeneous_projection(spark, sf_dir):
 o AS (SELECT *, row_number() OVER (PARTITION BY e, v ORDER BY ts, alert_id) AS pos FROM t),
 nx AS (SELECT x.alert_id AS a, y.alert_id AS b FROM o x JOIN o y ON x.e = y.e AND x.v = y.v AND y.pos BETWEEN x.pos + 1 AND x.pos + 12 AND epoch_us(y.ts) - epoch_us(x.ts) <= 86400000000)
 SELECT a, b FROM nx UNION SELECT b, a FROM nx""")
-def semantic_edges(spark, sf_dir):
-    return joins.semantic_edges(severe(spark, sf_dir))
+def semantic_edges(spark, sf_dir, severity=6):
+    return joins.semantic_edges(severe(spark, sf_dir, severity))
 
 
 SEQ_SQL = """ch AS (SELECT usr, ts, alert_id, tactic, lag(tactic) OVER (PARTITION BY usr ORDER BY ts, alert_id) AS before FROM alerts WHERE severity >= 6),
@@ -281,8 +283,8 @@ sq AS (SELECT usr, list(tactic ORDER BY ts, alert_id) AS seq FROM ch WHERE befor
 
 
 @query(f"{A}, {SEQ_SQL} SELECT usr AS user, array_to_string(seq, '>') AS sequence FROM sq")
-def stage_sequence(spark, sf_dir):
-    return sequence.stage_sequence(severe(spark, sf_dir), "user", "tactic", ["ts", "alert_id"]).select("user", F.concat_ws(">", "sequence").alias("sequence"))
+def stage_sequence(spark, sf_dir, severity=6):
+    return sequence.stage_sequence(severe(spark, sf_dir, severity), "user", "tactic", ["ts", "alert_id"]).select("user", F.concat_ws(">", "sequence").alias("sequence"))
 
 
 def _lcs_sql(chain: tuple[str, ...], name: str) -> str:
@@ -301,20 +303,20 @@ _CHAIN = K.ATTACK_CHAINS[2]
 
 
 @query(f"{AR}, {SEQ_SQL}, {_lcs_sql(_CHAIN, 'lcs')} SELECT l.usr AS user, round(max(c{len(_CHAIN)}) / {len(_CHAIN)}, 6) AS ratio FROM lcs l GROUP BY 1")
-def chain_lcs(spark, sf_dir):
-    seq = sequence.stage_sequence(severe(spark, sf_dir), "user", "tactic", ["ts", "alert_id"])
+def chain_lcs(spark, sf_dir, severity=6):
+    seq = sequence.stage_sequence(severe(spark, sf_dir, severity), "user", "tactic", ["ts", "alert_id"])
     return seq.select("user", F.round(S.lcs_ratio(F.col("sequence"), _CHAIN), 6).alias("ratio"))
 
 
 @query()
 def best_chain_order(spark, sf_dir):
-    seq = sequence.stage_sequence(severe(spark, sf_dir), "user", "tactic", ["ts", "alert_id"])
+    seq = sequence.stage_sequence(severe(spark, sf_dir, None), "user", "tactic", ["ts", "alert_id"])
     return seq.select("user", F.round(S.best_chain(F.col("sequence")), 6).alias("order_score"))
 
 
-def tagged(spark, sf_dir) -> DataFrame:
+def tagged(spark, sf_dir, severity: int | None = 6) -> DataFrame:
     kind = S.lookup(K.TACTIC_KINDS, F.lower("tactic"))
-    return big_clusters(spark, sf_dir).withColumn("kind", kind).withColumn("tags", F.array_compact(F.array(kind)))
+    return big_clusters(spark, sf_dir, severity=severity).withColumn("kind", kind).withColumn("tags", F.array_compact(F.array(kind)))
 
 
 TAG_SQL = """tg AS (SELECT cluster, alert_id, ts, severity, CASE tactic WHEN 'Initial Access' THEN 'initial_access' WHEN 'Execution' THEN 'execution' WHEN 'Credential Access' THEN 'credential_access'
@@ -325,8 +327,8 @@ ae AS (SELECT DISTINCT x.cluster, x.stage AS l, y.stage AS r FROM tg x JOIN tg y
 
 
 @query(f'{ARE}, {BIG_SQL}, {TAG_SQL} SELECT cluster, l AS "left", r AS "right" FROM ae')
-def attack_edges(spark, sf_dir):
-    rows = tagged(spark, sf_dir)
+def attack_edges(spark, sf_dir, severity=6):
+    rows = tagged(spark, sf_dir, severity)
     seq = sequence.stage_sequence(sequence.tag_rows(rows), "cluster", "stage", ["ts", "alert_id", "rank"])
     return sequence.attack_edges(sequence.tag_rows(rows), entities(rows).select("alert_id", "entity"), seq)
 
@@ -358,8 +360,8 @@ def discovery(rows: DataFrame) -> DataFrame:
     )
 
 
-def scored_clusters(spark, sf_dir) -> DataFrame:
-    rows = tagged(spark, sf_dir)
+def scored_clusters(spark, sf_dir, severity: int | None = 6) -> DataFrame:
+    rows = tagged(spark, sf_dir, severity)
     seen = alerts(spark, sf_dir).select("alert_id", gate.seen_before(["host", "tactic"], ["ts", "alert_id"]).alias("seen"))
     return discovery(materialize(rows.join(seen, "alert_id"), "tagged"))
 
@@ -378,8 +380,8 @@ fc AS (SELECT c.cluster, count(*) AS n, max(c.severity) AS mx, count(*) FILTER (
   k >= 2 OR CASE WHEN n <= 3 THEN high >= 1 ELSE high / n >= 0.25 END AS progression,
   round(least(1, 0.30 * mx / 10 + 0.25 * least(k / 3, 1) + 0.20 * least(1, 0.30 + CASE WHEN coalesce(shared, 0) > 0 THEN 0.25 ELSE 0 END + CASE WHEN k >= 2 THEN 0.45 ELSE 0 END) + 0.15 * low / n + 0.10 * least(n / 5, 1)), 5) AS heuristic
 FROM fc LEFT JOIN sh ON fc.cluster = sh.cluster""")
-def cluster_scores(spark, sf_dir):
-    d = scored_clusters(spark, sf_dir)
+def cluster_scores(spark, sf_dir, severity=6):
+    d = scored_clusters(spark, sf_dir, severity)
     c = F.col
     heuristic = scoring.discovery_score(c("max_severity"), F.size("stages"), c("n"), c("shared"), c("n_kinds"), c("low"), F.lit(0.0))
     return d.select("cluster", "n", "max_severity", "high", "n_kinds", "shared", "low", "strict_entity_continuity", c("require_progression_or_severity_density").alias("progression"), F.round(heuristic, 5).alias("heuristic"))
@@ -387,7 +389,7 @@ def cluster_scores(spark, sf_dir):
 
 @query()
 def pattern_match(spark, sf_dir):
-    return scored_clusters(spark, sf_dir).select("cluster", "pattern", "graph_score", "score", F.concat_ws(">", "sequence").alias("sequence"))
+    return scored_clusters(spark, sf_dir, None).select("cluster", "pattern", "graph_score", "score", F.concat_ws(">", "sequence").alias("sequence"))
 
 
 STRUCT_SQL = f"""{ARE}, {BIG_SQL}, {PAIR_SQL}, {SEEN_SQL},
@@ -399,14 +401,14 @@ st AS (SELECT c.cluster, count(*) AS n, max(severity) AS mx, count(*) FILTER (WH
 sc AS (SELECT st.*, hosts, coalesce(matches, 0) AS matches, coalesce(patterns, 0) AS patterns, 1 - least(greatest(dur, 1), 21600) / 21600 AS temporal FROM st JOIN hs ON st.cluster = hs.cluster LEFT JOIN mt ON st.cluster = mt.cluster)"""
 
 
-def structural(spark, sf_dir) -> DataFrame:
+def structural(spark, sf_dir, severity: int | None = 6) -> DataFrame:
     """Clusters with everything that the structural and the verdict score need (QRY-09)."""
-    rows = big_clusters(spark, sf_dir)
+    rows = big_clusters(spark, sf_dir, severity=severity)
     seen = alerts(spark, sf_dir).select("alert_id", gate.seen_before(["host", "tactic"], ["ts", "alert_id"]).alias("seen"))
     facts = scoring.cluster_facts(rows)
     rare = rows.join(seen, "alert_id").groupBy("cluster").agg(F.count_if(F.col("seen") <= 3).alias("rare"))
     hosts = rows.select("cluster", F.explode(F.array("host", "target")).alias("h")).groupBy("cluster").agg(F.countDistinct("h").alias("hosts"))
-    pairs = severe_pairs(spark, sf_dir).select("pattern", "earlier", "later", F.explode(F.array("earlier", "later")).alias("alert_id"))
+    pairs = severe_pairs(spark, sf_dir, severity).select("pattern", "earlier", "later", F.explode(F.array("earlier", "later")).alias("alert_id"))
     touch = rows.select("cluster", "alert_id").join(pairs, "alert_id").select("cluster", "pattern", "earlier", "later").distinct()
     matches = touch.groupBy("cluster").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("pattern").alias("patterns"))
     seq = sequence.stage_sequence(rows, "cluster", "tactic", ["ts", "alert_id"])
@@ -419,14 +421,14 @@ def structural(spark, sf_dir) -> DataFrame:
 @query(f"""{STRUCT_SQL} SELECT cluster, n, hosts, tactics, matches, rare,
   round(least(1, 0.25 * mx / 10 + 0.20 * high / n + 0.15 * least(n / 8, 1) + 0.10 * least(hosts / 3, 1) + 0.10 * least(tactics / 4, 1) + 0.10 * temporal + 0.10 * least(matches / 2, 1)), 6) AS structural,
   round(least(1, 0.22 * mx / 10 + 0.18 * high / n + 0.14 * least(n / 8, 1) + 0.10 * least(hosts / 3, 1) + 0.10 * least(tactics / 4, 1) + 0.09 * temporal + 0.10 * least(matches / 2, 1) + 0.07 * rare / n), 6) AS structural_rare FROM sc""")
-def structural_scores(spark, sf_dir):
-    return structural(spark, sf_dir).select("cluster", "n", "hosts", "tactics", "matches", "rare", "structural", "structural_rare")
+def structural_scores(spark, sf_dir, severity=6):
+    return structural(spark, sf_dir, severity).select("cluster", "n", "hosts", "tactics", "matches", "rare", "structural", "structural_rare")
 
 
 @query()
 def verdicts(spark, sf_dir):
     """Incidents over the structural threshold with the local verdict (QRY-10)."""
-    s = structural(spark, sf_dir).filter("structural >= 0.55").withColumn("order", S.best_chain(F.col("sequence")))
+    s = structural(spark, sf_dir, None).filter("structural >= 0.55").withColumn("order", S.best_chain(F.col("sequence")))
     e = scoring.verdict_score(*[F.col(x) for x in ("structural", "n", "tactics", "patterns", "order", "high", "rare")])
     return scoring.with_verdict(s, F.round(e, 6)).select("cluster", "n", "structural", F.round("order", 6).alias("order"), "evidence", "selected", F.round("confidence", 6).alias("confidence"))
 
@@ -452,8 +454,8 @@ o AS (SELECT cluster, incident_id, count(*) AS joint FROM c JOIN truth USING (al
 f AS (SELECT o.cluster, joint / n AS p, joint / m AS r, 2 * (joint / n) * (joint / m) / (joint / n + joint / m) AS f FROM o JOIN z ON o.cluster = z.cluster JOIN w ON o.incident_id = w.incident_id),
 b AS (SELECT cluster, max((f, p, r)) AS b FROM f GROUP BY 1)
 SELECT z.cluster, round(coalesce(b.b[2], 0), 6) AS precision, round(coalesce(b.b[3], 0), 6) AS recall, round(coalesce(b.b[1], 0), 6) AS f1 FROM z LEFT JOIN b ON z.cluster = b.cluster""")
-def cluster_best_match(spark, sf_dir):
-    rows = big_clusters(spark, sf_dir)
+def cluster_best_match(spark, sf_dir, severity=6):
+    rows = big_clusters(spark, sf_dir, severity=severity)
     m = evaluate.best_match(rows.select("cluster", "alert_id"), truth(alerts(spark, sf_dir)))
     return m.select("cluster", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -461,8 +463,8 @@ def cluster_best_match(spark, sf_dir):
 @query(f"""{ARE}, {BIG_SQL}, t AS (SELECT cluster, tactic, count(*) AS n FROM c GROUP BY 1, 2), k AS (SELECT cluster, count(DISTINCT etype) AS entity_types FROM c JOIN entity e ON c.alert_id = e.alert_id GROUP BY 1)
 SELECT t.cluster, CAST(sum(n) AS BIGINT) AS size, round(max(n) / sum(n), 6) AS coherence, (SELECT round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) FROM c WHERE c.cluster = t.cluster) AS span_h, any_value(entity_types) AS entity_types
 FROM t JOIN k ON t.cluster = k.cluster GROUP BY t.cluster""")
-def coherence_span(spark, sf_dir):
-    rows = big_clusters(spark, sf_dir)
+def coherence_span(spark, sf_dir, severity=6):
+    rows = big_clusters(spark, sf_dir, severity=severity)
     s = evaluate.cluster_summary(rows, entities(rows).select("alert_id", "entity"))
     return s.withColumn("coherence", F.round("coherence", 6)).withColumn("span_h", F.round("span_h", 6))
 
@@ -584,8 +586,8 @@ def top_missed_incidents(spark, sf_dir):
 
 @query(f"""{ARE}, {BIG_SQL}, g AS (SELECT cluster, count(*) AS size, count(*) FILTER (WHERE alert_id NOT IN (SELECT alert_id FROM truth)) AS fp FROM c GROUP BY 1)
 SELECT cluster, size, fp, size - fp AS tp, CASE WHEN size = fp THEN 'fp_only' ELSE 'mixed' END AS kind FROM g WHERE fp > 0 ORDER BY fp DESC, size DESC, cluster LIMIT 12""")
-def cluster_examples(spark, sf_dir):
-    return evaluate.false_positive_clusters(big_clusters(spark, sf_dir).select("cluster", "alert_id"), truth(alerts(spark, sf_dir)))
+def cluster_examples(spark, sf_dir, severity=6):
+    return evaluate.false_positive_clusters(big_clusters(spark, sf_dir, severity=severity).select("cluster", "alert_id"), truth(alerts(spark, sf_dir)))
 
 
 VARIANT_SQL = """vr(variant, least) AS (VALUES ('all', 0), ('severity_6', 6), ('severity_9', 9), ('severity_10', 10)),
@@ -608,7 +610,7 @@ def ablation_variants(spark, sf_dir):
 @query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added")
 def leakage_audit(spark, sf_dir):
     """The blind run, in which label columns don't exist, must find the same clusters as the labelled one (QRY-06)."""
-    rows = severe(spark, sf_dir)
+    rows = severe(spark, sf_dir, None)
     labelled = rows.join(truth(rows), "alert_id", "left")
     return evaluate.same_rows(entity_components(labelled.dropDuplicates(["alert_id"])), entity_components(rows.select("alert_id", "ts", "user", "host", "target")))
 
@@ -627,10 +629,10 @@ def alert_summaries(spark, sf_dir):
 
 
 @query(f"""{ARE}, {BIG_SQL} SELECT cluster, 'from ' || arg_min(tactic, (ts, alert_id)) || ' on ' || arg_min(host, (ts, alert_id)) || ' to ' || arg_max(tactic, (ts, alert_id)) || ' on ' || arg_max(host, (ts, alert_id)) AS narrative FROM c GROUP BY 1""")
-def incident_narratives(spark, sf_dir):
+def incident_narratives(spark, sf_dir, severity=6):
     """First and last alert of each cluster as a sentence (MAP-16)."""
     at, row = F.struct("ts", "alert_id"), F.struct("tactic", "host")
-    g = big_clusters(spark, sf_dir).groupBy("cluster").agg(F.min_by(row, at).alias("a"), F.max_by(row, at).alias("b"))
+    g = big_clusters(spark, sf_dir, severity=severity).groupBy("cluster").agg(F.min_by(row, at).alias("a"), F.max_by(row, at).alias("b"))
     return g.select("cluster", F.concat(F.lit("from "), "a.tactic", F.lit(" on "), "a.host", F.lit(" to "), "b.tactic", F.lit(" on "), "b.host").alias("narrative"))
 
 
@@ -648,3 +650,12 @@ def weak_positive_pairs(spark, sf_dir):
     rows = alerts(spark, sf_dir)
     train = truth(rows).select("alert_id", F.lit(1).alias("label"))
     return joins.weak_positives(entities(rows, "ts"), train, 3600, 8)
+
+
+#: Queries whose SQL covers severe alerts only; each also runs on all alerts, without SQL, as its name with ``_all``.
+WHOLE = (
+    severity_sessions, entity_time_components, cluster_numbers, communities, pattern_components, semantic_edges, stage_sequence, chain_lcs,
+    attack_edges, cluster_scores, structural_scores, cluster_best_match, coherence_span, cluster_examples, incident_narratives,
+)
+for _f in WHOLE:
+    on_all(_f, severity=None)

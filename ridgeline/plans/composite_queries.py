@@ -12,12 +12,12 @@ from ridgeline.plans import alert_queries as Q
 from ridgeline.plans import discover as D
 from ridgeline.plans import strategies as C
 from ridgeline.plans.alerts import SQL, alerts, truth
-from ridgeline.plans.registry import query
+from ridgeline.plans.registry import on_all, query
 
 
-def canonical(spark, sf_dir):
-    """(alerts, entities, truth) of the severe half of the view in the form that the composite plans take."""
-    rows = alerts(spark, sf_dir).filter("severity >= 6")
+def canonical(spark, sf_dir, severity=None):
+    """(alerts, entities, truth) of the view, or of its alerts from a severity on, in the form that the composite plans take."""
+    rows = Q.severe(spark, sf_dir, severity)
     kind = S.lookup(K.TACTIC_KINDS, F.lower("tactic"))
     key = gate.relationship_key(F.col("user"), F.col("host"), F.col("tactic"), F.lit("observed"))
     a = rows.select("alert_id", "ts", "severity", kind.alias("kind"), F.array_compact(F.array(kind)).alias("tags"), F.col("tactic").alias("name"), key.alias("rel_key"), F.lit(True).alias("attack"), F.struct("ts", "alert_id").alias("seq"))
@@ -54,14 +54,17 @@ def gate_errors(spark, sf_dir):
 
 @query(f"""WITH {SQL}, a AS (SELECT alert_id FROM alerts WHERE severity >= 6), t AS (SELECT DISTINCT alert_id FROM truth)
 SELECT (SELECT count(*) FROM a JOIN t USING (alert_id)) AS tp, (SELECT count(*) FROM a) - (SELECT count(*) FROM a JOIN t USING (alert_id)) AS fp, (SELECT count(*) FROM t) - (SELECT count(*) FROM a JOIN t USING (alert_id)) AS fn, (SELECT count(*) FROM a JOIN t USING (alert_id)) AS available""")
-def gate_detection(spark, sf_dir):
-    """Every alert of the view is an attack kind and severe, so the gate takes all; the truth counts the rest as missed."""
-    a, _, t = canonical(spark, sf_dir)
+def gate_detection(spark, sf_dir, severity=6):
+    """Every alert of the view is an attack kind, so the gate takes all of them; the truth counts those under the severity as missed."""
+    a, _, t = canonical(spark, sf_dir, severity)
     return D.detection(a, t).select("tp", "fp", "fn", "available")
 
 
+on_all(gate_detection, severity=None)
+
+
 def edges(spark, sf_dir):
-    rows = alerts(spark, sf_dir).filter("severity >= 6")
+    rows = alerts(spark, sf_dir)
     return rows.select("alert_id", F.col("host").alias("source_id"), F.col("target").alias("target_id"), F.col("user").alias("user_id"), F.lit("").alias("process_name"), "tactic", "technique", "severity", "ts")
 
 

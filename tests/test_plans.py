@@ -1,12 +1,18 @@
 """Composite plans on the small fixtures whose outcomes are known."""
 
 import datetime as dt
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from ridgeline.plans import alert_queries as Q
+from ridgeline.plans import composite_queries as CQ
 from ridgeline.plans import discover as D
 from ridgeline.plans import strategies as C
+from ridgeline.plans.alerts import SQL
+from ridgeline.plans.registry import ORACLES, QUERIES
 
 T0 = dt.datetime(2026, 1, 1, 10)
 ALERT = "alert_id string, ts timestamp, severity int, kind string, tags array<string>, name string, rel_key string, attack boolean, seq int"
@@ -166,3 +172,39 @@ def test_comparison_and_holdout(spark):
     assert out[0].strategy == "graph_entity_6h" and out[0].f1 == 1.0 and out[1].f1 == 0.5
     h = D.holdout(rows, t, lambda part: C.run(part, e, grid["temporal_only_12h"]).filter("cluster >= 0"), 2).collect()
     assert [r.fold for r in h] == [0, 1] and all(r.f1 == 0.5 for r in h)
+
+
+def rows_of(rows):
+    return sorted([tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows], key=str)
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder with a few events of all severities, and the same in DuckDB."""
+    folder = str(tmp_path_factory.mktemp("small"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("event_id").limit(150).write.parquet(f"{folder}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    return folder, db
+
+
+@pytest.mark.parametrize("name", sorted(f.__name__ for f in Q.WHOLE))
+def test_queries_on_all_alerts_equal_sql_without_the_cut(spark, small, name):
+    folder, db = small
+    sql = re.sub(r"severity >= 6", "severity >= 0", ORACLES[name])
+    out, found = QUERIES[f"{name}_all"](spark, folder), db.execute(sql)
+    columns = [d[0] for d in found.description]
+    assert sorted(out.columns) == sorted(columns)
+    assert rows_of(out.select(*columns).collect()) == rows_of(found.fetchall())
+    assert f"{name}_all" not in ORACLES
+
+
+def test_composite_queries_take_all_alerts(spark, small):
+    folder, db = small
+    every, n = CQ.canonical(spark, folder)[0], db.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert every.count() == n == CQ.edges(spark, folder).count()
+    # every tactic of the view is one of the gate's attack kinds
+    tp, fp, fn, available = QUERIES["gate_detection_all"](spark, folder).first()
+    true = db.execute(f"WITH {SQL} SELECT count(DISTINCT alert_id) FROM truth").fetchone()[0]
+    assert (tp, fp, fn, available) == (true, n - true, 0, true)
+    assert CQ.discover_incidents(spark, folder).agg(F.sum("n")).first()[0] > QUERIES["gate_detection"](spark, folder).first().tp
