@@ -206,8 +206,8 @@ SETS_SQL = "s AS (SELECT DISTINCT 'u' || usr AS cluster, alert_id FROM alerts WH
 @query(f"""{A}, {SETS_SQL}, n AS (SELECT cluster, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS joint FROM s x JOIN s y ON x.alert_id = y.alert_id AND x.cluster <> y.cluster GROUP BY 1, 2)
 SELECT cluster, alert_id FROM s WHERE cluster NOT IN (SELECT a FROM o JOIN n p ON o.a = p.cluster JOIN n q ON o.b = q.cluster WHERE joint = p.n AND (p.n < q.n OR (p.n = q.n AND a > b)))""")
-def maximal_clusters(spark, sf_dir):
-    r = alerts(spark, sf_dir).filter("severity >= 9")
+def maximal_clusters(spark, sf_dir, severity=9):
+    r = severe(spark, sf_dir, severity)
     day = F.concat(F.lit("d"), "user", F.date_format("ts", "yyyyMMdd"))
     sets = [r.select(c.alias("cluster"), "alert_id") for c in (F.concat(F.lit("u"), "user"), F.concat(F.lit("h"), "host"), day)]
     return joins.maximal_clusters(materialize(sets[0].unionByName(sets[1]).unionByName(sets[2]).distinct(), "sets"))
@@ -266,8 +266,8 @@ def label_window_join(spark, sf_dir):
 
 
 @query(f"""{AE}, q AS (SELECT DISTINCT alert_id, entity FROM entity WHERE severity >= 9) SELECT DISTINCT x.alert_id AS a, y.alert_id AS b FROM q x JOIN q y ON x.entity = y.entity AND x.alert_id <> y.alert_id""")
-def homogeneous_projection(spark, sf_dir):
-    return joins.shared_entity_pairs(entities(alerts(spark, sf_dir).filter("severity >= 9")))
+def homogeneous_projection(spark, sf_dir, severity=9):
+    return joins.shared_entity_pairs(entities(severe(spark, sf_dir, severity)))
 
 
 @query(f"""{A}, t AS (SELECT alert_id, ts, 'tactic' AS e, tactic AS v FROM alerts WHERE severity >= 6 UNION ALL SELECT alert_id, ts, 'technique', technique FROM alerts WHERE severity >= 6),
@@ -623,8 +623,8 @@ def incident_classes(spark, sf_dir):
 
 @query(f"""{A}, t AS (SELECT alert_id, tactic, host, usr FROM alerts WHERE severity >= 9)
 SELECT alert_id, tactic || ' by ' || usr || ' on ' || host AS summary FROM t""")
-def alert_summaries(spark, sf_dir):
-    r = alerts(spark, sf_dir).filter("severity >= 9")
+def alert_summaries(spark, sf_dir, severity=9):
+    r = severe(spark, sf_dir, severity)
     return r.select("alert_id", F.concat("tactic", F.lit(" by "), "user", F.lit(" on "), "host").alias("summary"))
 
 
@@ -656,6 +656,7 @@ def weak_positive_pairs(spark, sf_dir):
 WHOLE = (
     severity_sessions, entity_time_components, cluster_numbers, communities, pattern_components, semantic_edges, stage_sequence, chain_lcs,
     attack_edges, cluster_scores, structural_scores, cluster_best_match, coherence_span, cluster_examples, incident_narratives,
+    maximal_clusters, homogeneous_projection, alert_summaries,
 )
 for _f in WHOLE:
     on_all(_f, severity=None)

@@ -80,8 +80,8 @@ def detector_comparison(spark, sf_dir):
 
 
 def learned(spark, sf_dir):
-    """Alerts with a small embedding and a probability made from their own columns."""
-    rows = alerts(spark, sf_dir).filter("severity >= 9")
+    """All alerts with a small embedding and a probability made from their own columns; strategies select by probability (FLT-10)."""
+    rows = alerts(spark, sf_dir)
     tactics = [F.when(F.col("tactic") == t, 1.0).otherwise(0.0) for t in sorted({"Initial Access", "Execution", "Credential Access", "Lateral Movement", "Exfiltration"})]
     vector = F.array(*[x.cast("float") for x in tactics], (F.col("severity") / 10).cast("float"))
     out = rows.withColumn("embedding", vector).withColumn("probability", F.col("severity") / 10).withColumn("prediction", F.lit(1))
@@ -91,8 +91,7 @@ def learned(spark, sf_dir):
 @query()
 def clustering_grid(spark, sf_dir):
     rows = learned(spark, sf_dir)
-    chosen = [s for s in C.grid() if s.name in ("dbscan_current", "dbscan_split_time_4h", "graph_entity_6h", "graph_entity_semantic_cos_24h", "temporal_only_macro_elbow_floor4", "bayesian_blocks_p8")]
-    return C.compare(rows, Q.entities(rows).select("alert_id", "entity"), truth(alerts(spark, sf_dir)), chosen)
+    return C.compare(rows, Q.entities(rows).select("alert_id", "entity"), truth(alerts(spark, sf_dir)), C.grid())
 
 
 @query()
@@ -107,6 +106,9 @@ def holdout_folds(spark, sf_dir):
 l AS (SELECT p.alert_id AS a, q.alert_id AS b FROM e p JOIN e q ON p.x = q.x AND p.alert_id <> q.alert_id AND abs(epoch_us(p.ts) - epoch_us(q.ts)) <= 7200000000),
 r AS (SELECT alert_id AS a, alert_id AS b FROM alerts WHERE severity >= 9 UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a AS alert_id, min(b) AS c FROM r GROUP BY a),
 g AS (SELECT c, count(*) AS n, row_number() OVER (ORDER BY c) - 1 AS k FROM m GROUP BY c) SELECT CAST(CASE WHEN n < 2 THEN -1 ELSE k END AS INTEGER) AS cluster, alert_id FROM m JOIN g USING (c)""")
-def rule_clusters(spark, sf_dir):
-    rows = alerts(spark, sf_dir).filter("severity >= 9")
+def rule_clusters(spark, sf_dir, severity=9):
+    rows = Q.severe(spark, sf_dir, severity)
     return C.rule_clusters(rows, Q.entities(rows).select("alert_id", "entity"))
+
+
+on_all(rule_clusters, severity=None)

@@ -340,6 +340,12 @@ def test_best_match_and_summary(spark):
 
 
 # --- similarity, features, learning ----------------------------------------------------------------------------------
+def test_dbscan_counts_equal_vectors_as_points(spark):
+    v = [[1.0, 0.0]] * 3 + [[0.0, 1.0]] + [[0.0, 0.0]] * 2 + [[0.9, 0.5]]
+    got = {r.vec_id: r.cluster for r in similarity.dbscan(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<float>"), 0.2, 4).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: None, 4: None, 5: None, 6: 0}
+
+
 def test_dbscan_on_three_points(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.99, 0.01], 0), (3, [0.0, 1.0], 1)], "vec_id int, embedding array<float>, label int")
     assert {r.vec_id: r.cluster for r in similarity.dbscan(v, 0.2).collect()} == {1: 1, 2: 1, 3: None}
