@@ -68,7 +68,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rounds=200, settle=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,12 +56,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, settle: bool = False) -> DataFrame:
     """Personalised PageRank of every (kind, host) over ``edges`` (kind, src, dst, links), teleporting to ``seeds`` (kind, host, seed).
 
     Seeds of a kind sum to 1. Each round is a join on the source, a combine by target and one small aggregate; it is
     written to shared storage, which cuts lineage. Mass on hosts without links returns to the seeds. Ends after
-    ``rounds`` or when no kind moved by ``tolerance``. Returns (kind, host, score).
+    ``rounds`` or when no kind moved by ``tolerance``; with ``settle`` the former is an error. Returns (kind, host, score).
     """
     degree = edges.groupBy("kind", F.col("src").alias("host")).agg(F.sum("links").alias("out"))
     hosts = seeds.select("kind", "host").unionByName(edges.select("kind", F.col("src").alias("host"))).unionByName(edges.select("kind", F.col("dst").alias("host"))).distinct()
@@ -77,10 +77,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         if max((r[0] for r in ranks.groupBy("kind").agg(F.sum("moved")).select("sum(moved)").collect()), default=0) < tolerance:
             break
         ranks = ranks.drop("moved")
+    else:
+        if settle:
+            raise RuntimeError(f"trust did not settle in {rounds} rounds")
     return ranks.select("kind", "host", "score")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, ratio: float = 1.0, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, ratio: float = 1.0, damping: float = 0.85, rounds: int = 20, settle: bool = False) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     The longest fitting rule decides. Where none fits, the host does: trust is personalised PageRank along the links from
@@ -90,7 +93,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, ratio: float = 1
 
     Null urls and urls without ``://`` have empty host and path, fit no rule and are allowed; null html has no links.
     Repeated rows are judged alike and count once more as seeds. Empty tables give no rows. Host scores are broadcast
-    only if few; else hosts with very many pages are, and the rest shuffle.
+    only if few; else hosts with very many pages are, and the rest shuffle. With ``settle`` scores that still move after
+    ``rounds`` are an error.
     """
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -103,7 +107,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, ratio: float = 1
     counts = judged.filter("ruled is not null and host != ''").groupBy(kind.alias("kind"), "host").count()
     totals = F.broadcast(counts.groupBy("kind").agg(F.sum("count").alias("all")))
     seeds = materialize(counts.join(totals, "kind").select("kind", "host", (F.col("count") / F.col("all")).alias("seed")), "host-seeds")
-    scores = propagate(edges, seeds, damping, rounds)
+    scores = propagate(edges, seeds, damping, rounds, settle=settle)
     by_host = scores.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
     out = join_hot(judged, by_host, "host", judged.count()).fillna({"trust": 0.0, "distrust": 0.0})
     by_method = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")

@@ -391,6 +391,20 @@ def test_trust_and_distrust_spread(spark):
     assert [got[i].verdict for i in (2, 3, 4, 6)] == ["allow", "allow", "block", "block"]
 
 
+def test_trust_reaches_hosts_beyond_twenty_links(spark, monkeypatch):
+    edges = spark.createDataFrame([("trust", f"h{i}", f"h{i + 1}", 1) for i in range(25)], "kind string, src string, dst string, links long")
+    seeds = spark.createDataFrame([("trust", "h0", 1.0)], "kind string, host string, seed double")
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(edges, seeds, rounds=3, settle=True)
+    scores = {r.host: r.score for r in url_filter.propagate(edges, seeds, rounds=200, tolerance=1e-2, settle=True).collect()}
+    want = brute_rank([(f"h{i}", f"h{i + 1}", 1) for i in range(25)], {"h0": 1.0}, rounds=300)
+    assert len(scores) == 26 and all(scores[h] == pytest.approx(want[h], abs=1e-2) and scores[h] > 0 for h in want)
+    taken = {}
+    monkeypatch.setattr(url_filter, "judge_urls", lambda pages, **kw: taken.update(kw))
+    queries.op10_url_filter(spark, SF)
+    assert taken == {"rounds": 200, "settle": True}
+
+
 # --- tokens ----------------------------------------------------------------------------------------------------------
 def test_token_files_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
