@@ -53,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns (doc_id, start, n_tokens, ids_crc32) read back from them."""
-    return token_output.token_files(docs, tokenizer_path("word_bpe_49k.json"), remember=50_000)
+    return token_output.token_files(docs, tokenizer_path("word_bpe_49k.json"), remember=400_000)
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 from pathlib import Path
 
@@ -13,8 +15,16 @@ from pyspark.sql import functions as F
 from ridgeline.operators.tables import few
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of rows that a Python worker gets at a time (a longer row comes alone).
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package when only the driver's path has it."""
+    """Lets Python workers import this package when only the driver's path has it, and bounds what they get at a time in bytes.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session; Spark's own default is 64 MB.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
@@ -63,16 +73,29 @@ _KEPT: dict[str, Callable[[], None]] = {}
 
 def claim(name: str, forget: Callable[[], None]) -> None:
     """Called by a task whose operator keeps something in the worker: what other operators kept there is dropped, since a worker serves them one after another."""
-    for other in [k for k in _KEPT if k != name]:
+    others = [k for k in _KEPT if k != name]
+    for other in others:
         _KEPT.pop(other)()
     _KEPT[name] = forget
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the machine; allocators otherwise keep it for the operators to come."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only some C libraries have it
+        pass
 
 
 def claim_hashes() -> None:
     claim("hashes", _POWERS.clear)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         for name, base in (("up", BASE), ("down", INVERSE)):
@@ -97,7 +120,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple
     before = np.concatenate(([False], word[:-1])) & ~edge[:-1]
     after = np.concatenate((word[1:], [False])) & ~edge[1:]
     first, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[low] * word * up[: len(data)], out=total[1:])
     hashes = mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
