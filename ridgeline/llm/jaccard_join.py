@@ -10,9 +10,13 @@ of coordinate differences, and the sum of coordinate minima bounds their overlap
    extent in its block; finding it is a hash lookup, which Spark does by a shuffle. A block without any rare shingle says
    little, since passages that many documents share fill it alike. There are s more blocks than needed, so a set with
    no more than s such blocks leaves their cells out: partners of which one does so agree in another block, too;
-3. leaves: cells that share points form candidate groups, small but for true families of near copies. Inside one, points
-   are packed into leaves with upper corners, and pairs are dropped by the summed minima of corner and point, then of
-   both points; what survives is verified on the sets.
+3. boxes: cells that share points form candidate groups, small but for true families of near copies. Inside one, points
+   of ``GROUPS`` counts are packed by halving at the widest coordinate into leaves and inner nodes with upper corners. A
+   search goes down from the root and drops nodes, then points, whose summed minima with the searched point are below
+   the least overlap that a link of their sizes needs; what survives is verified on the sets.
+
+The counts of level 2 are over as many groups as there are hashes, so that a block of few shingles still tells texts apart
+in a corpus of billions; with 64 groups most points would share some block by chance.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from ridgeline.llm.common import SPACED, by_ids, claim_hashes, hash_words, mix,
 from ridgeline.operators.components import components
 from ridgeline.operators.tables import few, join_hot, materialize
 
-#: Groups of the points that leaves compare, and points of a leaf.
-GROUPS, LEAF = 64, 32
+#: Groups of the points in boxes, points of a leaf, and nodes of an inner node.
+GROUPS, LEAF, FAN = 64, 32, 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -158,37 +162,72 @@ def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
     return rule.den * common >= rule.num * (len(a) + len(b) - common)
 
 
+def pack(points: np.ndarray) -> np.ndarray:
+    """An order of points in which runs of ``LEAF`` lie close together: halves at the coordinate of widest spread, again and again."""
+    order, work = np.arange(len(points)), [(0, len(points))]
+    while work:
+        a, b = work.pop()
+        if b - a <= LEAF:
+            continue
+        part = order[a:b]
+        axis = int(points[part].var(0).argmax())
+        order[a:b] = part[np.argsort(points[part, axis], kind="stable")]
+        middle = a + -(-(b - a) // (2 * LEAF)) * LEAF  # leaves stay whole
+        work += [(a, middle), (middle, b)]
+    return order
+
+
+class PointTree:
+    """A packed R-tree over points in order of size: each node has the upper corner of its points and their least and greatest place."""
+
+    def __init__(self, points: np.ndarray, size: np.ndarray, rule: Rule):
+        self.points, self.size, self.rule = points, size, rule
+        self.order = pack(points)
+        corner, low, high = points[self.order], self.order, self.order
+        self.levels = []
+        fan = LEAF
+        while not self.levels or len(low) > 1:
+            at = np.arange(0, len(low), fan)
+            corner, low, high = np.maximum.reduceat(corner, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            self.levels.append((corner, low, high))
+            fan = FAN
+
+    def search(self, q: int, first: int) -> np.ndarray:
+        """Places from ``first`` to before ``q`` whose sets can link with that of place ``q``, by the summed minima of node and point, then of both points."""
+        p, size = self.points[q], self.size
+        nodes = np.zeros(1, np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            corner, low, high = self.levels[k]
+            nodes = nodes[(low[nodes] < q) & (high[nodes] >= first)]
+            bound = np.minimum(corner[nodes], p).sum(1)
+            nodes = nodes[bound >= self.rule.overlap(size[np.maximum(low[nodes], first)] + size[q])]
+            fan, below = (FAN, len(self.levels[k - 1][1])) if k else (LEAF, len(self.order))
+            nodes = (nodes[:, None] * fan + np.arange(fan)).ravel()
+            nodes = nodes[nodes < below]
+        places = np.sort(self.order[nodes])
+        places = places[(places >= first) & (places < q)]
+        return places[np.minimum(self.points[places], p).sum(1) >= self.rule.overlap(size[places] + size[q])]
+
+
 def link_group(sets: list[np.ndarray], labels: np.ndarray, fresh: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     """A spanning set of links among ``sets``: pairs of equal ``labels`` are known to be connected and are not compared again.
 
-    Only pairs of which one at least is ``fresh`` are looked at. Points lie in leaves of up to ``LEAF`` in order of size;
-    a leaf keeps its upper corner. For each set, leaves are dropped by size and by the summed minima with the corner, then
-    points by their own summed minima; survivors in another component are verified until none is left.
+    Only pairs of which one at least is ``fresh`` are looked at. Each set is searched in the tree among those before it in
+    order of size; survivors in another component are verified until none is left.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
-    points = np.stack([point(sets[i]) for i in order])
     size, labels, fresh = size[order], labels[order].copy(), fresh[order]
-    corners = np.stack([points[i : i + LEAF].max(0) for i in range(0, n, LEAF)])
-    least = size[::LEAF]
+    tree = PointTree(np.stack([point(sets[i]) for i in order]), size, rule)
     out = []
     for q in range(1, n):
         # smaller sets only, from the first that is large enough
         first = int(np.searchsorted(size, -(-rule.num * size[q] // rule.den)))
-        if first >= q:
-            continue
-        leaves = np.arange(first // LEAF, (q - 1) // LEAF + 1)
-        bound = np.minimum(corners[leaves], points[q]).sum(1)
-        leaves = leaves[bound >= rule.overlap(least[leaves] + size[q])]
-        if not len(leaves):
+        if first >= q or not size[q]:
             continue
-        others = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        others = others[(others >= first) & (others < q)]
+        others = tree.search(q, first)
         others = others[(labels[others] != labels[q]) & (fresh[others] | fresh[q])]
-        if not len(others):
-            continue
-        others = others[np.minimum(points[others], points[q]).sum(1) >= rule.overlap(size[others] + size[q])]
         others = others[::-1]  # the nearest in size first
         while len(others):
             o = others[0]
@@ -204,7 +243,7 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _each_set(batch: pa.RecordBatch, rule: Rule, size: int = 2_000_000):
+def _each_set(batch: pa.RecordBatch, rule: Rule, size: int = 1 << 20):
     """Runs of a batch's rows with their sets."""
     claim_hashes()
     data, starts = text_buffers(batch.column("text"))
@@ -223,7 +262,7 @@ def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
     return _text_rows(docs).mapInArrow(build, "doc_id long, n_shingles long, set long")
 
 
-def common_shingles(docs: DataFrame, rule: Rule, least: int = 32, most: int = 1_000_000, run: int = 4_000_000) -> np.ndarray:
+def common_shingles(docs: DataFrame, rule: Rule, least: int = 32, most: int = 1_000_000, run: int = 2_000_000) -> np.ndarray:
     """Sorted shingles of many different sets, from all documents: counts of those that repeat within a run of about ``run``
     shingles are summed and kept from ``least`` on, the ``most`` commonest of them (8 MB). Missing one costs time only."""
 
@@ -339,13 +378,15 @@ def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
     return sets.join(F.broadcast(roots) if few(roots) else roots, "set", "left").withColumn("label", F.coalesce("label", "set"))
 
 
-def group_links(sets: DataFrame, rule: Rule, capacity: int) -> DataFrame:
+def group_links(sets: DataFrame, rule: Rule, capacity: int, most_sets: int = 512) -> DataFrame:
     """(a, b): a spanning set of links among ``sets`` (set, size, shingles, root), which can link only within a root.
 
-    Roots of up to ``capacity`` shingles are compared in one task. A larger one is cut into parts: first the leading part
+    Roots of up to ``capacity`` shingles and ``most_sets`` sets are compared in one task. A larger one is cut into parts: first the leading part
     meets every part, which connects a family of near copies; then those pairs of parts meet that still hold more than one
     component, parts being cut anew so that large components have parts of their own. No pair of sets is left out.
     """
+    # a set weighs its shingles, or what makes most_sets of them a task's share
+    sets = sets.withColumn("size", F.greatest("size", F.lit(capacity // most_sets)))
     totals = sets.groupBy("root").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     big = totals.filter(F.col("total") > capacity).withColumn("parts", F.ceil(F.col("total") / capacity) + 1)
     small = sets.join(totals.filter(F.col("total") <= capacity).select("root"), "root", "left_semi")
@@ -398,7 +439,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 2_0
     found = components(group_links(sets, rule, capacity))
     # the least doc_id of a component: of its root and of all nodes under it
     pairs = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set")
-    least = pairs.join(reps, "set").groupBy("root").agg(F.min("rep").alias("least"))
+    least = materialize(pairs.join(reps, "set").groupBy("root").agg(F.min("rep").alias("least")), "least")
     merged = pairs.join(F.broadcast(least) if few(least) else least, "root").select("set", "least")
     repeated = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set", "rep")
     both = materialize(repeated.join(merged, "set", "full").select("set", F.coalesce("least", "rep").alias("least")), "classes")
