@@ -1,75 +1,5 @@
-"""A corpus from raw documents to token files, in five stages.
+"""A corpus from raw documents to token files: the stages of ``ridgeline.llm.pipeline`` under the names of the driver's contract."""
 
-Each stage takes (spark, docs, sf_dir), decides about all documents that the one before kept, and returns the documents
-that stay with the columns of ``documents``; the last returns what it read back from its token files. Stages keep clean
-documents whole: a document leaves because it is toxic, a near copy of one that stays, contaminated, or not drawn by the mix.
-"""
+from ridgeline.llm.pipeline import ORACLE_SQL, STAGES, drop_contaminated, drop_near_duplicates, drop_toxic, mix, run, write_tokens
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ridgeline.llm import decontaminate, jaccard_join, mixing, token_output, toxicity
-from ridgeline.llm.common import by_ids
-from ridgeline.llm.queries import TOXIC, tokenizer_path
-from ridgeline.operators.tables import materialize
-
-#: Number of a row while a stage decides about it.
-ROW = "_row"
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose probability of being toxic reaches ``TOXIC``."""
-    model = toxicity.train_by_language(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.toxicity_scores(docs, model, out="_toxicity")
-    return scored.filter(F.element_at("_toxicity", -1) < TOXIC).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least (doc_id, row number) of each component of links at five words and a similarity of 0.8.
-
-    Rows are told apart by a number that is written once with them, so null and repeated ids are searched and removed
-    like others; a null id comes after all others.
-    """
-    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    found = jaccard_join.jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), jaccard_join.Rule(5, 8, 10))
-    classes = materialize(found.select(F.col("doc_id").alias(ROW), "component_id"), "classes")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    first = classes.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min_by(ROW, place).alias(ROW))
-    copies = materialize(classes.join(first.select(ROW), ROW, "left_anti").select(ROW), "near-copies")
-    return by_ids(rows, copies, ROW, "left_anti").select(*docs.columns)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a passage of ten words of a benchmark item, or all of a shorter one."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops and repeats documents until the sources' words are near their targets."""
-    return mixing.mixed_documents(docs)
-
-
-def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns (doc_id, start, n_tokens, ids_crc32) read back from them."""
-    return token_output.token_files(docs, tokenizer_path("word_bpe_49k.json"), remember=400_000)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", drop_near_duplicates),
-    ("benchmark_decontamination", drop_contaminated),
-    ("source_mixing", mix),
-    ("token_output", write_tokens),
-]
-
-#: A trained classifier decides the first stage, so SQL can't give run()'s rows; tests hold each stage against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "drop_contaminated", "drop_near_duplicates", "drop_toxic", "mix", "run", "write_tokens"]

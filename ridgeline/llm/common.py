@@ -36,6 +36,14 @@ def fold_ascii(text: Column) -> Column:
     return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, UPPER.lower()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` on distinct ``ids``; the ids are broadcast only if a count shows that they are few."""
     return docs.join(F.broadcast(ids) if few(ids) else ids, column, how)

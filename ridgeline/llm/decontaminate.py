@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import ALNUM, claim_hashes, hash_words, prepare, slices, text_buffers
+from ridgeline.operators.tables import materialize
 
-#: Symbols of the indexed text: its own end, the end of a document, any run of words that no test phrase has, then the phrases' words.
-LAST, END, OTHER, FIRST = 0, 1, 2, 3
+#: Symbols of the indexed text: its own end, the end of a document, then the shard's words in order of their hashes.
+LAST, END, FIRST = 0, 1, 2
 
 
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
@@ -127,13 +127,45 @@ class FMIndex:
 
 @dataclass(frozen=True)
 class Phrases:
-    """A block of test phrases: windows over the vocabulary, and which items (by place in ``items``) have each."""
-
-    windows: np.ndarray  # right-aligned symbols
-    sizes: np.ndarray
-    owner_start: np.ndarray
-    owners: np.ndarray
-    items: list[str]
+    """A block of test phrases: the word hashes of items end to end, where each item begins, and the items' ids."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    items: list[str | None]
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows of ``width`` consecutive words (rows of hashes, right-aligned), their sizes, and which items have each: the
+        owners of window i are ``owners[at[i] : at[i + 1]]``. An item of fewer words, but not none, is one window."""
+        size = np.diff(self.starts)
+        n = np.where(size > 0, np.maximum(size - width + 1, 1), 0)
+        item = np.repeat(np.arange(len(size)), n)
+        begin = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + self.starts[item]
+        long = np.minimum(size, width)[item]
+        place = begin[:, None] + np.arange(width) - (width - long)[:, None]
+        rows = np.where(np.arange(width) >= (width - long)[:, None], self.words[np.maximum(place, 0)], np.uint64(0))
+        order = np.lexsort((item, *rows.T, long))
+        rows, item, long = rows[order], item[order], long[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1) | (long[1:] != long[:-1])
+        at = np.append(np.flatnonzero(new), len(rows))
+        return rows[new], long[new], at, item
+
+
+def phrase_blocks(items: list[tuple[str | None, np.ndarray]], width: int, block_items: int, block_words: int) -> list[Phrases]:
+    """Cuts items into blocks of up to ``block_items`` items and about ``block_words`` words; a longer item goes on in the next block, ``width`` - 1 words back."""
+    pieces = []
+    for name, words in items:
+        step = max(1, block_words)
+        for i in range(0, max(1, len(words) - width + 1), step):
+            pieces.append((name, words[i : i + step + width - 1]))
+    blocks, held, n = [], [], 0
+    for k, (name, words) in enumerate(pieces):
+        held.append((name, words))
+        n += len(words)
+        if n >= block_words or len(held) == block_items or k == len(pieces) - 1:
+            blocks.append(Phrases(np.concatenate([w for _, w in held]), np.cumsum([0, *(len(w) for _, w in held)]), [i for i, _ in held]))
+            held, n = [], 0
+    return blocks
 
 
 def item_words(texts: list[str | None]) -> list[np.ndarray]:
@@ -142,29 +174,10 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [hashes[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def make_phrases(items: list[tuple[str | None, np.ndarray]], vocabulary: np.ndarray, width: int) -> Phrases:
-    """Distinct windows of ``width`` consecutive words; an item of fewer words, but not none, is one window."""
-    owners: dict[bytes, list[int]] = {}
-    for k, (_, words) in enumerate(items):
-        ids = (np.searchsorted(vocabulary, words) + FIRST).astype(np.int32)
-        for i in range(max(1, len(ids) - width + 1) if len(ids) else 0):
-            own = owners.setdefault(ids[i : i + width].tobytes(), [])
-            if not own or own[-1] != k:
-                own.append(k)
-    windows = np.zeros((len(owners), width), np.int32)
-    sizes = np.zeros(len(owners), np.int64)
-    for i, w in enumerate(owners):
-        ids = np.frombuffer(w, np.int32)
-        windows[i, width - len(ids) :] = ids
-        sizes[i] = len(ids)
-    counts = np.array([len(x) for x in owners.values()], np.int64)
-    return Phrases(windows, sizes, np.concatenate(([0], np.cumsum(counts))).astype(np.int64), np.array([k for x in owners.values() for k in x], np.int64), [i for i, _ in items])
-
-
-def scan_shard(data: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, blocks, chunk: int = 1 << 20):
-    """Indexes the texts of one shard and finds the phrases of all ``blocks`` in it.
-
-    Returns for each text the number of words and its sorted item ids, and for the shard the merged spans: arrays of the
+def scan_shard(data: np.ndarray, starts: np.ndarray, blocks, width: int, chunk: int = 1 << 20):
+    """Indexes all words of one shard's texts and finds the phrases of all ``blocks`` in it.
+
+    Returns for each text the number of words and its item ids, and for the shard the merged spans: arrays of the
     text's number, first and end word, first byte and end in the text.
     """
     words, first, end, at = hash_words(data, starts, ALNUM)
@@ -172,26 +185,25 @@ def scan_shard(data: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, blo
     n_words = np.diff(at)
     found: list[set[str | None]] = [set() for _ in range(docs)]
     none = np.zeros(0, np.int64)
-    if not len(words) or not len(vocabulary):
+    if not len(words):
         return n_words, found, (none,) * 5
-    place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    symbol = np.where(vocabulary[place] == words, place + FIRST, OTHER)
+    vocabulary, symbol = np.unique(words, return_inverse=True)
     doc = np.repeat(np.arange(docs), n_words)
-    # runs of other words become one symbol; each document ends with END
-    keep = (symbol != OTHER) | np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])))
-    word_of = np.flatnonzero(keep)
-    slot = np.arange(len(word_of)) + doc[word_of]
-    text = np.full(len(word_of) + docs + 1, END, np.int64)
+    slot = np.arange(len(words)) + doc  # each document ends with END
+    text = np.full(len(words) + docs + 1, END, np.int64)
     text[-1] = LAST
-    text[slot] = symbol[word_of]
+    text[slot] = symbol + FIRST
     back = np.full(len(text), -1, np.int64)
-    back[slot] = word_of
+    back[slot] = np.arange(len(words))
     index = FMIndex(text, len(vocabulary) + FIRST)
     edges = np.zeros(len(words) + 1, np.int64)
-    for p in blocks:
-        low, high = index.search(p.windows, p.sizes)
-        there = np.flatnonzero(high > low)
-        counts = (high - low)[there]
+    for block, (windows, sizes, owner_at, owners) in blocks:
+        place = np.minimum(np.searchsorted(vocabulary, windows), len(vocabulary) - 1)
+        padding = np.arange(width) < (width - sizes)[:, None]
+        known = np.flatnonzero(((vocabulary[place] == windows) | padding).all(1))  # a word that the shard lacks is nowhere in its index
+        low, high = index.search((place[known] + FIRST).astype(np.int32), sizes[known])
+        there, counts = np.flatnonzero(high > low), high - low
+        counts = counts[there]
         ends = np.cumsum(counts)
         i = 0
         while i < len(there):  # a bounded number of occurrences at a time, though one window's all at once
@@ -201,11 +213,12 @@ def scan_shard(data: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, blo
             base = ends[i - 1] if i else 0
             rows = low[which] + (np.arange(len(which)) + base - skip)
             word = back[index.locate(rows)]
+            window = known[which]
             np.add.at(edges, word, 1)
-            np.add.at(edges, word + p.sizes[which], -1)
-            pairs = np.unique(doc[word] * len(p.sizes) + which)
-            for d, w in zip(pairs // len(p.sizes), pairs % len(p.sizes), strict=True):
-                found[d].update(p.items[k] for k in p.owners[p.owner_start[w] : p.owner_start[w + 1]])
+            np.add.at(edges, word + sizes[window], -1)
+            pairs = np.unique(doc[word] * len(sizes) + window)
+            for d, w in zip((pairs // len(sizes)).tolist(), (pairs % len(sizes)).tolist(), strict=True):
+                found[d].update(block.items[k] for k in owners[owner_at[w] : owner_at[w + 1]])
             i = j
     hit = np.cumsum(edges[:-1]) > 0
     new = hit & ~(np.concatenate(([False], hit[:-1])) & np.concatenate(([False], doc[1:] == doc[:-1])))
@@ -215,91 +228,122 @@ def scan_shard(data: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, blo
     return n_words, found, (d, a - at[d], b + 1 - at[d], first[a] - starts[d], end[b] - starts[d])
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word:int,end_word:int,first_byte:int,end_byte:int>>"
+SPANS = "array<struct<first_word:int,end_word:int,first_byte:int,end_byte:int>>"
+SPAN = pa.list_(pa.struct([(n, pa.int32()) for n in ("first_word", "end_word", "first_byte", "end_byte")]))
 
 
-def _searcher(spark: SparkSession, benchmark: DataFrame, width: int, shard_bytes: int, block_items: int, max_benchmark_bytes: int, unnamed: bool):
-    """A function for tasks: of a column of texts, each run of rows (from, to) with what ``scan_shard`` finds in it."""
+def _searchers(spark: SparkSession, benchmark: DataFrame, width: int, shard_bytes: int, block_items: int, block_words: int, part_bytes: int, unnamed: bool):
+    """A function for tasks per part of the benchmark: of a column of texts, each run of rows (from, to) with what ``scan_shard`` finds in it."""
     prepare(spark)
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_benchmark_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; split it into parts of at most {max_benchmark_bytes}")
-    got = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null" if unnamed else "item_id is not null and text is not null").toPandas().sort_values(["item_id", "text"])
-    words = item_words(got["text"].tolist())
-    vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    items = list(zip(got["item_id"].astype(object).where(got["item_id"].notna(), None), words, strict=True))
-    broadcast = spark.sparkContext.broadcast
-    shared = broadcast(vocabulary)
-    blocks = [broadcast(make_phrases(items[i : i + block_items], vocabulary, width)) for i in range(0, len(items), block_items)]
-
-    def load():
-        for b in blocks:
-            yield b.value
-            if len(blocks) > 1:
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null" if unnamed else "item_id is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+
+    def searcher(part: int):
+        got = rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).toPandas().sort_values(["item_id", "text"])
+        items = zip(got["item_id"].astype(object).where(got["item_id"].notna(), None), item_words(got["text"].tolist()), strict=True)
+        blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks([i for i in items if len(i[1])], width, block_items, block_words)]
+        ready: list = []
+
+        def load():
+            if len(blocks) == 1:  # kept for all shards of a task
+                if not ready:
+                    ready.append((blocks[0].value, blocks[0].value.windows(width)))
+                yield from ready
+                return
+            for b in blocks:
+                yield b.value, b.value.windows(width)
                 del b._value
 
-    def search(column):
-        data, starts = text_buffers(column)
-        for i, j in slices(starts, shard_bytes):
-            yield i, j, *scan_shard(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], shared.value, load())
+        def search(column):
+            data, starts = text_buffers(column)
+            for i, j in slices(starts, shard_bytes):
+                yield i, j, *scan_shard(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], load(), width)
 
-    return search
+        return search
 
+    return parts, searcher
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20, unnamed: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged, to be removed).
 
-    Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A phrase is ``width`` consecutive
-    words of a benchmark item, or all words of a shorter item. Each task cuts its texts into shards of about
-    ``shard_bytes`` (a longer text is a shard), gives words numbers, runs of words that no phrase has one number
-    together, and builds the shard's FM-index; every phrase is searched backwards in it, and occurrences are located from
-    sampled suffixes. Words are told apart by 64-bit hashes. Nothing shuffles, and copies or passages that many documents
-    share cost no more than other text.
-
-    The benchmark is the query set: its size is checked (``max_benchmark_bytes``, else ValueError), and it is broadcast in
-    blocks of ``block_items`` items that a task loads one after another, so many items mean more time, not memory.
-    Null and empty texts have no words and no hits; null texts and items without words match nothing; items that repeat
-    count under each id. Items with a null id are left out, or with ``unnamed`` searched like others: they count as one
-    item together, and ``items_sha256`` has no id of theirs. Without a benchmark nothing is contaminated. Repeated rows are treated alike; empty tables give
-    no rows; other columns are not read.
-    """
-    search = _searcher(docs.sparkSession, benchmark, width, shard_bytes, block_items, max_benchmark_bytes, unnamed)
-    span = pa.list_(pa.struct([(n, pa.int32()) for n in ("first_word", "end_word", "first_byte", "end_byte")]))
+def _scanned(docs: DataFrame, search, keys: str) -> DataFrame:
+    """(keys of ``docs``, n_words, items, spans) of every row of ``docs`` (keys, text)."""
+    names = [n for n in docs.columns if n != "text"]
 
     def scan(batches):
         claim_hashes()
         for batch in batches:
-            ids = batch.column("doc_id")
             for i, j, n_words, found, (d, a, b, x, y) in search(batch.column("text")):
-                n_hit = np.bincount(d, b - a, j - i).astype(np.int64)
-                names = [sorted(f - {None}) for f in found]
-                digests = [sha256(",".join(f).encode()).hexdigest() for f in names]
                 at = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=j - i))))
-                spans = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (a, b, x, y)], fields=list(span.value_type))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(f) for f in found], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-                )
+                spans = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (a, b, x, y)], fields=list(SPAN.value_type))
+                items = pa.array([sorted(f - {None}) + [None] * (None in f) for f in found], pa.list_(pa.string()))  # those without an id: one null
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), pa.array(n_words.astype(np.int64)), items, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)], [*names, "n_words", "items", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, RESULT)
+    return docs.mapInArrow(scan, f"{keys}, n_words long, items array<string>, spans {SPANS}")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2_000_000, block_items: int = 20_000, max_benchmark_bytes: int = 256 << 20, unnamed: bool = False) -> DataFrame:
-    """The rows of ``docs`` that ``find_contamination`` doesn't mark, with all their columns.
+def _united(parts: list[DataFrame]) -> DataFrame:
+    """What several parts of a benchmark found, by row: items united and spans merged."""
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p.filter("size(spans) > 0"))
+    by_row = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # a span that begins within the last one, or where it ends, is drawn into it
+    merged = """aggregate(spans, cast(array() as SPANS), (a, x) -> if(size(a) > 0 and element_at(a, -1).end_word >= x.first_word,
+        concat(slice(a, 1, size(a) - 1), array(named_struct('first_word', element_at(a, -1).first_word, 'end_word', greatest(element_at(a, -1).end_word, x.end_word),
+        'first_byte', element_at(a, -1).first_byte, 'end_byte', greatest(element_at(a, -1).end_byte, x.end_byte)))), concat(a, array(x))))"""
+    return by_row.withColumn("spans", F.expr(merged.replace("SPANS", SPANS)))
 
-    Each row is decided by its own text where it lies, so null and repeated ids matter to nobody, and nothing shuffles.
-    """
-    search = _searcher(docs.sparkSession, benchmark, width, shard_bytes, block_items, max_benchmark_bytes, unnamed)
 
-    def keep(batches):
-        claim_hashes()
-        for batch in batches:
-            for i, j, _, _, (d, *_) in search(batch.column("text")):
-                clean = np.ones(j - i, bool)
-                clean[d] = False
-                yield batch.slice(i, j - i).filter(pa.array(clean))
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 1 << 20, block_items: int = 20_000, block_words: int = 200_000, part_bytes: int = 64 << 20, unnamed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged, to be removed).
+
+    Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A phrase is ``width`` consecutive
+    words of a benchmark item, or all words of a shorter item. Each task cuts its texts into shards of about
+    ``shard_bytes`` (a longer text is a shard), numbers their words and builds the FM-index of all of them; every phrase is
+    searched backwards in it, and occurrences are located from sampled suffixes. Words are told apart by 64-bit hashes.
+    Nothing shuffles, and copies or passages that many documents share cost no more than other text.
+
+    The benchmark is the query set: it is broadcast in blocks of ``block_items`` items or ``block_words`` words that a task loads one after another.
+    One of over ``part_bytes`` is searched in parts, each by a pass of its own over the texts, whose results are united by
+    row; a benchmark of any size is thus searched whole, in more time. Null and empty texts have no words and no hits; null
+    texts and items without words match nothing; items that repeat count under each id. Items with a null id are left
+    out, or with ``unnamed`` searched like others: they count as one item together, and ``items_sha256`` has no id of
+    theirs. Without a benchmark nothing is contaminated. Repeated rows are treated alike; empty tables give no rows; other
+    columns are not read.
+    """
+    parts, searcher = _searchers(docs.sparkSession, benchmark, width, shard_bytes, block_items, block_words, part_bytes, unnamed)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if parts == 1:
+        found = _scanned(rows, searcher(0), "doc_id long")
+    else:
+        numbered = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
+        found = _united([materialize(_scanned(numbered, searcher(k), "row long, doc_id long"), "part") for k in range(parts)])
+    hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end_word - s.first_word)")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 1 << 20, block_items: int = 20_000, block_words: int = 200_000, part_bytes: int = 64 << 20, unnamed: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``find_contamination`` doesn't mark, with all their columns.
 
-    return docs.mapInArrow(keep, docs.schema)
+    Each row is decided by its own text where it lies, so null and repeated ids matter to nobody, and nothing shuffles. A
+    benchmark of several parts drops rows part by part.
+    """
+    parts, searcher = _searchers(docs.sparkSession, benchmark, width, shard_bytes, block_items, block_words, part_bytes, unnamed)
+
+    def without(rows: DataFrame, search) -> DataFrame:
+        def keep(batches):
+            claim_hashes()
+            for batch in batches:
+                for i, j, _, _, (d, *_) in search(batch.column("text")):
+                    clean = np.ones(j - i, bool)
+                    clean[d] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean))
+
+        return rows.mapInArrow(keep, docs.schema)
+
+    for k in range(parts):
+        docs = without(docs, searcher(k))
+    return docs
 
 
 SQL = r"""
