@@ -11,7 +11,7 @@ of coordinate differences, and the sum of coordinate minima bounds their overlap
    little, since passages that many documents share fill it alike. There are s more blocks than needed, so a set with
    no more than s such blocks leaves their cells out: partners of which one does so agree in another block, too;
 3. boxes: cells that share points form candidate groups, small but for true families of near copies. Inside one, points
-   of ``GROUPS`` counts are packed by halving at the widest coordinate into leaves and inner nodes with upper corners. A
+   of ``GROUPS`` counts or more are packed by halving at the widest coordinate into leaves and inner nodes with upper corners. A
    search goes down from the root and drops nodes, then points, whose summed minima with the searched point are below
    the least overlap that a link of their sizes needs; what survives is verified on the sets.
 
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import SPACED, by_ids, claim_hashes, hash_words, mix, prepare, slices, text_buffers
 from ridgeline.operators.components import components
-from ridgeline.operators.tables import few, join_hot, materialize
+from ridgeline.operators.tables import few, join_hot, materialize, release
 
-#: Groups of the points in boxes, points of a leaf, and nodes of an inner node.
+#: Least number of groups of the points in boxes, points of a leaf, and nodes of an inner node.
 GROUPS, LEAF, FAN = 64, 32, 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -106,8 +106,18 @@ def set_key(s: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.int32)
+def groups_of(size: int) -> int:
+    """Groups of a set's point: a power of two, ``GROUPS`` at least, so that a group has some 16 shingles at most and chance alone seldom fills minima."""
+    return max(GROUPS, 1 << max(0, -(-int(size) // 16) - 1).bit_length())
+
+
+def point(s: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((s >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.int32)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """A point of more groups as one of fewer."""
+    return p.reshape(-1, groups).sum(0, dtype=np.int32)
 
 
 def cells(sets: list[np.ndarray], rule: Rule, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,19 +219,17 @@ class PointTree:
         return places[np.minimum(self.points[places], p).sum(1) >= self.rule.overlap(size[places] + size[q])]
 
 
-def link_group(sets: list[np.ndarray], labels: np.ndarray, fresh: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """A spanning set of links among ``sets``: pairs of equal ``labels`` are known to be connected and are not compared again.
+def spanning(points: np.ndarray, size: np.ndarray, labels: np.ndarray, fresh: np.ndarray, rule: Rule, check) -> list[tuple[int, int]]:
+    """Pairs (by place) that connect what the tree's bound and then ``check`` let through; pairs of equal ``labels`` are known to be
+    connected and are not looked at, nor are pairs of which neither is ``fresh``.
 
-    Only pairs of which one at least is ``fresh`` are looked at. Each set is searched in the tree among those before it in
-    order of size; survivors in another component are verified until none is left.
+    Each set is searched in the tree among those before it in order of size; survivors in another component are checked until none is left.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     size, labels, fresh = size[order], labels[order].copy(), fresh[order]
-    tree = PointTree(np.stack([point(sets[i]) for i in order]), size, rule)
+    tree = PointTree(points[order], size, rule)
     out = []
-    for q in range(1, n):
+    for q in range(1, len(size)):
         # smaller sets only, from the first that is large enough
         first = int(np.searchsorted(size, -(-rule.num * size[q] // rule.den)))
         if first >= q or not size[q]:
@@ -232,13 +240,20 @@ def link_group(sets: list[np.ndarray], labels: np.ndarray, fresh: np.ndarray, ru
         while len(others):
             o = others[0]
             others = others[1:]
-            if linked(sets[order[o]], sets[order[q]], rule):
+            if check(int(order[o]), int(order[q])):
                 out.append((int(order[o]), int(order[q])))
                 labels[labels == labels[o]] = labels[q]
                 others = others[labels[others] != labels[q]]
     return out
 
 
+def link_group(sets: list[np.ndarray], labels: np.ndarray, fresh: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """A spanning set of links among ``sets``: what ``spanning`` lets through is verified on the sets."""
+    size = np.array([len(s) for s in sets], np.int64)
+    groups = groups_of(size.max())
+    return spanning(np.stack([point(s, groups) for s in sets]), size, labels, fresh, rule, lambda i, j: linked(sets[i], sets[j], rule))
+
+
 def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -372,13 +387,89 @@ def links(grouped: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("part", "set", "label", "fresh", "shingles").mapInArrow(run, "a long, b long")
 
 
+def _at(sets: DataFrame, rule: Rule, common: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(cell, set) and (set, size, point) of ``sets`` (set, size, shingles)."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
+    def each(batches):
+        for b in batches:
+            yield b.column("set"), [np.frombuffer(r, np.uint64) for r in b.column("shingles").to_pylist()]
+
+    def in_cells(batches):
+        for numbers, rows in each(batches):
+            owner, cell = cells(rows, rule, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), numbers.take(pa.array(owner))], ["cell", "set"])
+
+    def in_points(batches):
+        for numbers, rows in each(batches):
+            packed = [point(r, groups_of(len(r))).astype("<u2").tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([numbers, pa.array([len(r) for r in rows], pa.int64()), pa.array(packed, pa.binary())], ["set", "size", "point"])
+
+    rows = sets.select("set", "shingles")
+    return rows.mapInArrow(in_cells, "cell long, set long"), rows.mapInArrow(in_points, "set long, size long, point binary")
+
+
+def _near(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): pairs that connect, in every cell of ``rows`` (cell, set, size, point), the sets which the summed minima of their points allow to link."""
+
+    def run(batches):
+        cell, held = None, []
+        for b in batches:
+            for c, s, n, raw in zip(*(b.column(x).to_pylist() for x in ("cell", "set", "size", "point")), strict=True):
+                if c != cell:
+                    yield from finish(held)
+                    cell, held = c, []
+                held.append((s, n, np.frombuffer(raw, "<u2").astype(np.int32)))
+        yield from finish(held)
+
+    def finish(held):
+        if len(held) > 1:
+            groups = min(len(p) for _, _, p in held)
+            points = np.stack([folded(p, groups) for _, _, p in held])
+            found = spanning(points, np.array([n for _, n, _ in held], np.int64), np.arange(len(held)), np.ones(len(held), bool), rule, lambda i, j: True)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())], ["a", "b"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "set").select("cell", "set", "size", "point").mapInArrow(run, "a long, b long")
+
+
+def refined(sets: DataFrame, rule: Rule, common: np.ndarray, capacity: int, most_sets: int) -> DataFrame:
+    """``sets`` (set, size, shingles, root) with the roots of over ``capacity`` shingles or ``most_sets`` sets divided by the points.
+
+    Passages that many documents share chain cells into roots that hold a large part of a corpus. Their sets are put in
+    cells again, this time with their points, and only pairs whose summed minima allow a link hold a root together. Cells
+    with the same sets are looked at once. A cell of over four times ``most_sets`` stays together as it is. Sets that
+    near no other leave; no pair that can link is parted.
+    """
+    totals = sets.groupBy("root").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("members"))
+    big = materialize(totals.filter((F.col("total") > capacity) | (F.col("members") > most_sets)).select("root"), "big-roots")
+    if few(big, 0):
+        return sets
+    chosen = materialize(by_ids(sets, big, "root", "left_semi").drop("root"), "chosen")
+    cell, points = _at(chosen, rule, common)
+    cell = materialize(cell, "cells")
+    alike = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("sum")).filter("members > 1")
+    once = materialize(alike.groupBy("members", "sum").agg(F.min("cell").alias("cell")).select("cell", "members"), "cells-once")
+    kept = cell.join(F.broadcast(once) if few(once) else once, "cell")
+    near = _near(kept.filter(F.col("members") <= 4 * most_sets).join(points, "set"), rule)
+    large = materialize(kept.filter(F.col("members") > 4 * most_sets).select("cell", "set"), "large-cells")
+    if not few(large, 0):
+        heads = large.groupBy("cell").agg(F.min("set").alias("a"))
+        near = near.unionByName(large.join(heads, "cell").filter("a != set").select("a", F.col("set").alias("b")))
+    roots = components(near)
+    roots = materialize(roots.select(F.col("node").alias("set"), "root").unionByName(roots.select(F.col("root").alias("set"), "root").distinct()), "near-roots")
+    release(cell, once, large)
+    parted = chosen.join(F.broadcast(roots) if few(roots) else roots, "set").select("set", "size", "shingles", "root")
+    return by_ids(sets, big, "root", "left_anti").select("set", "size", "shingles", "root").unionByName(parted)
+
+
 def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
     """``sets`` with the component of the links found so far; a set without links is its own."""
     roots = components(found).withColumnRenamed("node", "set").withColumnRenamed("root", "label")
     return sets.join(F.broadcast(roots) if few(roots) else roots, "set", "left").withColumn("label", F.coalesce("label", "set"))
 
 
-def group_links(sets: DataFrame, rule: Rule, capacity: int, most_sets: int = 512) -> DataFrame:
+def group_links(sets: DataFrame, rule: Rule, capacity: int, most_sets: int) -> DataFrame:
     """(a, b): a spanning set of links among ``sets`` (set, size, shingles, root), which can link only within a root.
 
     Roots of up to ``capacity`` shingles and ``most_sets`` sets are compared in one task. A larger one is cut into parts: first the leading part
@@ -414,13 +505,13 @@ def group_links(sets: DataFrame, rule: Rule, capacity: int, most_sets: int = 512
     return first.unionByName(materialize(second, "links"))
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 2_000_000, most_sets: int = 512) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles (size of the set), component_id (least doc_id reachable by links, itself included).
 
     Words are runs without blanks, A-Z lower-cased; a document's set holds its distinct shingles of ``rule.words`` words, or
     the whole sequence if it has fewer. Equal sets are searched once, however many documents have them. Texts are read
     four times (sets, common shingles, cells, and the shingles of those sets that met others), so no table of all shingles is ever kept.
-    ``capacity`` is the number of shingles that a task compares at a time; it bounds memory and drops nothing.
+    ``capacity`` and ``most_sets`` are the shingles and sets that a task compares at a time; they bound memory and drop nothing.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows with a null id have no component. Rows
     that repeat an id belong together only through their sets. Empty tables give no rows; other columns are not read.
@@ -429,14 +520,16 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 2_0
     table = materialize(set_table(docs, rule), "sets")
     count = table.count()
     reps = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    met = materialize(meetings(cell_rows(docs, rule, common_shingles(docs, rule))), "met")
+    common = common_shingles(docs, rule)
+    met = materialize(meetings(cell_rows(docs, rule, common)), "met")
     roots = materialize(components(met), "roots")
     active = roots.select(F.col("node").alias("set"), "root").unionByName(roots.select(F.col("root").alias("set"), "root").distinct())
     active = materialize(active.join(reps, "set").filter("rep is not null"), "active")
     sets = wanted_sets(docs, active.select("set", F.col("rep").alias("doc_id")), rule)
     near = active.select("set", "root")
     sets = materialize(sets.join(F.broadcast(near) if few(near) else near, "set"), "active-sets")
-    found = components(group_links(sets, rule, capacity))
+    sets = refined(sets, rule, common, capacity, most_sets)
+    found = components(group_links(sets, rule, capacity, most_sets))
     # the least doc_id of a component: of its root and of all nodes under it
     pairs = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set")
     least = materialize(pairs.join(reps, "set").groupBy("root").agg(F.min("rep").alias("least")), "least")

@@ -39,7 +39,7 @@ def closure(n, pairs):
 def test_search_keeps_every_link_and_follows_the_bound(rule, seed):
     sets = sorted(family_sets(seed), key=len)
     size = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([J.point(s) for s in sets])
+    points = np.stack([J.point(s, 64) for s in sets])
     tree = J.PointTree(points, size, rule)
     assert len(tree.levels) > 1 and sorted(tree.order.tolist()) == list(range(len(sets)))
     for q in range(1, len(sets)):
@@ -77,3 +77,30 @@ def test_large_groups_are_split_by_sets(spark, monkeypatch):
     monkeypatch.setattr(J, "links", watched)
     found = [(r.a, r.b) for r in J.group_links(table, J.Rule(5, 8, 10), 2_000_000, 40).collect()]
     assert len(set(closure(300, found))) == 1 and max(x or 0 for x in most) <= 2 * 80
+
+
+def test_folded_points_are_points_of_fewer_groups():
+    s = np.random.default_rng(0).integers(1, 1 << 63, 5000, dtype=np.uint64)
+    assert J.groups_of(5000) == 512 and J.groups_of(1) == 64 and J.groups_of(1024) == 64 and J.groups_of(1025) == 128
+    assert (J.folded(J.point(s, 512), 64) == J.point(s, 64)).all()
+
+
+@pytest.mark.parametrize("most_sets", [3, 40])
+def test_chains_of_shared_passages_are_parted_and_families_are_not(spark, most_sets):
+    rng = np.random.default_rng(3)
+    passages = [" ".join(f"p{rng.integers(10**6)}" for _ in range(25)) for _ in range(12)]
+    texts = []
+    for i in range(90):  # neighbours share a passage, so cells chain them
+        own = [" ".join(f"q{rng.integers(10**6)}" for _ in range(int(rng.integers(1, 30)))) for _ in range(2)]
+        texts.append(f"{own[0]} {passages[i % 12]} {passages[(i + 1) % 12]} {own[1]}")
+    for t in texts[:20]:
+        words = t.split()
+        for k in range(4):
+            words[int(rng.integers(len(words)))] = f"z{k}"
+            texts.append(" ".join(words) if k % 2 else t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for rule in (J.Rule(5, 8, 10), J.Rule(3, 90, 100)):
+        shingles = [{tuple(w[i : i + rule.words]) for i in range(len(w) - rule.words + 1)} for w in map(str.split, texts)]
+        pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if rule.den * len(shingles[i] & shingles[j]) >= rule.num * len(shingles[i] | shingles[j])]
+        got = {r.doc_id: r.component_id for r in J.jaccard_components(docs, rule, capacity=1500, most_sets=most_sets).collect()}
+        assert [got[i] for i in range(len(texts))] == closure(len(texts), pairs)
