@@ -478,9 +478,9 @@ def group_links(sets: DataFrame, rule: Rule, capacity: int, most_sets: int) -> D
     """
     # a set weighs its shingles, or what makes most_sets of them a task's share
     sets = sets.withColumn("size", F.greatest("size", F.lit(capacity // most_sets)))
-    totals = sets.groupBy("root").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    big = totals.filter(F.col("total") > capacity).withColumn("parts", F.ceil(F.col("total") / capacity) + 1)
-    small = sets.join(totals.filter(F.col("total") <= capacity).select("root"), "root", "left_semi")
+    totals = sets.groupBy("root").agg(F.sum("size").alias("total"))
+    big = materialize(totals.filter(F.col("total") > capacity).withColumn("parts", F.ceil(F.col("total") / capacity) + 1), "big")
+    small = by_ids(sets, big.select("root"), "root", "left_anti")
     plain = small.select(F.xxhash64("root").alias("part"), "set", F.col("set").alias("label"), F.lit(True).alias("fresh"), "shingles")
     if few(big, 0):
         return materialize(links(plain, rule), "links")
