@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.tables import BROADCAST_ROWS, join_hot, materialize, release
 
+#: Edges that one task reduces by itself.
+PART_ROWS = 50_000
+
 
 def _with_least(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
     """Joins each edge with the least neighbour of its src, of which there are no more than edges."""
@@ -25,14 +29,51 @@ def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
     return out.filter("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
 
 
+def _in_parts(edges: DataFrame, rows: int) -> DataFrame:
+    """Edges (src, dst) of the components that the edges of each part of at most some ``PART_ROWS`` rows have by themselves, to their least node."""
+
+    def unite(batches):
+        above: dict = {}
+
+        def top(x):
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        schema = None
+        for b in batches:
+            schema = b.schema
+            for x, y in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
+                above.setdefault(x, x)
+                above.setdefault(y, y)
+                x, y = top(x), top(y)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+        found = [(x, top(x)) for x in above]
+        found = [(x, y) for x, y in found if x != y]
+        for i in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[i : i + 10_000], strict=True), schema.types, strict=True)], schema=schema)
+
+    return edges.coalesce(-(-rows // PART_ROWS)).mapInArrow(unite, edges.schema)
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the least node that it is connected to, except for roots themselves.
 
-    Edges are kept as (larger, smaller); a round is a large and a small star and is written to shared storage. Counts and
-    minima combine before shuffles, and nodes with very many edges are joined by broadcast (see ``join_hot``).
+    Edges are kept as (larger, smaller). Each part of ``PART_ROWS`` edges is first reduced to its own components in one
+    task, which is all there is to do for a small table. Beyond that a round is a large and a small star and is written to
+    shared storage. Counts and minima combine before shuffles, and nodes with very many edges are joined by broadcast
+    (see ``join_hot``).
     """
     start = edges.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).filter("src != dst").distinct()
     now, seen = materialize(start, "cc"), None
+    count = now.count()
+    if count:
+        new = materialize(_in_parts(now, count), "cc")
+        release(now)
+        now = new
+    if count <= PART_ROWS:
+        return now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     for _ in range(rounds):
         n, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if seen == (n, total) or not n:

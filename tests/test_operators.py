@@ -398,3 +398,21 @@ def test_isolation_and_ward(spark):
     assert [r.cluster for r in anomaly.agglomerative(g, ["a", "b"], "g").orderBy("alert_id").collect()] == [0, 0, 0, 1, 1, 2]
     p = anomaly.fused_probability(anomaly.isolation_scores(df, ["a", "b"], "label = 0", trees=5)).filter("label = 1").first()
     assert p.prediction == 1 and p.probability > 0.9
+
+
+@pytest.mark.parametrize("part_rows", [3, 40, 50_000])
+def test_components_in_parts_and_by_stars(spark, monkeypatch, part_rows):
+    import random
+
+    from ridgeline.operators import components as C
+
+    monkeypatch.setattr(C, "PART_ROWS", part_rows)
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(70)] + [("n1", "n1"), ("hub", "n2"), ("hub", "n2")] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(edges, "a string, b string").repartition(4)).collect()}
+    assert got == {x: y for x, y in root.items() if x != y}
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
