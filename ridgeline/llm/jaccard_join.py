@@ -438,7 +438,7 @@ def refined(sets: DataFrame, rule: Rule, common: np.ndarray, capacity: int, most
 
     Passages that many documents share chain cells into roots that hold a large part of a corpus. Their sets are put in
     cells again, this time with their points, and only pairs whose summed minima allow a link hold a root together. Cells
-    with the same sets are looked at once. A cell of over four times ``most_sets`` stays together as it is. Sets that
+    with the same sets are looked at once. A cell of over ``most_sets`` sets stays together as it is. Sets that
     near no other leave; no pair that can link is parted.
     """
     totals = sets.groupBy("root").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("members"))
@@ -451,8 +451,8 @@ def refined(sets: DataFrame, rule: Rule, common: np.ndarray, capacity: int, most
     alike = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("sum")).filter("members > 1")
     once = materialize(alike.groupBy("members", "sum").agg(F.min("cell").alias("cell")).select("cell", "members"), "cells-once")
     kept = cell.join(F.broadcast(once) if few(once) else once, "cell")
-    near = _near(kept.filter(F.col("members") <= 4 * most_sets).join(points, "set"), rule)
-    large = materialize(kept.filter(F.col("members") > 4 * most_sets).select("cell", "set"), "large-cells")
+    near = _near(kept.filter(F.col("members") <= most_sets).join(points, "set"), rule)
+    large = materialize(kept.filter(F.col("members") > most_sets).select("cell", "set"), "large-cells")
     if not few(large, 0):
         heads = large.groupBy("cell").agg(F.min("set").alias("a"))
         near = near.unionByName(large.join(heads, "cell").filter("a != set").select("a", F.col("set").alias("b")))
