@@ -10,7 +10,7 @@ from ridgeline.functions import scalars as S
 from ridgeline.operators import components, evaluate, features, gate, joins, scoring, sequence, sessions
 from ridgeline.operators.tables import materialize
 from ridgeline.plans.alerts import ENTITY_SQL, SQL, alerts, truth
-from ridgeline.plans.registry import on_all, query
+from ridgeline.plans.registry import query
 
 A = f"WITH {SQL}"
 AR = f"WITH RECURSIVE {SQL}"
@@ -23,8 +23,8 @@ def entities(rows: DataFrame, *keep: str) -> DataFrame:
     return joins.explode_entities(rows, ENTITY_COLUMNS, keep=keep).withColumn("etype", F.split_part("entity", F.lit(":"), F.lit(1)))
 
 
-def severe(spark: SparkSession, sf_dir: str, severity: int | None = 6) -> DataFrame:
-    """Alerts from a severity on, or all; the SQL of several queries covers severe ones only, and ``WHOLE`` has those on all alerts."""
+def severe(spark: SparkSession, sf_dir: str, severity: int | None = None) -> DataFrame:
+    """Alerts from a severity on, or all, which every query takes."""
     rows = alerts(spark, sf_dir)
     return rows if severity is None else rows.filter(F.col("severity") >= severity)
 
@@ -101,11 +101,17 @@ def entity_sessions(spark, sf_dir):
     return sessions.session_numbers(alerts(spark, sf_dir), ["user"], "ts", "alert_id", 7200).select("alert_id", "user", "session")
 
 
-@query(f"""{AR}, e AS (SELECT a.alert_id AS a, b.alert_id AS b FROM alerts a JOIN alerts b ON a.host = b.host AND a.alert_id <> b.alert_id AND a.severity >= 6 AND b.severity >= 6
+CC_SQL = """m(alert_id, cluster) USING KEY (alert_id) AS (SELECT DISTINCT alert_id, alert_id FROM {nodes} UNION
+  SELECT l.b, min(m.cluster) FROM m JOIN l ON l.a = m.alert_id JOIN recurring.m AS known ON known.alert_id = l.b WHERE m.cluster < known.cluster GROUP BY l.b)"""
+#: The least alert that each row of ``alerts`` reaches by the links l (a, b), kept by key while it shrinks.
+REACH_SQL = CC_SQL.format(nodes="alerts")
+
+
+@query(f"""{AR}, l AS (SELECT a.alert_id AS a, b.alert_id AS b FROM alerts a JOIN alerts b ON a.host = b.host AND a.alert_id <> b.alert_id
   AND abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 <= 7200 AND greatest(a.severity, b.severity) / ln(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 + 2) >= 0.70),
-r AS (SELECT alert_id AS a, alert_id AS b FROM alerts WHERE severity >= 6 UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT a AS alert_id, min(b) AS cluster FROM r GROUP BY a""")
-def severity_sessions(spark, sf_dir, severity=6):
+{REACH_SQL}
+SELECT alert_id, cluster FROM m""")
+def severity_sessions(spark, sf_dir, severity=None):
     rows = sessions.severity_sessions(severe(spark, sf_dir, severity), ["host"], "ts", "alert_id", "severity")
     first = F.min("alert_id").over(Window.partitionBy("host", "session"))
     return rows.select("alert_id", first.alias("cluster"))
@@ -117,18 +123,18 @@ def entity_components(rows: DataFrame, gap_s: float = 7200) -> DataFrame:
     return components.members(rows, links)
 
 
-LINK_SQL = """l AS (SELECT x.alert_id AS a, y.alert_id AS b FROM entity x JOIN entity y ON x.entity = y.entity AND x.alert_id <> y.alert_id AND x.severity >= 6 AND y.severity >= 6
-  AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 7200000000),
-r AS (SELECT alert_id AS a, alert_id AS b FROM alerts WHERE severity >= 6 UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-m AS (SELECT a AS alert_id, min(b) AS cluster FROM r GROUP BY a)"""
+#: Alerts of an entity within the gap have the components of neighbours in time within it; a test holds that against all pairs.
+LINK_SQL = f"""nb AS (SELECT alert_id AS b, lag(alert_id) OVER w AS a, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM entity WINDOW w AS (PARTITION BY entity ORDER BY ts, alert_id)),
+l AS (SELECT a, b FROM nb WHERE gap <= 7200000000 AND a <> b UNION SELECT b, a FROM nb WHERE gap <= 7200000000 AND a <> b),
+{REACH_SQL}"""
 
 
 @query(f"{ARE}, {LINK_SQL} SELECT cluster, alert_id FROM m")
-def entity_time_components(spark, sf_dir, severity=6):
+def entity_time_components(spark, sf_dir, severity=None):
     return entity_components(severe(spark, sf_dir, severity))
 
 
-def big_clusters(spark: SparkSession, sf_dir: str, least: int = 2, severity: int | None = 6) -> DataFrame:
+def big_clusters(spark: SparkSession, sf_dir: str, least: int = 2, severity: int | None = None) -> DataFrame:
     """Alerts from a severity on with their component, components of at least ``least`` alerts; written once, since many queries read it twice."""
     rows = severe(spark, sf_dir, severity)
     m = entity_components(rows)
@@ -141,20 +147,19 @@ BIG_SQL = LINK_SQL + ", c AS (SELECT m.cluster, a.* FROM m JOIN alerts a USING (
 
 @query(f"""{ARE}, {LINK_SQL} SELECT cluster, 'cluster_' || lpad(CAST(row_number() OVER (ORDER BY min(ts), min(m.alert_id)) AS VARCHAR), 4, '0') AS name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
 FROM m JOIN alerts USING (alert_id) GROUP BY cluster HAVING count(*) >= 1""")
-def cluster_numbers(spark, sf_dir, severity=6):
+def cluster_numbers(spark, sf_dir, severity=None):
     rows = severe(spark, sf_dir, severity)
     g = rows.join(entity_components(rows), "alert_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("alert_id").alias("_id"))
     n = F.row_number().over(Window.orderBy("first_ts", "_id")).cast("string")
     return g.select("cluster", F.concat(F.lit("cluster_"), F.lpad(n, 4, "0")).alias("name"), "n", "first_ts", "last_ts")
 
 
-@query(f"""{ARE}, l AS (SELECT x.alert_id AS a, y.alert_id AS b FROM entity x JOIN entity y ON x.entity = y.entity AND x.alert_id <> y.alert_id AND x.severity >= 6 AND y.severity >= 6
+@query(f"""{ARE}, l AS (SELECT x.alert_id AS a, y.alert_id AS b FROM entity x JOIN entity y ON x.entity = y.entity AND x.alert_id <> y.alert_id
   AND abs(epoch_us(x.ts) - epoch_us(y.ts)) / 1e6 <= 7200 AND greatest(x.severity, y.severity) / ln(abs(epoch_us(x.ts) - epoch_us(y.ts)) / 1e6 + 2) >= 0.70),
-r AS (SELECT alert_id AS a, alert_id AS b FROM alerts WHERE severity >= 6 UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-m AS (SELECT a AS alert_id, min(b) AS cluster FROM r GROUP BY a),
+{REACH_SQL},
 h AS (SELECT cluster, alert_id, unnest([host, target]) AS host FROM m JOIN alerts USING (alert_id))
 SELECT cluster, count(DISTINCT alert_id) AS n, count(DISTINCT host) AS hosts FROM h GROUP BY cluster HAVING count(DISTINCT alert_id) >= 4 AND count(DISTINCT host) > 1""")
-def communities(spark, sf_dir, severity=6):
+def communities(spark, sf_dir, severity=None):
     rows = severe(spark, sf_dir, severity)
     by = sessions.severity_sessions(entities(rows, "ts", "severity"), ["entity"], "ts", "alert_id", "severity")
     m = components.members(rows, sessions.session_links(by, ["entity"], "alert_id", ["ts", "alert_id"]))
@@ -175,14 +180,14 @@ def tactic_pair_matches(spark, sf_dir):
     return m.select("pattern", "earlier", "later", F.round("gap_s", 3).alias("gap_s"))
 
 
-def severe_pairs(spark, sf_dir, severity: int | None = 6) -> DataFrame:
+def severe_pairs(spark, sf_dir, severity: int | None = None) -> DataFrame:
     return joins.tactic_pair_matches(entities(severe(spark, sf_dir, severity), "ts", "tactic"))
 
 
-@query(f"""{ARE}, {PAIR_SQL}, v AS (SELECT earlier AS a, later AS b FROM pm JOIN alerts x ON x.alert_id = earlier JOIN alerts y ON y.alert_id = later WHERE x.severity >= 6 AND y.severity >= 6),
-l AS (SELECT a, b FROM v UNION SELECT b, a FROM v), r AS (SELECT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT a AS alert_id, min(b) AS cluster FROM r GROUP BY a""")
-def pattern_components(spark, sf_dir, severity=6):
+@query(f"""{ARE}, {PAIR_SQL}, v AS (SELECT earlier AS a, later AS b FROM pm),
+l AS (SELECT a, b FROM v UNION SELECT b, a FROM v), {CC_SQL.format(nodes="(SELECT a AS alert_id FROM l)")}
+SELECT alert_id, cluster FROM m""")
+def pattern_components(spark, sf_dir, severity=None):
     pairs = severe_pairs(spark, sf_dir, severity).select(F.col("earlier").alias("a"), F.col("later").alias("b"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("alert_id"))
     return components.members(nodes, pairs)
@@ -200,13 +205,13 @@ def rare_components(spark, sf_dir):
     return m.join(m.groupBy("cluster").count().filter("count >= 4").select("cluster"), "cluster", "left_semi")
 
 
-SETS_SQL = "s AS (SELECT DISTINCT 'u' || usr AS cluster, alert_id FROM alerts WHERE severity >= 9 UNION SELECT DISTINCT 'h' || host, alert_id FROM alerts WHERE severity >= 9 UNION SELECT DISTINCT 'd' || usr || strftime(ts, '%Y%m%d'), alert_id FROM alerts WHERE severity >= 9)"
+SETS_SQL = "s AS (SELECT DISTINCT 'u' || usr AS cluster, alert_id FROM alerts UNION SELECT DISTINCT 'h' || host, alert_id FROM alerts UNION SELECT DISTINCT 'd' || usr || strftime(ts, '%Y%m%d'), alert_id FROM alerts)"
 
 
 @query(f"""{A}, {SETS_SQL}, n AS (SELECT cluster, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS joint FROM s x JOIN s y ON x.alert_id = y.alert_id AND x.cluster <> y.cluster GROUP BY 1, 2)
 SELECT cluster, alert_id FROM s WHERE cluster NOT IN (SELECT a FROM o JOIN n p ON o.a = p.cluster JOIN n q ON o.b = q.cluster WHERE joint = p.n AND (p.n < q.n OR (p.n = q.n AND a > b)))""")
-def maximal_clusters(spark, sf_dir, severity=9):
+def maximal_clusters(spark, sf_dir, severity=None):
     r = severe(spark, sf_dir, severity)
     day = F.concat(F.lit("d"), "user", F.date_format("ts", "yyyyMMdd"))
     sets = [r.select(c.alias("cluster"), "alert_id") for c in (F.concat(F.lit("u"), "user"), F.concat(F.lit("h"), "host"), day)]
@@ -265,25 +270,25 @@ def label_window_join(spark, sf_dir):
     return joins.label_window_join(rows, joins.label_windows(w)).select("alert_id", "attack")
 
 
-@query(f"""{AE}, q AS (SELECT DISTINCT alert_id, entity FROM entity WHERE severity >= 9) SELECT DISTINCT x.alert_id AS a, y.alert_id AS b FROM q x JOIN q y ON x.entity = y.entity AND x.alert_id <> y.alert_id""")
-def homogeneous_projection(spark, sf_dir, severity=9):
+@query(f"""{AE}, q AS (SELECT DISTINCT alert_id, entity FROM entity) SELECT DISTINCT x.alert_id AS a, y.alert_id AS b FROM q x JOIN q y ON x.entity = y.entity AND x.alert_id <> y.alert_id""")
+def homogeneous_projection(spark, sf_dir, severity=None):
     return joins.shared_entity_pairs(entities(severe(spark, sf_dir, severity)))
 
 
-@query(f"""{A}, t AS (SELECT alert_id, ts, 'tactic' AS e, tactic AS v FROM alerts WHERE severity >= 6 UNION ALL SELECT alert_id, ts, 'technique', technique FROM alerts WHERE severity >= 6),
+@query(f"""{A}, t AS (SELECT alert_id, ts, 'tactic' AS e, tactic AS v FROM alerts UNION ALL SELECT alert_id, ts, 'technique', technique FROM alerts),
 o AS (SELECT *, row_number() OVER (PARTITION BY e, v ORDER BY ts, alert_id) AS pos FROM t),
 nx AS (SELECT x.alert_id AS a, y.alert_id AS b FROM o x JOIN o y ON x.e = y.e AND x.v = y.v AND y.pos BETWEEN x.pos + 1 AND x.pos + 12 AND epoch_us(y.ts) - epoch_us(x.ts) <= 86400000000)
 SELECT a, b FROM nx UNION SELECT b, a FROM nx""")
-def semantic_edges(spark, sf_dir, severity=6):
+def semantic_edges(spark, sf_dir, severity=None):
     return joins.semantic_edges(severe(spark, sf_dir, severity))
 
 
-SEQ_SQL = """ch AS (SELECT usr, ts, alert_id, tactic, lag(tactic) OVER (PARTITION BY usr ORDER BY ts, alert_id) AS before FROM alerts WHERE severity >= 6),
+SEQ_SQL = """ch AS (SELECT usr, ts, alert_id, tactic, lag(tactic) OVER (PARTITION BY usr ORDER BY ts, alert_id) AS before FROM alerts),
 sq AS (SELECT usr, list(tactic ORDER BY ts, alert_id) AS seq FROM ch WHERE before IS NULL OR before <> tactic GROUP BY usr)"""
 
 
 @query(f"{A}, {SEQ_SQL} SELECT usr AS user, array_to_string(seq, '>') AS sequence FROM sq")
-def stage_sequence(spark, sf_dir, severity=6):
+def stage_sequence(spark, sf_dir, severity=None):
     return sequence.stage_sequence(severe(spark, sf_dir, severity), "user", "tactic", ["ts", "alert_id"]).select("user", F.concat_ws(">", "sequence").alias("sequence"))
 
 
@@ -303,7 +308,7 @@ _CHAIN = K.ATTACK_CHAINS[2]
 
 
 @query(f"{AR}, {SEQ_SQL}, {_lcs_sql(_CHAIN, 'lcs')} SELECT l.usr AS user, round(max(c{len(_CHAIN)}) / {len(_CHAIN)}, 6) AS ratio FROM lcs l GROUP BY 1")
-def chain_lcs(spark, sf_dir, severity=6):
+def chain_lcs(spark, sf_dir, severity=None):
     seq = sequence.stage_sequence(severe(spark, sf_dir, severity), "user", "tactic", ["ts", "alert_id"])
     return seq.select("user", F.round(S.lcs_ratio(F.col("sequence"), _CHAIN), 6).alias("ratio"))
 
@@ -314,20 +319,20 @@ def best_chain_order(spark, sf_dir):
     return seq.select("user", F.round(S.best_chain(F.col("sequence")), 6).alias("order_score"))
 
 
-def tagged(spark, sf_dir, severity: int | None = 6) -> DataFrame:
+def tagged(spark, sf_dir, severity: int | None = None) -> DataFrame:
     kind = S.lookup(K.TACTIC_KINDS, F.lower("tactic"))
     return big_clusters(spark, sf_dir, severity=severity).withColumn("kind", kind).withColumn("tags", F.array_compact(F.array(kind)))
 
 
 TAG_SQL = """tg AS (SELECT cluster, alert_id, ts, severity, CASE tactic WHEN 'Initial Access' THEN 'initial_access' WHEN 'Execution' THEN 'execution' WHEN 'Credential Access' THEN 'credential_access'
   WHEN 'Lateral Movement' THEN 'lateral_movement' WHEN 'Exfiltration' THEN 'data_exfiltration' END AS stage FROM c),
-ae AS (SELECT DISTINCT x.cluster, x.stage AS l, y.stage AS r FROM tg x JOIN tg y ON x.cluster = y.cluster AND (x.ts, x.alert_id) < (y.ts, y.alert_id) AND x.stage <> y.stage
-  WHERE EXISTS (SELECT 1 FROM entity e JOIN entity f ON e.entity = f.entity WHERE e.alert_id = x.alert_id AND f.alert_id = y.alert_id)
+te AS (SELECT DISTINCT cluster, alert_id, tg.ts, stage, entity FROM tg JOIN entity USING (alert_id)),
+ae AS (SELECT DISTINCT x.cluster, x.stage AS l, y.stage AS r FROM te x JOIN te y ON x.cluster = y.cluster AND x.entity = y.entity AND (x.ts, x.alert_id) < (y.ts, y.alert_id) AND x.stage <> y.stage
   UNION SELECT cluster, before, stage FROM (SELECT cluster, stage, lag(stage) OVER (PARTITION BY cluster ORDER BY ts, alert_id) AS before FROM tg) WHERE before <> stage)"""
 
 
 @query(f'{ARE}, {BIG_SQL}, {TAG_SQL} SELECT cluster, l AS "left", r AS "right" FROM ae')
-def attack_edges(spark, sf_dir, severity=6):
+def attack_edges(spark, sf_dir, severity=None):
     rows = tagged(spark, sf_dir, severity)
     seq = sequence.stage_sequence(sequence.tag_rows(rows), "cluster", "stage", ["ts", "alert_id", "rank"])
     return sequence.attack_edges(sequence.tag_rows(rows), entities(rows).select("alert_id", "entity"), seq)
@@ -360,7 +365,7 @@ def discovery(rows: DataFrame) -> DataFrame:
     )
 
 
-def scored_clusters(spark, sf_dir, severity: int | None = 6) -> DataFrame:
+def scored_clusters(spark, sf_dir, severity: int | None = None) -> DataFrame:
     rows = tagged(spark, sf_dir, severity)
     seen = alerts(spark, sf_dir).select("alert_id", gate.seen_before(["host", "tactic"], ["ts", "alert_id"]).alias("seen"))
     return discovery(materialize(rows.join(seen, "alert_id"), "tagged"))
@@ -380,7 +385,7 @@ fc AS (SELECT c.cluster, count(*) AS n, max(c.severity) AS mx, count(*) FILTER (
   k >= 2 OR CASE WHEN n <= 3 THEN high >= 1 ELSE high / n >= 0.25 END AS progression,
   round(least(1, 0.30 * mx / 10 + 0.25 * least(k / 3, 1) + 0.20 * least(1, 0.30 + CASE WHEN coalesce(shared, 0) > 0 THEN 0.25 ELSE 0 END + CASE WHEN k >= 2 THEN 0.45 ELSE 0 END) + 0.15 * low / n + 0.10 * least(n / 5, 1)), 5) AS heuristic
 FROM fc LEFT JOIN sh ON fc.cluster = sh.cluster""")
-def cluster_scores(spark, sf_dir, severity=6):
+def cluster_scores(spark, sf_dir, severity=None):
     d = scored_clusters(spark, sf_dir, severity)
     c = F.col
     heuristic = scoring.discovery_score(c("max_severity"), F.size("stages"), c("n"), c("shared"), c("n_kinds"), c("low"), F.lit(0.0))
@@ -394,14 +399,13 @@ def pattern_match(spark, sf_dir):
 
 STRUCT_SQL = f"""{ARE}, {BIG_SQL}, {PAIR_SQL}, {SEEN_SQL},
 hs AS (SELECT cluster, count(DISTINCT h) AS hosts FROM (SELECT cluster, unnest([host, target]) AS h FROM c) GROUP BY 1),
-mt AS (SELECT cluster, count(DISTINCT (pattern, earlier, later)) AS matches, count(DISTINCT pattern) AS patterns FROM c JOIN pm ON c.alert_id = pm.earlier OR c.alert_id = pm.later
-  JOIN alerts x ON x.alert_id = earlier JOIN alerts y ON y.alert_id = later WHERE x.severity >= 6 AND y.severity >= 6 GROUP BY 1),
+mt AS (SELECT cluster, count(DISTINCT (pattern, earlier, later)) AS matches, count(DISTINCT pattern) AS patterns FROM c JOIN pm ON c.alert_id = pm.earlier OR c.alert_id = pm.later GROUP BY 1),
 st AS (SELECT c.cluster, count(*) AS n, max(severity) AS mx, count(*) FILTER (WHERE severity >= 8) AS high, count(DISTINCT tactic) AS tactics, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS dur,
   count(*) FILTER (WHERE seen <= 3) AS rare FROM c JOIN sn ON c.alert_id = sn.alert_id GROUP BY 1),
 sc AS (SELECT st.*, hosts, coalesce(matches, 0) AS matches, coalesce(patterns, 0) AS patterns, 1 - least(greatest(dur, 1), 21600) / 21600 AS temporal FROM st JOIN hs ON st.cluster = hs.cluster LEFT JOIN mt ON st.cluster = mt.cluster)"""
 
 
-def structural(spark, sf_dir, severity: int | None = 6) -> DataFrame:
+def structural(spark, sf_dir, severity: int | None = None) -> DataFrame:
     """Clusters with everything that the structural and the verdict score need (QRY-09)."""
     rows = big_clusters(spark, sf_dir, severity=severity)
     seen = alerts(spark, sf_dir).select("alert_id", gate.seen_before(["host", "tactic"], ["ts", "alert_id"]).alias("seen"))
@@ -421,7 +425,7 @@ def structural(spark, sf_dir, severity: int | None = 6) -> DataFrame:
 @query(f"""{STRUCT_SQL} SELECT cluster, n, hosts, tactics, matches, rare,
   round(least(1, 0.25 * mx / 10 + 0.20 * high / n + 0.15 * least(n / 8, 1) + 0.10 * least(hosts / 3, 1) + 0.10 * least(tactics / 4, 1) + 0.10 * temporal + 0.10 * least(matches / 2, 1)), 6) AS structural,
   round(least(1, 0.22 * mx / 10 + 0.18 * high / n + 0.14 * least(n / 8, 1) + 0.10 * least(hosts / 3, 1) + 0.10 * least(tactics / 4, 1) + 0.09 * temporal + 0.10 * least(matches / 2, 1) + 0.07 * rare / n), 6) AS structural_rare FROM sc""")
-def structural_scores(spark, sf_dir, severity=6):
+def structural_scores(spark, sf_dir, severity=None):
     return structural(spark, sf_dir, severity).select("cluster", "n", "hosts", "tactics", "matches", "rare", "structural", "structural_rare")
 
 
@@ -454,7 +458,7 @@ o AS (SELECT cluster, incident_id, count(*) AS joint FROM c JOIN truth USING (al
 f AS (SELECT o.cluster, joint / n AS p, joint / m AS r, 2 * (joint / n) * (joint / m) / (joint / n + joint / m) AS f FROM o JOIN z ON o.cluster = z.cluster JOIN w ON o.incident_id = w.incident_id),
 b AS (SELECT cluster, max((f, p, r)) AS b FROM f GROUP BY 1)
 SELECT z.cluster, round(coalesce(b.b[2], 0), 6) AS precision, round(coalesce(b.b[3], 0), 6) AS recall, round(coalesce(b.b[1], 0), 6) AS f1 FROM z LEFT JOIN b ON z.cluster = b.cluster""")
-def cluster_best_match(spark, sf_dir, severity=6):
+def cluster_best_match(spark, sf_dir, severity=None):
     rows = big_clusters(spark, sf_dir, severity=severity)
     m = evaluate.best_match(rows.select("cluster", "alert_id"), truth(alerts(spark, sf_dir)))
     return m.select("cluster", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -463,7 +467,7 @@ def cluster_best_match(spark, sf_dir, severity=6):
 @query(f"""{ARE}, {BIG_SQL}, t AS (SELECT cluster, tactic, count(*) AS n FROM c GROUP BY 1, 2), k AS (SELECT cluster, count(DISTINCT etype) AS entity_types FROM c JOIN entity e ON c.alert_id = e.alert_id GROUP BY 1)
 SELECT t.cluster, CAST(sum(n) AS BIGINT) AS size, round(max(n) / sum(n), 6) AS coherence, (SELECT round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) FROM c WHERE c.cluster = t.cluster) AS span_h, any_value(entity_types) AS entity_types
 FROM t JOIN k ON t.cluster = k.cluster GROUP BY t.cluster""")
-def coherence_span(spark, sf_dir, severity=6):
+def coherence_span(spark, sf_dir, severity=None):
     rows = big_clusters(spark, sf_dir, severity=severity)
     s = evaluate.cluster_summary(rows, entities(rows).select("alert_id", "entity"))
     return s.withColumn("coherence", F.round("coherence", 6)).withColumn("span_h", F.round("span_h", 6))
@@ -586,7 +590,7 @@ def top_missed_incidents(spark, sf_dir):
 
 @query(f"""{ARE}, {BIG_SQL}, g AS (SELECT cluster, count(*) AS size, count(*) FILTER (WHERE alert_id NOT IN (SELECT alert_id FROM truth)) AS fp FROM c GROUP BY 1)
 SELECT cluster, size, fp, size - fp AS tp, CASE WHEN size = fp THEN 'fp_only' ELSE 'mixed' END AS kind FROM g WHERE fp > 0 ORDER BY fp DESC, size DESC, cluster LIMIT 12""")
-def cluster_examples(spark, sf_dir, severity=6):
+def cluster_examples(spark, sf_dir, severity=None):
     return evaluate.false_positive_clusters(big_clusters(spark, sf_dir, severity=severity).select("cluster", "alert_id"), truth(alerts(spark, sf_dir)))
 
 
@@ -621,15 +625,15 @@ def incident_classes(spark, sf_dir):
     return joins.incident_classes(truth(alerts(spark, sf_dir)))
 
 
-@query(f"""{A}, t AS (SELECT alert_id, tactic, host, usr FROM alerts WHERE severity >= 9)
+@query(f"""{A}, t AS (SELECT alert_id, tactic, host, usr FROM alerts)
 SELECT alert_id, tactic || ' by ' || usr || ' on ' || host AS summary FROM t""")
-def alert_summaries(spark, sf_dir, severity=9):
+def alert_summaries(spark, sf_dir, severity=None):
     r = severe(spark, sf_dir, severity)
     return r.select("alert_id", F.concat("tactic", F.lit(" by "), "user", F.lit(" on "), "host").alias("summary"))
 
 
 @query(f"""{ARE}, {BIG_SQL} SELECT cluster, 'from ' || arg_min(tactic, (ts, alert_id)) || ' on ' || arg_min(host, (ts, alert_id)) || ' to ' || arg_max(tactic, (ts, alert_id)) || ' on ' || arg_max(host, (ts, alert_id)) AS narrative FROM c GROUP BY 1""")
-def incident_narratives(spark, sf_dir, severity=6):
+def incident_narratives(spark, sf_dir, severity=None):
     """First and last alert of each cluster as a sentence (MAP-16)."""
     at, row = F.struct("ts", "alert_id"), F.struct("tactic", "host")
     g = big_clusters(spark, sf_dir, severity=severity).groupBy("cluster").agg(F.min_by(row, at).alias("a"), F.max_by(row, at).alias("b"))
@@ -650,13 +654,3 @@ def weak_positive_pairs(spark, sf_dir):
     rows = alerts(spark, sf_dir)
     train = truth(rows).select("alert_id", F.lit(1).alias("label"))
     return joins.weak_positives(entities(rows, "ts"), train, 3600, 8)
-
-
-#: Queries whose SQL covers severe alerts only; each also runs on all alerts, without SQL, as its name with ``_all``.
-WHOLE = (
-    severity_sessions, entity_time_components, cluster_numbers, communities, pattern_components, semantic_edges, stage_sequence, chain_lcs,
-    attack_edges, cluster_scores, structural_scores, cluster_best_match, coherence_span, cluster_examples, incident_narratives,
-    maximal_clusters, homogeneous_projection, alert_summaries,
-)
-for _f in WHOLE:
-    on_all(_f, severity=None)

@@ -12,7 +12,7 @@ from ridgeline.plans import alert_queries as Q
 from ridgeline.plans import discover as D
 from ridgeline.plans import strategies as C
 from ridgeline.plans.alerts import SQL, alerts, truth
-from ridgeline.plans.registry import on_all, query
+from ridgeline.plans.registry import query
 
 
 def canonical(spark, sf_dir, severity=None):
@@ -52,15 +52,14 @@ def gate_errors(spark, sf_dir):
     return D.errors(a, t)
 
 
-@query(f"""WITH {SQL}, a AS (SELECT alert_id FROM alerts WHERE severity >= 6), t AS (SELECT DISTINCT alert_id FROM truth)
+@query(f"""WITH {SQL}, a AS (SELECT alert_id FROM alerts), t AS (SELECT DISTINCT alert_id FROM truth)
 SELECT (SELECT count(*) FROM a JOIN t USING (alert_id)) AS tp, (SELECT count(*) FROM a) - (SELECT count(*) FROM a JOIN t USING (alert_id)) AS fp, (SELECT count(*) FROM t) - (SELECT count(*) FROM a JOIN t USING (alert_id)) AS fn, (SELECT count(*) FROM a JOIN t USING (alert_id)) AS available""")
-def gate_detection(spark, sf_dir, severity=6):
-    """Every alert of the view is an attack kind, so the gate takes all of them; the truth counts those under the severity as missed."""
+def gate_detection(spark, sf_dir, severity=None):
+    """Every alert of the view is an attack kind, so the gate takes all of them; from a severity on, the truth counts those under it as missed."""
     a, _, t = canonical(spark, sf_dir, severity)
     return D.detection(a, t).select("tp", "fp", "fn", "available")
 
 
-on_all(gate_detection, severity=None)
 
 
 def edges(spark, sf_dir):
@@ -102,13 +101,11 @@ def holdout_folds(spark, sf_dir):
     return D.holdout(rows, truth(alerts(spark, sf_dir)), lambda part: C.run(part, ents, s).filter("cluster >= 0"))
 
 
-@query(f"""WITH RECURSIVE {SQL}, e AS (SELECT DISTINCT alert_id, ts, unnest(['u:' || usr, 'h:' || host, 'h:' || target]) AS x FROM alerts WHERE severity >= 9),
-l AS (SELECT p.alert_id AS a, q.alert_id AS b FROM e p JOIN e q ON p.x = q.x AND p.alert_id <> q.alert_id AND abs(epoch_us(p.ts) - epoch_us(q.ts)) <= 7200000000),
-r AS (SELECT alert_id AS a, alert_id AS b FROM alerts WHERE severity >= 9 UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a AS alert_id, min(b) AS c FROM r GROUP BY a),
-g AS (SELECT c, count(*) AS n, row_number() OVER (ORDER BY c) - 1 AS k FROM m GROUP BY c) SELECT CAST(CASE WHEN n < 2 THEN -1 ELSE k END AS INTEGER) AS cluster, alert_id FROM m JOIN g USING (c)""")
-def rule_clusters(spark, sf_dir, severity=9):
+@query(f"""WITH RECURSIVE {SQL}, e AS (SELECT DISTINCT alert_id, ts, unnest(['u:' || usr, 'h:' || host, 'h:' || target]) AS x FROM alerts),
+nb AS (SELECT alert_id AS b, lag(alert_id) OVER w AS a, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM e WINDOW w AS (PARTITION BY x ORDER BY ts, alert_id)),
+l AS (SELECT a, b FROM nb WHERE gap <= 7200000000 UNION SELECT b, a FROM nb WHERE gap <= 7200000000),
+{Q.REACH_SQL},
+g AS (SELECT cluster AS c, count(*) AS n, row_number() OVER (ORDER BY cluster) - 1 AS k FROM m GROUP BY cluster) SELECT CAST(CASE WHEN n < 2 THEN -1 ELSE k END AS INTEGER) AS cluster, alert_id FROM m JOIN g ON m.cluster = g.c""")
+def rule_clusters(spark, sf_dir, severity=None):
     rows = Q.severe(spark, sf_dir, severity)
     return C.rule_clusters(rows, Q.entities(rows).select("alert_id", "entity"))
-
-
-on_all(rule_clusters, severity=None)

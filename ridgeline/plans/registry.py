@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +20,3 @@ def query(sql: str | None = None):
         return f
 
     return register
-
-
-def on_all(f: Callable[..., DataFrame], **options) -> None:
-    """Registers ``f`` with ``options`` under its name and ``_all``, without SQL."""
-    QUERIES[f"{f.__name__}_all"] = partial(f, **options)

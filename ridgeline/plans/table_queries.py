@@ -29,9 +29,9 @@ def keyword_tags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", S.attack_tags(S.row_text("text"))).alias("tags"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(left(coalesce(text, ''), 200))), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS token FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS token FROM documents")
 def token_norm(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.normalize_token(F.left(F.coalesce("text", F.lit("")), F.lit(200))).alias("token"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.normalize_token(F.coalesce("text", F.lit(""))).alias("token"))
 
 
 @query(r"""SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), 'https?://[^\s`''"]+')) AS links, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS mails,
@@ -47,12 +47,12 @@ def answer_candidates(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(c).alias("candidates"), S.extract_answer(F.lit("which email address"), c).alias("answer"))
 
 
-@query(r"""SELECT c.conv_id, c.turn, trim(regexp_replace(lower(coalesce(c.text, '')), '\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(lower(coalesce(n.text, '')), '\s+', ' ', 'g')), trim(regexp_replace(lower(left(coalesce(c.text, ''), 12)), '\s+', ' ', 'g'))) AS contained
+@query(r"""SELECT c.conv_id, c.turn, trim(regexp_replace(lower(coalesce(c.text, '')), '\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(lower(coalesce(n.text, '')), '\s+', ' ', 'g')), trim(regexp_replace(lower(coalesce(c.text, '')), '\s+', ' ', 'g'))) AS contained
 FROM conversations c JOIN conversations n ON c.conv_id = n.conv_id AND n.turn = c.turn + 1""")
 def contains_answer(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    hit = (S.squeeze(F.col("text")) != "") & S.squeeze(F.col("next")).contains(S.squeeze(F.left(F.coalesce("text", F.lit("")), F.lit(12))))
+    hit = (S.squeeze(F.col("text")) != "") & S.squeeze(F.col("next")).contains(S.squeeze(F.coalesce("text", F.lit(""))))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", hit.alias("contained"))
 
 
