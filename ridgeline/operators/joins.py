@@ -178,11 +178,13 @@ def weak_positives(entities: DataFrame, train: DataFrame, max_gap_s: float = 6 *
     return pairs.withColumn("n", near).filter(F.col("n") <= cap).select("a", "b")
 
 
-def weak_negatives(alerts: DataFrame, entities: DataFrame, seed: int, cap: int = 16, min_gap_s: float = 24 * 3600, buckets: int = 64) -> DataFrame:
+def weak_negatives(alerts: DataFrame, entities: DataFrame, seed: int, cap: int = 16, min_gap_s: float = 24 * 3600, bucket_rows: int = 512) -> DataFrame:
     """(a, b): malicious alerts with seeded candidates of no common entity, either benign or far in time and of another tactic (JOIN-22).
 
-    Candidates come from one hash bucket an alert, so the join is on the bucket, not all by all.
+    Negatives are a sample by definition: each alert draws from one hash bucket of some ``bucket_rows`` alerts, whatever the
+    table's size, so the join is on the bucket, not all by all.
     """
+    buckets = max(1, alerts.count() // bucket_rows)
     h = lambda c, s: F.pmod(F.xxhash64(c, F.lit(s)), F.lit(buckets))
     cols = ["alert_id", "ts", "tactic", "label"]
     a = alerts.filter("label = 1").select(h("alert_id", seed).alias("bucket"), *[F.col(c).alias(f"a_{c}") for c in cols])

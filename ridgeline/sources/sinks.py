@@ -28,10 +28,15 @@ def write_summary(rows: DataFrame, path: str) -> None:
 
 def report(rows: DataFrame, limit: int = 1_000) -> str:
     """A small result as sorted JSON (SNK-02); over ``limit`` rows is an error, reports are summaries."""
-    found = [r.asDict(recursive=True) for r in rows.limit(limit + 1).collect()]
+    return json.dumps([r.asDict(recursive=True) for r in _few(rows, limit)], sort_keys=True, default=str, indent=2)
+
+
+def _few(rows: DataFrame, limit: int) -> list:
+    """All rows of a summary; more than ``limit`` are an error, never cut."""
+    found = rows.limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"a report has at most {limit} rows")
-    return json.dumps(found, sort_keys=True, default=str, indent=2)
+    return found
 
 
 def _cell(value, digits: int) -> str:
@@ -40,7 +45,7 @@ def _cell(value, digits: int) -> str:
 
 def markdown(rows: DataFrame, digits: int = 4, limit: int = 1_000) -> str:
     """A small result as a Markdown table (SNK-03, 08)."""
-    cells = [[_cell(v, digits).replace("|", "\\|").replace("\n", " ") for v in r] for r in rows.limit(limit).collect()]
+    cells = [[_cell(v, digits).replace("|", "\\|").replace("\n", " ") for v in r] for r in _few(rows, limit)]
     lines = [rows.columns, ["---"] * len(rows.columns), *cells]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
 
@@ -48,7 +53,7 @@ def markdown(rows: DataFrame, digits: int = 4, limit: int = 1_000) -> str:
 def latex(rows: DataFrame, digits: int = 4, limit: int = 1_000) -> str:
     """A small result as a LaTeX tabular (SNK-08)."""
     fix = lambda s: s.replace("_", "\\_").replace("&", "\\&").replace("%", "\\%")
-    body = [" & ".join(fix(_cell(v, digits)) for v in r) + r" \\" for r in rows.limit(limit).collect()]
+    body = [" & ".join(fix(_cell(v, digits)) for v in r) + r" \\" for r in _few(rows, limit)]
     head = " & ".join(map(fix, rows.columns)) + r" \\"
     return "\n".join([r"\begin{tabular}{" + "l" * len(rows.columns) + "}", r"\hline", head, r"\hline", *body, r"\hline", r"\end{tabular}"])
 
