@@ -270,7 +270,11 @@ def label_window_join(spark, sf_dir):
     return joins.label_window_join(rows, joins.label_windows(w)).select("alert_id", "attack")
 
 
-@query(f"""{AE}, q AS (SELECT DISTINCT alert_id, entity FROM entity) SELECT DISTINCT x.alert_id AS a, y.alert_id AS b FROM q x JOIN q y ON x.entity = y.entity AND x.alert_id <> y.alert_id""")
+#: All pairs by definition: millions of rows even at sf0.01, so this is held against the query on a small table only.
+PROJECTION_SQL = f"""{AE}, q AS (SELECT DISTINCT alert_id, entity FROM entity) SELECT DISTINCT x.alert_id AS a, y.alert_id AS b FROM q x JOIN q y ON x.entity = y.entity AND x.alert_id <> y.alert_id"""
+
+
+@query()
 def homogeneous_projection(spark, sf_dir, severity=None):
     return joins.shared_entity_pairs(entities(severe(spark, sf_dir, severity)))
 
