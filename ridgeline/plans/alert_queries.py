@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -317,7 +319,28 @@ def chain_lcs(spark, sf_dir, severity=None):
     return seq.select("user", F.round(S.lcs_ratio(F.col("sequence"), _CHAIN), 6).alias("ratio"))
 
 
-@query()
+def _letters(names, column: str) -> tuple[dict[str, str], str]:
+    """One letter for each stage, and the SQL that gives it, so that a sequence is a word and a subsequence a LIKE pattern."""
+    letters = {n: chr(ord("a") + i) for i, n in enumerate(sorted(set(names)))}
+    return letters, f"CASE {column} {' '.join(f"WHEN '{n}' THEN '{x}'" for n, x in letters.items())} ELSE '_' END"
+
+
+def _common_sql(word: str, chain: tuple[str, ...], letters: dict[str, str]) -> str:
+    """Length of the longest subsequence of ``chain`` that ``word`` has, by trying all of them from the longest on."""
+    tries = [f"WHEN {' OR '.join(f"{word} LIKE '%{'%'.join(letters[s] for s in part)}%'" for part in combinations(chain, k))} THEN {k}" for k in range(len(chain), 0, -1)]
+    return f"(CASE {' '.join(tries)} ELSE 0 END)"
+
+
+_TACTICS, _TACTIC_LETTER = _letters([t for c in K.ATTACK_CHAINS for t in c], "tactic")
+_STAGES, _STAGE_LETTER = _letters([t for expected, _ in K.ATTACK_GRAPHS.values() for t in expected], "stage")
+
+
+def _best_chain_sql(word: str) -> str:
+    return f"greatest({', '.join(f'{_common_sql(word, c, _TACTICS)} / {len(c)}' for c in K.ATTACK_CHAINS)})"
+
+
+@query(f"""{A}, {SEQ_SQL}, w AS (SELECT usr, string_agg({_TACTIC_LETTER}, '' ORDER BY ts, alert_id) AS w FROM ch WHERE before IS NULL OR before <> tactic GROUP BY usr)
+SELECT usr AS user, round({_best_chain_sql('w')}, 6) AS order_score FROM w""")
 def best_chain_order(spark, sf_dir):
     seq = sequence.stage_sequence(severe(spark, sf_dir, None), "user", "tactic", ["ts", "alert_id"])
     return seq.select("user", F.round(S.best_chain(F.col("sequence")), 6).alias("order_score"))
@@ -396,7 +419,35 @@ def cluster_scores(spark, sf_dir, severity=None):
     return d.select("cluster", "n", "max_severity", "high", "n_kinds", "shared", "low", "strict_entity_continuity", c("require_progression_or_severity_density").alias("progression"), F.round(heuristic, 5).alias("heuristic"))
 
 
-@query()
+def _list_sql(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _pattern_sql() -> str:
+    """Tables of the best attack graph of each cluster, from the stages tg and the steps ae."""
+    graphs = list(K.ATTACK_GRAPHS.values())
+    stages = ", ".join(f"count(DISTINCT stage) FILTER (WHERE stage IN ({_list_sql(e)})) AS s{i}" for i, (e, _) in enumerate(graphs))
+    steps = ", ".join(f"count(*) FILTER (WHERE l || '->' || r IN ({_list_sql(f'{a}->{b}' for a, b in pairs)})) AS e{i}" for i, (_, pairs) in enumerate(graphs))
+    each = [
+        f"SELECT cluster, coalesce(e{i}, 0) AS e, s{i} AS s, {-i} AS place, '{name}' AS pattern, s{i} / {len(e)} * 0.35 + coalesce(e{i}, 0) / {len(pairs)} * 0.45 + {_common_sql('word', e, _STAGES)} / {len(e)} * 0.20 AS raw FROM gr"
+        for i, (name, (e, pairs)) in enumerate(K.ATTACK_GRAPHS.items())
+    ]
+    return f"""sq AS (SELECT cluster, ts, alert_id, stage, lag(stage) OVER (PARTITION BY cluster ORDER BY ts, alert_id) AS before FROM tg),
+sw AS (SELECT cluster, string_agg({_STAGE_LETTER}, '' ORDER BY ts, alert_id) AS word, string_agg(stage, '>' ORDER BY ts, alert_id) AS sequence FROM sq WHERE before IS NULL OR before <> stage GROUP BY 1),
+gs AS (SELECT cluster, {stages} FROM tg GROUP BY 1), ge AS (SELECT cluster, {steps} FROM ae GROUP BY 1),
+gr AS (SELECT gs.*, ge.* EXCLUDE (cluster), word FROM gs JOIN sw ON gs.cluster = sw.cluster LEFT JOIN ge ON gs.cluster = ge.cluster),
+gp AS (SELECT cluster, max((round(least(CASE WHEN e = 0 THEN raw * 0.65 ELSE raw END, 1), 6), e, s, place, pattern)) AS b FROM ({' UNION ALL '.join(each)}) GROUP BY 1),
+gm AS (SELECT gp.cluster, b[1] AS graph_score, CASE WHEN b[1] > 0 THEN b[5] ELSE 'none' END AS pattern, sequence FROM gp JOIN sw ON gp.cluster = sw.cluster)"""
+
+
+#: Score of a cluster from fc, sh and gm.
+SCORE_SQL = """least(1, 0.30 * mx / 10 + 0.25 * least(k / 3, 1) + 0.20 * least(1, CASE WHEN n >= 2 THEN 0.30 ELSE 0 END + CASE WHEN coalesce(shared, 0) > 0 THEN 0.25 ELSE 0 END + CASE WHEN k >= 2 THEN 0.45 ELSE 0 END)
+  + 0.15 * low / n + 0.10 * least(n / 5, 1) + 0.10 * graph_score)"""
+PATTERN_SQL = _pattern_sql()
+
+
+@query(f"""{DISC_SQL}, {PATTERN_SQL} SELECT fc.cluster, pattern, graph_score, round({SCORE_SQL}, 6) AS score, sequence
+FROM fc LEFT JOIN sh ON fc.cluster = sh.cluster JOIN gm ON fc.cluster = gm.cluster""")
 def pattern_match(spark, sf_dir):
     return scored_clusters(spark, sf_dir, None).select("cluster", "pattern", "graph_score", "score", F.concat_ws(">", "sequence").alias("sequence"))
 
@@ -433,7 +484,14 @@ def structural_scores(spark, sf_dir, severity=None):
     return structural(spark, sf_dir, severity).select("cluster", "n", "hosts", "tactics", "matches", "rare", "structural", "structural_rare")
 
 
-@query()
+_STRUCTURAL = "round(least(1, 0.25 * mx / 10 + 0.20 * high / n + 0.15 * least(n / 8, 1) + 0.10 * least(hosts / 3, 1) + 0.10 * least(tactics / 4, 1) + 0.10 * temporal + 0.10 * least(matches / 2, 1)), 6)"
+
+
+@query(f"""{STRUCT_SQL}, q AS (SELECT cluster, ts, alert_id, tactic, lag(tactic) OVER (PARTITION BY cluster ORDER BY ts, alert_id) AS before FROM c),
+w AS (SELECT cluster, string_agg({_TACTIC_LETTER}, '' ORDER BY ts, alert_id) AS w FROM q WHERE before IS NULL OR before <> tactic GROUP BY 1),
+v AS (SELECT sc.*, {_STRUCTURAL} AS structural, {_best_chain_sql('w')} AS o FROM sc JOIN w ON sc.cluster = w.cluster),
+e AS (SELECT *, round(least(1, structural * 0.26 + least(n / 10, 1) * 0.16 + least(tactics / 6, 1) * 0.16 + least(patterns / 4, 1) * 0.16 + o * 0.16 + high / n * 0.05 + rare / n * 0.05), 6) AS evidence FROM v WHERE structural >= 0.55)
+SELECT cluster, n, structural, round(o, 6) AS "order", evidence, evidence >= 0.68 AS selected, round(CASE WHEN evidence >= 0.68 THEN evidence ELSE 1 - evidence END, 6) AS confidence FROM e""")
 def verdicts(spark, sf_dir):
     """Incidents over the structural threshold with the local verdict (QRY-10)."""
     s = structural(spark, sf_dir, None).filter("structural >= 0.55").withColumn("order", S.best_chain(F.col("sequence")))
