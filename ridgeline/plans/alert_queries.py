@@ -331,16 +331,16 @@ def _common_sql(word: str, chain: tuple[str, ...], letters: dict[str, str]) -> s
     return f"(CASE {' '.join(tries)} ELSE 0 END)"
 
 
-_TACTICS, _TACTIC_LETTER = _letters([t for c in K.ATTACK_CHAINS for t in c], "tactic")
+_TACTICS, TACTIC_LETTER = _letters([t for c in K.ATTACK_CHAINS for t in c], "tactic")
 _STAGES, _STAGE_LETTER = _letters([t for expected, _ in K.ATTACK_GRAPHS.values() for t in expected], "stage")
 
 
-def _best_chain_sql(word: str) -> str:
+def best_chain_sql(word: str) -> str:
     return f"greatest({', '.join(f'{_common_sql(word, c, _TACTICS)} / {len(c)}' for c in K.ATTACK_CHAINS)})"
 
 
-@query(f"""{A}, {SEQ_SQL}, w AS (SELECT usr, string_agg({_TACTIC_LETTER}, '' ORDER BY ts, alert_id) AS w FROM ch WHERE before IS NULL OR before <> tactic GROUP BY usr)
-SELECT usr AS user, round({_best_chain_sql('w')}, 6) AS order_score FROM w""")
+@query(f"""{A}, {SEQ_SQL}, w AS (SELECT usr, string_agg({TACTIC_LETTER}, '' ORDER BY ts, alert_id) AS w FROM ch WHERE before IS NULL OR before <> tactic GROUP BY usr)
+SELECT usr AS user, round({best_chain_sql('w')}, 6) AS order_score FROM w""")
 def best_chain_order(spark, sf_dir):
     seq = sequence.stage_sequence(severe(spark, sf_dir, None), "user", "tactic", ["ts", "alert_id"])
     return seq.select("user", F.round(S.best_chain(F.col("sequence")), 6).alias("order_score"))
@@ -488,8 +488,8 @@ _STRUCTURAL = "round(least(1, 0.25 * mx / 10 + 0.20 * high / n + 0.15 * least(n
 
 
 @query(f"""{STRUCT_SQL}, q AS (SELECT cluster, ts, alert_id, tactic, lag(tactic) OVER (PARTITION BY cluster ORDER BY ts, alert_id) AS before FROM c),
-w AS (SELECT cluster, string_agg({_TACTIC_LETTER}, '' ORDER BY ts, alert_id) AS w FROM q WHERE before IS NULL OR before <> tactic GROUP BY 1),
-v AS (SELECT sc.*, {_STRUCTURAL} AS structural, {_best_chain_sql('w')} AS o FROM sc JOIN w ON sc.cluster = w.cluster),
+w AS (SELECT cluster, string_agg({TACTIC_LETTER}, '' ORDER BY ts, alert_id) AS w FROM q WHERE before IS NULL OR before <> tactic GROUP BY 1),
+v AS (SELECT sc.*, {_STRUCTURAL} AS structural, {best_chain_sql('w')} AS o FROM sc JOIN w ON sc.cluster = w.cluster),
 e AS (SELECT *, round(least(1, structural * 0.26 + least(n / 10, 1) * 0.16 + least(tactics / 6, 1) * 0.16 + least(patterns / 4, 1) * 0.16 + o * 0.16 + high / n * 0.05 + rare / n * 0.05), 6) AS evidence FROM v WHERE structural >= 0.55)
 SELECT cluster, n, structural, round(o, 6) AS "order", evidence, evidence >= 0.68 AS selected, round(CASE WHEN evidence >= 0.68 THEN evidence ELSE 1 - evidence END, 6) AS confidence FROM e""")
 def verdicts(spark, sf_dir):

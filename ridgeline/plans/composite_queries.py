@@ -95,15 +95,80 @@ def edges(spark, sf_dir):
     return rows.select("alert_id", F.col("host").alias("source_id"), F.col("target").alias("target_id"), F.col("user").alias("user_id"), F.lit("").alias("process_name"), "tactic", "technique", "severity", "ts")
 
 
-@query()
+def _components_sql(name: str, nodes: str, links: str) -> str:
+    """(alert_id, cluster) of the links' components, as table ``name``."""
+    return Q.CC_SQL.format(nodes=nodes).replace("m(alert_id", f"{name}(alert_id").replace("JOIN l ON l.", f"JOIN {links} l ON l.").replace("FROM m JOIN", f"FROM {name} m JOIN").replace("recurring.m", f"recurring.{name}")
+
+
+#: Candidates: severity-weighted communities (mc), pattern components (mp), rare components (mr), and severe components (ms).
+_CANDIDATE_SQL = f"""WITH RECURSIVE {SQL}, {Q.ENTITY_SQL}, {Q.PAIR_SQL},
+rk AS (SELECT alert_id, row_number() OVER (PARTITION BY lower(host || '|' || target || '|' || tactic || '|' || technique) ORDER BY ts, alert_id) <= 4 AS rare FROM alerts),
+lc AS (SELECT x.alert_id AS a, y.alert_id AS b FROM entity x JOIN entity y ON x.entity = y.entity AND x.alert_id <> y.alert_id
+  AND abs(epoch_us(x.ts) - epoch_us(y.ts)) / 1e6 <= 7200 AND greatest(x.severity, y.severity) / ln(abs(epoch_us(x.ts) - epoch_us(y.ts)) / 1e6 + 2) >= 0.70),
+{_components_sql("mc", "alerts", "lc")},
+lp AS (SELECT earlier AS a, later AS b FROM pm UNION SELECT later, earlier FROM pm),
+{_components_sql("mp", "(SELECT a AS alert_id FROM lp)", "lp")},
+nr AS (SELECT alert_id AS b, lag(alert_id) OVER w AS a, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM entity WHERE alert_id IN (SELECT alert_id FROM rk WHERE rare) WINDOW w AS (PARTITION BY entity ORDER BY ts, alert_id)),
+lr AS (SELECT a, b FROM nr WHERE gap <= 10800000000 UNION SELECT b, a FROM nr WHERE gap <= 10800000000),
+{_components_sql("mr", "(SELECT alert_id FROM rk WHERE rare)", "lr")},
+ns AS (SELECT alert_id AS b, lag(alert_id) OVER w AS a, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM entity WHERE severity >= 8 WINDOW w AS (PARTITION BY entity ORDER BY ts, alert_id)),
+ls AS (SELECT a, b FROM ns WHERE gap <= 7200000000 UNION SELECT b, a FROM ns WHERE gap <= 7200000000),
+{_components_sql("ms", "(SELECT alert_id FROM alerts WHERE severity >= 8)", "ls")},
+hc AS (SELECT cluster, count(DISTINCT alert_id) AS n, count(DISTINCT h) AS hosts FROM (SELECT cluster, alert_id, unnest([host, target]) AS h FROM mc JOIN alerts USING (alert_id)) GROUP BY 1 HAVING count(DISTINCT alert_id) >= 4 AND count(DISTINCT h) > 1),
+sc AS (SELECT 'c:' || cluster AS cluster, alert_id FROM mc WHERE cluster IN (SELECT cluster FROM hc)), sp AS (SELECT 'p:' || cluster AS cluster, alert_id FROM mp),
+sr AS (SELECT 'r:' || cluster AS cluster, alert_id FROM mr WHERE cluster IN (SELECT cluster FROM mr GROUP BY 1 HAVING count(*) >= 4))"""
+
+
+def _layered_sql(x: str, rare: bool) -> str:
+    """Table found_x of the layered detector's incidents, and in_x of their alerts."""
+    share = "rare / n" if rare else "0"
+    weights = (0.22, 0.18, 0.14, 0.10, 0.10, 0.09, 0.10) if rare else (0.25, 0.20, 0.15, 0.10, 0.10, 0.10, 0.10)
+    terms = ("mx / 10", "high / n", "least(n / 8, 1)", "least(hosts / 3, 1)", "least(tactics / 4, 1)", "(1 - least(greatest(dur, 1), 21600) / 21600)", "least(coalesce(matches, 0) / 2, 1)")
+    structural = " + ".join(f"{w} * {t}" for w, t in zip(weights, terms, strict=True))
+    return f"""every_{x} AS (SELECT * FROM sc UNION ALL SELECT * FROM sp{' UNION ALL SELECT * FROM sr' if rare else ''}),
+size_{x} AS (SELECT cluster, count(*) AS n FROM every_{x} GROUP BY 1),
+over_{x} AS (SELECT p.cluster AS a, q.cluster AS b, count(*) AS joint FROM every_{x} p JOIN every_{x} q ON p.alert_id = q.alert_id AND p.cluster <> q.cluster GROUP BY 1, 2),
+in_{x} AS (SELECT cluster, a.* FROM every_{x} JOIN alerts a USING (alert_id) WHERE cluster NOT IN (SELECT o.a FROM over_{x} o JOIN size_{x} p ON o.a = p.cluster JOIN size_{x} q ON o.b = q.cluster WHERE joint = p.n AND (p.n < q.n OR o.a > o.b))),
+facts_{x} AS (SELECT cluster, count(*) AS n, max(severity) AS mx, count(*) FILTER (WHERE severity >= 8) AS high, count(DISTINCT tactic) AS tactics, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS dur,
+  count(*) FILTER (WHERE rare) AS rare, 'incident-' || lpad(CAST(row_number() OVER (ORDER BY min((ts, alert_id)), cluster) AS VARCHAR), 4, '0') AS name, string_agg(CAST(alert_id AS VARCHAR), ',' ORDER BY alert_id) AS alert_ids FROM in_{x} JOIN rk USING (alert_id) GROUP BY cluster),
+hosts_{x} AS (SELECT cluster, count(DISTINCT h) AS hosts FROM (SELECT cluster, unnest([host, target]) AS h FROM in_{x}) GROUP BY 1),
+match_{x} AS (SELECT cluster, count(DISTINCT (pattern, earlier, later)) AS matches, count(DISTINCT pattern) AS patterns FROM (SELECT cluster, pattern, earlier, later FROM in_{x} i JOIN pm ON i.alert_id = pm.earlier UNION ALL SELECT cluster, pattern, earlier, later FROM in_{x} i JOIN pm ON i.alert_id = pm.later) GROUP BY 1),
+step_{x} AS (SELECT cluster, ts, alert_id, tactic, lag(tactic) OVER (PARTITION BY cluster ORDER BY ts, alert_id) AS before FROM in_{x}),
+word_{x} AS (SELECT cluster, string_agg({Q.TACTIC_LETTER}, '' ORDER BY ts, alert_id) AS w FROM step_{x} WHERE before IS NULL OR before <> tactic GROUP BY 1),
+score_{x} AS (SELECT f.*, coalesce(patterns, 0) AS patterns, {Q.best_chain_sql('w')} AS o, round(least(1, {structural}{' + 0.07 * rare / n' if rare else ''}), 6) AS structural
+  FROM facts_{x} f JOIN hosts_{x} h ON f.cluster = h.cluster JOIN word_{x} w ON f.cluster = w.cluster LEFT JOIN match_{x} t ON f.cluster = t.cluster),
+found_{x} AS (SELECT *, least(1, structural * 0.26 + least(n / 10, 1) * 0.16 + least(tactics / 6, 1) * 0.16 + least(patterns / 4, 1) * 0.16 + o * 0.16 + high / n * 0.05 + {share} * 0.05) AS evidence FROM score_{x} WHERE structural >= 0.55)"""
+
+
+@query(f"""{_CANDIDATE_SQL}, {_layered_sql("r", True)} SELECT name, n, structural, round(evidence, 6) AS evidence, evidence >= 0.68 AS selected, alert_ids FROM found_r""")
 def layered_incidents(spark, sf_dir):
     d = D.layered(edges(spark, sf_dir), True)
     return d.select("name", "n", "structural", F.round("evidence", 6).alias("evidence"), "selected", F.concat_ws(",", F.transform("alert_ids", lambda x: x.cast("string"))).alias("alert_ids"))
 
 
-@query()
+def _detector_sql(name: str, ids: str) -> str:
+    return f"""SELECT '{name}' AS detector, 'ok' AS status, tp, sel - tp AS fp, tru - tp AS fn, coalesce(tp / nullif(sel, 0), 0) AS precision, coalesce(tp / nullif(tru, 0), 0) AS recall, coalesce(2 * tp / nullif(sel + tru, 0), 0) AS f1, any_hit AS incident_recall_any, all_hit AS incident_recall_all
+FROM (SELECT count(*) FILTER (WHERE s AND t) AS tp, count(*) FILTER (WHERE s) AS sel, count(*) FILTER (WHERE t) AS tru FROM (SELECT alert_id IN ({ids}) AS s, alert_id IN (SELECT alert_id FROM truth) AS t FROM alerts)),
+(SELECT avg(CAST(hits > 0 AS INT)) AS any_hit, avg(CAST(hits = n AS INT)) AS all_hit FROM (SELECT incident_id, count(*) AS n, count(*) FILTER (WHERE alert_id IN ({ids})) AS hits FROM truth GROUP BY 1))"""
+
+
+def _comparison_sql() -> str:
+    ids = lambda x, where="": f"SELECT alert_id FROM in_{x} WHERE cluster IN (SELECT cluster FROM found_{x}{where})"
+    chosen = " WHERE evidence >= 0.68"
+    rows = [_detector_sql("layered", ids("p")), _detector_sql("layered_rare", ids("r")), _detector_sql("layered_verdict", ids("p", chosen)), _detector_sql("layered_rare_verdict", ids("r", chosen))]
+    rows.append(_detector_sql("local_severity", "SELECT alert_id FROM ms WHERE cluster IN (SELECT cluster FROM ms GROUP BY 1 HAVING count(*) >= 2)"))
+    rows += [f"SELECT '{h}', 'not_run', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL" for h in D.HOSTED]
+    rounded = ", ".join(f"round({m}, 6) AS {m}" for m in _SHARES)
+    return f"{_CANDIDATE_SQL}, {_layered_sql('p', False)}, {_layered_sql('r', True)} SELECT detector, status, tp, fp, fn, {rounded} FROM ({' UNION ALL '.join(rows)})"
+
+
+_SHARES = ("precision", "recall", "f1", "incident_recall_any", "incident_recall_all")
+
+
+@query(_comparison_sql())
 def detector_comparison(spark, sf_dir):
-    return D.compare_detectors(edges(spark, sf_dir), truth(alerts(spark, sf_dir)))
+    d = D.compare_detectors(edges(spark, sf_dir), truth(alerts(spark, sf_dir)))
+    return d.select("detector", "status", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in _SHARES])
 
 
 def learned(spark, sf_dir):

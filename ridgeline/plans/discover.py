@@ -29,9 +29,9 @@ def cluster(rows: DataFrame, entities: DataFrame, gap_min: int = 120) -> DataFra
 
 
 def numbered(members: DataFrame, alerts: DataFrame, prefix: str = "cluster_") -> DataFrame:
-    """``members`` with ``name``: clusters numbered by their first alert, before any filter, so numbers may have holes (WIN-06, 07)."""
+    """``members`` with ``name``: clusters numbered by their first alert, then by id, before any filter, so numbers may have holes (WIN-06, 07)."""
     heads = members.join(alerts.select("alert_id", "ts"), "alert_id").groupBy("cluster").agg(F.min(F.struct("ts", "alert_id")).alias("head"))
-    n = F.row_number().over(Window.orderBy("head")).cast("string")
+    n = F.row_number().over(Window.orderBy("head", "cluster")).cast("string")
     return members.join(small_side(heads.select("cluster", F.concat(F.lit(prefix), F.lpad(n, 4, "0")).alias("name"))), "cluster")
 
 
