@@ -101,7 +101,7 @@ def _components_sql(name: str, nodes: str, links: str) -> str:
 
 
 #: Candidates: severity-weighted communities (mc), pattern components (mp), rare components (mr), and severe components (ms).
-_CANDIDATE_SQL = f"""WITH RECURSIVE {SQL}, {Q.ENTITY_SQL}, {Q.PAIR_SQL},
+CANDIDATE_SQL = f"""WITH RECURSIVE {SQL}, {Q.ENTITY_SQL}, {Q.PAIR_SQL},
 rk AS (SELECT alert_id, row_number() OVER (PARTITION BY lower(host || '|' || target || '|' || tactic || '|' || technique) ORDER BY ts, alert_id) <= 4 AS rare FROM alerts),
 lc AS (SELECT x.alert_id AS a, y.alert_id AS b FROM entity x JOIN entity y ON x.entity = y.entity AND x.alert_id <> y.alert_id
   AND abs(epoch_us(x.ts) - epoch_us(y.ts)) / 1e6 <= 7200 AND greatest(x.severity, y.severity) / ln(abs(epoch_us(x.ts) - epoch_us(y.ts)) / 1e6 + 2) >= 0.70),
@@ -119,7 +119,7 @@ sc AS (SELECT 'c:' || cluster AS cluster, alert_id FROM mc WHERE cluster IN (SEL
 sr AS (SELECT 'r:' || cluster AS cluster, alert_id FROM mr WHERE cluster IN (SELECT cluster FROM mr GROUP BY 1 HAVING count(*) >= 4))"""
 
 
-def _layered_sql(x: str, rare: bool) -> str:
+def layered_sql(x: str, rare: bool) -> str:
     """Table found_x of the layered detector's incidents, and in_x of their alerts."""
     share = "rare / n" if rare else "0"
     weights = (0.22, 0.18, 0.14, 0.10, 0.10, 0.09, 0.10) if rare else (0.25, 0.20, 0.15, 0.10, 0.10, 0.10, 0.10)
@@ -140,7 +140,7 @@ score_{x} AS (SELECT f.*, coalesce(patterns, 0) AS patterns, {Q.best_chain_sql('
 found_{x} AS (SELECT *, least(1, structural * 0.26 + least(n / 10, 1) * 0.16 + least(tactics / 6, 1) * 0.16 + least(patterns / 4, 1) * 0.16 + o * 0.16 + high / n * 0.05 + {share} * 0.05) AS evidence FROM score_{x} WHERE structural >= 0.55)"""
 
 
-@query(f"""{_CANDIDATE_SQL}, {_layered_sql("r", True)} SELECT name, n, structural, round(evidence, 6) AS evidence, evidence >= 0.68 AS selected, alert_ids FROM found_r""")
+@query(f"""{CANDIDATE_SQL}, {layered_sql("r", True)} SELECT name, n, structural, round(evidence, 6) AS evidence, evidence >= 0.68 AS selected, alert_ids FROM found_r""")
 def layered_incidents(spark, sf_dir):
     d = D.layered(edges(spark, sf_dir), True)
     return d.select("name", "n", "structural", F.round("evidence", 6).alias("evidence"), "selected", F.concat_ws(",", F.transform("alert_ids", lambda x: x.cast("string"))).alias("alert_ids"))
@@ -159,7 +159,7 @@ def _comparison_sql() -> str:
     rows.append(_detector_sql("local_severity", "SELECT alert_id FROM ms WHERE cluster IN (SELECT cluster FROM ms GROUP BY 1 HAVING count(*) >= 2)"))
     rows += [f"SELECT '{h}', 'not_run', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL" for h in D.HOSTED]
     rounded = ", ".join(f"round({m}, 6) AS {m}" for m in _SHARES)
-    return f"{_CANDIDATE_SQL}, {_layered_sql('p', False)}, {_layered_sql('r', True)} SELECT detector, status, tp, fp, fn, {rounded} FROM ({' UNION ALL '.join(rows)})"
+    return f"{CANDIDATE_SQL}, {layered_sql('p', False)}, {layered_sql('r', True)} SELECT detector, status, tp, fp, fn, {rounded} FROM ({' UNION ALL '.join(rows)})"
 
 
 _SHARES = ("precision", "recall", "f1", "incident_recall_any", "incident_recall_all")

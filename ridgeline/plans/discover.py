@@ -291,10 +291,11 @@ def candidates(edges: DataFrame, with_rarity: bool) -> tuple[DataFrame, DataFram
     return materialize(joins.maximal_clusters(materialize(every, "candidates")), "maximal"), matches
 
 
-def layered(edges: DataFrame, with_rarity: bool = False, threshold: float = 0.55) -> DataFrame:
+def layered(edges: DataFrame, with_rarity: bool = False, threshold: float = 0.55, use_severity: bool = True) -> DataFrame:
     """Incidents of the layered detector: members, facts, structural score, evidence and verdict (QRY-09, AGG-03..05).
 
     ``edges`` is (alert_id, source_id, target_id, user_id, process_name, tactic, technique, severity, ts).
+    Without ``use_severity`` the verdict's evidence leaves severity out.
     """
     key = gate.edge_key(*map(F.col, ("source_id", "target_id", "tactic", "technique", "tactic", "process_name")))
     rows = edges.withColumn("rel_key", key)
@@ -312,7 +313,7 @@ def layered(edges: DataFrame, with_rarity: bool = False, threshold: float = 0.55
     score = scoring.structural_score(*[c(x) for x in ("max_severity", "high", "n", "hosts", "tactics", "duration_s", "matches")], rare=c("rare") if with_rarity else None)
     out = out.withColumn("structural", score).filter(c("structural") >= threshold).withColumn("order", F.coalesce(S.best_chain(c("sequence")), F.lit(0.0)))
     zero = F.lit(0) if not with_rarity else c("rare")
-    return scoring.with_verdict(out, scoring.verdict_score(c("structural"), c("n"), c("tactics"), c("patterns"), c("order"), c("high"), zero))
+    return scoring.with_verdict(out, scoring.verdict_score(c("structural"), c("n"), c("tactics"), c("patterns"), c("order"), c("high") if use_severity else F.lit(0), zero))
 
 
 HOSTED = ("plain_model", "isolated_model", "model_rationalizer")

@@ -18,17 +18,22 @@ def entity(kind: Column | str, value: Column) -> Column:
     return F.when(v.isNotNull(), F.struct(k.alias("type"), v.alias("value"), S.entity_id(k, v).alias("id")))
 
 
+def falcon_id() -> Column:
+    """A Falcon row's id, else one made of its ends and tactic."""
+    return S.first_text("alert_id", F.concat(F.lit("falcon:"), "source_node", F.lit(":"), "target_node", F.lit(":"), "tactic"))
+
+
 def falcon_to_alerts(rows: DataFrame, with_tactics: bool = True, hide_severity: bool = False) -> DataFrame:
     """Canonical alerts of Falcon rows; label columns never pass (MAP-01, MAP-12)."""
     tactic = F.lower(F.trim("tactic"))
     token = F.coalesce(S.lookup(K.TACTIC_KINDS, tactic), F.nullif(S.normalize_token_unicode("tactic"), F.lit("")))
     kind = F.coalesce(token, F.lit("falcon_alert")) if with_tactics else F.lit("falcon_alert")
     tags = F.array_distinct(F.array_compact(F.array(F.when(F.lit(with_tactics), token), F.when(F.lit(with_tactics), F.nullif(S.normalize_token_unicode("technique"), F.lit(""))))))
-    key = S.first_text("alert_id", F.concat(F.lit("falcon:"), "source_node", F.lit(":"), "target_node", F.lit(":"), "tactic"))
+    action = F.coalesce(F.nullif(S.normalize_token_unicode(S.first_text("process", default="observed")), F.lit("")), F.nullif(S.normalize_token_unicode("technique"), F.lit("")), F.lit("observed"))
     severity = F.lit(K.HIDDEN_SEVERITY) if hide_severity else S.severity_falcon("severity")
     return rows.select(
-        key.alias("alert_id"), S.parse_time("timestamp").alias("ts"), entity("host", F.col("source_node")).alias("source"), entity("host", F.col("target_node")).alias("target"),
-        kind.alias("kind"), S.first_text("process", default="observed").alias("action"), severity.alias("severity"), tags.alias("tags"), F.col("user"), "seq",
+        falcon_id().alias("alert_id"), S.parse_time("timestamp").alias("ts"), entity("host", S.first_text("source_node", default="falcon-source")).alias("source"), entity("host", F.col("target_node")).alias("target"),
+        kind.alias("kind"), action.alias("action"), severity.alias("severity"), tags.alias("tags"), F.col("user"), "seq",
     )
 
 
@@ -47,13 +52,13 @@ def security_to_alerts(rows: DataFrame) -> DataFrame:
     )
 
 
-def falcon_to_edges(rows: DataFrame, hide_severity: bool = False) -> DataFrame:
-    """Detector edges of Falcon rows (MAP-03)."""
+def falcon_to_edges(rows: DataFrame, hide_severity: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Detector edges of Falcon rows, with further columns to keep (MAP-03)."""
     severity = F.lit(K.HIDDEN_SEVERITY) if hide_severity else S.severity_falcon("severity")
     return rows.select(
         S.first_text("alert_id", default="").alias("alert_id"), S.first_text("source_node", default="unknown-source").alias("source_id"), S.first_text("target_node", default="unknown-target").alias("target_id"),
         S.first_text("user", default="").alias("user_id"), S.first_text("process", default="").alias("process_name"), S.first_text("tactic", default="").alias("tactic"),
-        S.first_text("technique", default="").alias("technique"), severity.alias("severity"), S.parse_time("timestamp").alias("ts"),
+        S.first_text("technique", default="").alias("technique"), severity.alias("severity"), S.parse_time("timestamp").alias("ts"), *keep,
     )
 
 
