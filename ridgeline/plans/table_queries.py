@@ -41,7 +41,13 @@ def answer_patterns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", n(2).alias("links"), n(3).alias("mails"), n(0).alias("quoted"))
 
 
-@query()
+_STRIP = K.ANSWER_STRIP.replace("'", "''")
+_FOUND = " || ".join(f"regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}', 1)" for p in K.ANSWER_PATTERNS)
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, list_filter(list_transform({_FOUND}, lambda v: trim(trim(v), '{_STRIP}')), lambda v: v <> '') AS c FROM conversations)
+SELECT conv_id, turn, CAST(len(list_distinct(list_transform(c, lambda v: lower(v)))) AS INTEGER) AS candidates,
+  coalesce(list_filter(c, lambda v: regexp_matches(v, '{K.ANSWER_KINDS[2][1]}'))[1], c[1], '') AS answer FROM c""")
 def answer_candidates(spark, sf_dir):
     c = S.answer_candidates(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(c).alias("candidates"), S.extract_answer(F.lit("which email address"), c).alias("answer"))
@@ -189,7 +195,7 @@ def anomaly_scores(spark, sf_dir):
     return a.join(b, "alert_id")
 
 
-@query()
+@query("SELECT path, count(*) AS count FROM (SELECT unnest(json_keys(CAST(props AS JSON))) AS path FROM events WHERE json_valid(props)) GROUP BY 1")
 def schema_paths(spark, sf_dir):
     """Keys of the events' JSON, counted (SCH-02)."""
     v = F.try_parse_json("props")
