@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from hashlib import blake2b
 
@@ -27,6 +28,8 @@ def lookup_table(shards: Sequence[str], size: int = TABLE_SIZE) -> list[int]:
         raise ValueError(f"{size} is not a prime")
     if not shards or len(set(shards)) < len(shards) or len(shards) > size:
         raise ValueError("shards must be distinct names, at least one and no more than slots")
+    if any("\n" in s for s in shards):
+        raise ValueError("a shard's name has no line end")
     at = [_number(s, b"offset") % size for s in shards]
     skip = [_number(s, b"skip") % (size - 1) + 1 for s in shards]
     table, left = [-1] * size, size
@@ -63,10 +66,14 @@ def assign_shards(docs: DataFrame, shards: Sequence[str], size: int = TABLE_SIZE
 
 
 def write_shards(docs: DataFrame, path: str, shards: Sequence[str], size: int = TABLE_SIZE, files_per_shard: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` as Parquet, one folder ``shard_name=...`` a shard and ``files_per_shard`` files in each."""
+    """Writes ``docs`` as Parquet, one folder ``shard_name=...`` a shard and ``files_per_shard`` files in each.
+
+    The folder's name takes the place of a column ``shard_name`` of ``docs``; all other columns are kept, whatever their names.
+    """
     key = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
     slot = F.pmod(key, F.lit(size)).cast("int")
-    table = table_frame(docs.sparkSession, shards, size).select(F.col("slot").alias("_slot"), "shard_name")
-    placed = docs.withColumn("_slot", slot).join(F.broadcast(table), "_slot").drop("_slot")
+    own = f"slot_{uuid.uuid4().hex}"
+    table = table_frame(docs.sparkSession, shards, size).select(F.col("slot").alias(own), "shard_name")
     salt = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(files_per_shard))
+    placed = docs.withColumn(own, slot).drop("shard_name").join(F.broadcast(table), own).drop(own)
     placed.repartition(len(shards) * files_per_shard, "shard_name", salt).write.partitionBy("shard_name").parquet(path)

@@ -39,7 +39,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """Text (host and path) and verdict of the longest rule that fits, nulls if none does; of equal lengths the first listed."""
     text = verdict = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.host + r.path)):
+    for r in sorted(reversed(rules), key=lambda r: len(r.host + r.path)):  # later ones are asked first
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         text, verdict = F.when(fits, r.host + r.path).otherwise(text), F.when(fits, r.verdict).otherwise(verdict)
     return text, verdict
