@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import decontaminate, exact_dedup, jaccard_join, mixing, quality, sharding, token_counts, token_output, toxicity, url_filter
+from ridgeline.llm import centroid_clusters, decontaminate, exact_dedup, hard_negatives, jaccard_join, mixing, ogg, quality, sharding, token_counts, token_output, toxicity, url_filter
 
 #: A document is rejected from this probability of the chain's last category on.
 TOXIC = 0.5
@@ -71,6 +71,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rounds=200, settle=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = ogg.sound_features(ogg.sound_column(docs))
+    return read.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "sound.*")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm import pipeline as stages
 
@@ -78,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_token_output, op5_source_mixing, op6_quality_classifier, op7_exact_dedup, op8_token_counts, op9_sharding, op10_url_filter, pipeline)
+    own = (op1_toxicity, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_token_output, op5_source_mixing, op6_quality_classifier, op7_exact_dedup, op8_token_counts, op9_sharding, op10_url_filter, op11_hard_negatives, op12_media_columns, op13_centroid_clustering, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -88,4 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": decontaminate.SQL,
         "op5_source_mixing": mixing.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
+        "op11_hard_negatives": hard_negatives.SQL,
+        "op13_centroid_clustering": centroid_clusters.SQL,
     }
