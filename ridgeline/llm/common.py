@@ -49,6 +49,11 @@ def by_ids(docs: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few(ids) else ids, column, how)
 
 
+def with_document(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``labels`` whose doc_id a document has; only ids shuffle. Samples are drawn from these, never from labels that nothing can use."""
+    return labels.join(docs.select(F.col("doc_id").cast(labels.schema["doc_id"].dataType).alias("doc_id")), "doc_id", "left_semi")
+
+
 # --- text as bytes ---------------------------------------------------------------------------------------------------
 #: Random odd base of the word hash, its inverse modulo 2**64, and a random value for each byte.
 BASE = 0x9E3779B97F4A7C15

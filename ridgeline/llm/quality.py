@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import SPACED, claim_hashes, hash_words, mix, prepare, slices, text_buffers
+from ridgeline.llm.common import SPACED, claim_hashes, hash_words, mix, prepare, slices, text_buffers, with_document
 
 #: Kinds of characters whose triples are the terms of a text's shape: small letters and all beyond ASCII, capitals, digits, blanks, line ends, stops and quotes, marks, other symbols.
 SHAPES = np.full(256, 7, np.uint8)
@@ -142,14 +143,16 @@ def held_out(ids):
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 4_000, **settings) -> NeighbourModel:
-    """Fits on a bounded sample of labelled documents that are not held out: the ``max_rows`` rows of ``labels`` whose id hashes lowest.
+    """Fits on a bounded sample of labelled documents that are not held out: of the rows of ``labels`` that have a document, the ``max_rows`` whose id hashes lowest.
 
     Whole texts become rows of terms where they lie; only those reach the driver, ``max_rows`` times 6 KB at most. Of
-    documents that repeat an id one row counts, the least by its terms. Null labels and ids, and labels without a document, are skipped.
+    documents that repeat an id one row counts, the least by its terms. Null labels and ids, and labels without a document,
+    are skipped before the sample is drawn, so labels of other tables, however many, change nothing. Without a usable label
+    the model has no voters, every score is 0.5, and a warning says so.
     """
     prepare(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).filter("y is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+    picked = with_document(usable, docs).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
 
     def terms(batches):
         claim_hashes()
@@ -159,6 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
     got = rows.mapInArrow(terms, "doc_id long, y int, terms binary").groupBy("doc_id", "y").agg(F.min("terms").alias("terms")).toPandas().sort_values(["doc_id", "y"], kind="stable")
+    if not len(got):
+        warnings.warn("no label that is not held out has a document: all scores will be 0.5", stacklevel=2)
     x = np.frombuffer(b"".join(got["terms"]), np.float32).reshape(len(got), TERMS)
     return fit_terms(x, got["y"].tolist(), **settings)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from zlib import crc32
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import claim, prepare
+from ridgeline.llm.common import claim, prepare, with_document
 from ridgeline.operators.tables import materialize, release
 
 WORDS = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
@@ -152,17 +153,19 @@ def fit_chain(features: Sequence[np.ndarray], labels: np.ndarray, categories: Se
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], extra: Sequence[str] = (), max_rows: int = 5_000, folds: int = 3, per_category: int = 500) -> ChainModel:
-    """Fits the chain on a bounded sample: documents of the ``max_rows`` rows of ``labels`` whose doc_id hashes lowest.
+    """Fits the chain on a bounded sample: of the rows of ``labels`` that have a document, the ``max_rows`` whose doc_id hashes lowest.
 
     ``categories`` are SQL conditions, in chain order, over the columns of ``labels`` and the columns ``extra`` of ``docs``,
     which are used for targets only. The sample is drawn from the labels and broadcast, so texts don't shuffle. Whole
     texts become sets of buckets, which are written to shared storage; each bucket's counts by fold and category are
-    summed there, and only buckets that can be selected, for all documents or without one fold, reach the driver: at most
-    ``per_category`` for each category and fold, whatever the texts' length. Of documents that repeat an id one row with
-    the same targets counts. Null conditions count as 0; labels with a null id or without a document are skipped.
+    summed there, and only buckets that are among the best of an Arrow batch reach the driver: at most ``per_category`` for
+    each category, training part and batch, and no more than there are buckets, whatever the texts' length. Of documents
+    that repeat an id one row with the same targets counts. Null conditions count as 0; labels with a null id or without a
+    document are skipped before the sample is drawn, so labels of other tables, however many, change nothing. Without a
+    usable label the chain finds nothing toxic, and a warning says so.
     """
     prepare(docs.sparkSession)
-    sample = labels.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", *[c for c in labels.columns if c != "doc_id"]).limit(max_rows)
+    sample = with_document(labels.filter("doc_id is not null"), docs).orderBy(F.xxhash64("doc_id"), "doc_id", *[c for c in labels.columns if c != "doc_id"]).limit(max_rows)
     joined = docs.select("doc_id", "text", *extra).join(F.broadcast(sample), "doc_id")
     names = [f"y{i}" for i in range(len(categories))]
     picked = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.coalesce(F.expr(c).cast("int"), F.lit(0)).alias(n) for n, c in zip(names, categories.values(), strict=True)])
@@ -206,6 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], extra:
 
     got = table.mapInArrow(restrict, f"{shape}, fold int").toPandas().sort_values(["doc_id", *names], kind="stable")
     release(table)
+    if not len(got):
+        warnings.warn("no label has a document: nothing will be toxic", stacklevel=2)
     return fit_chain([np.asarray(f, np.int32) for f in got["features"]], got[names].to_numpy(np.int64).reshape(len(got), len(names)), list(categories), got["fold"].to_numpy(np.int64), folds, per_category)
 
 

@@ -505,7 +505,7 @@ def test_quality_cosines_are_exact_and_odd_texts_have_scores(spark):
             continue
         near = np.argsort(-s[i], kind="stable")[:5]
         w = np.maximum(s[i][near], 0) ** m.power
-        assert abs(p - (w * m.labels[near]).sum() / w.sum()) < 0.35
+        assert abs(p - (w * m.labels[near]).sum() / w.sum()) < 1e-6
     got = quality.quality_scores(frame(spark, odd), m).collect()
     assert len(got) == len(odd) and all(0 <= r.score <= 1 for r in got)
     assert quality.quality_scores(frame(spark, []), m).count() == 0

@@ -67,6 +67,16 @@ def test_sample_is_bounded_and_repeated_ids_count_once(spark):
     assert quality.quality_scores(clash, m).columns == clash.columns
 
 
+def test_labels_of_other_tables_change_nothing(spark):
+    docs = spark.createDataFrame([(i, f"word {i} of {i % 7}") for i in range(300)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    foreign = spark.range(1000, 200_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    alone, padded = (quality.train(docs, x, max_rows=100) for x in (labels, labels.unionByName(foreign)))
+    assert len(alone.labels) == 100 and (alone.vectors == padded.vectors).all() and (alone.labels == padded.labels).all()
+    with pytest.warns(UserWarning, match="0.5"):
+        assert not len(quality.train(docs, foreign).labels)
+
+
 def test_held_out_accuracy_on_all_labelled_documents():
     import zlib
 
