@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators.ranking import running_sums
 from ridgeline.operators.tables import small_side
 
 
@@ -64,11 +65,10 @@ def cluster_summary(rows: DataFrame, entities: DataFrame, cluster: str = "cluste
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row: area under the ROC curve by ranks, equal scores at their mean rank (AGG-23).
 
-    Scores are counted first; the running sum goes over distinct scores only, and is the one step in a single task.
+    Scores are counted first; the running sum goes over distinct scores only, in ranges (see ``ranking``).
     """
     by = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.select("pos", "n", (before + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = running_sums(by, [score], {"upto": "n"}).select("pos", "n", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
     p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return ranked.agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2, (p * n).cast("double")).alias("auc"))
 
@@ -79,8 +79,9 @@ def best_threshold(scored: DataFrame, score: str = "score", label: str = "label"
     Counts by score are cumulated once; every threshold's metrics follow from them.
     """
     by = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc(score))
-    cum = by.select(score, F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("sel"), F.row_number().over(Window.orderBy(score)).alias("k"), F.sum("pos").over(Window.partitionBy()).alias("all"), F.count(F.lit(1)).over(Window.partitionBy()).alias("d"))
+    ranked = running_sums(by, [score], {"upto_pos": "pos", "upto": "n"}, "k")
+    total = ranked.agg(F.sum("pos").alias("all"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("d"))
+    cum = ranked.crossJoin(F.broadcast(total)).select(score, "k", "all", "d", (F.col("all") - F.col("upto_pos") + F.col("pos")).alias("tp"), (F.col("rows") - F.col("upto") + F.col("n")).alias("sel"))
     step = F.greatest(F.lit(1), F.ceil(F.col("d") / candidates))
     kept = cum.filter((F.col("k") - 1) % step == 0).withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("sel") + F.col("all")), F.lit(0.0)))
     return kept.agg(F.max(F.struct("f1", (-F.col(score)).alias("s"))).alias("b")).select((-F.col("b.s")).alias("threshold"), F.col("b.f1").alias("f1"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import constants as K
+from ridgeline.operators.ranking import number_rows
 from ridgeline.operators.sessions import seconds_between
-from ridgeline.operators.tables import small_side
+from ridgeline.operators.tables import join_hot, materialize, small_side
 
 
 def explode_entities(alerts: DataFrame, columns: dict[str, str], id_col: str = "alert_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -31,6 +32,50 @@ def range_pairs(rows: DataFrame, key: str, ts: str, node: str, max_gap_s: int, k
     return a.join(b, ["k", "bucket"]).filter(order & gap.between(0, max_gap_s)).withColumn("gap_s", gap).drop("bucket")
 
 
+#: Rows of either side of a cell that meet in one key of a band join.
+SIDE_ROWS = 2_048
+
+
+def band_pairs(rows: DataFrame, key: str, ts: str, node: str, max_gap_s: int, keep: tuple[str, ...] = (), side: int = SIDE_ROWS) -> DataFrame:
+    """(k, a_*, b_*, gap_s): ordered pairs under one key with 0 < gap <= limit, however busy a key is at a time.
+
+    Cells are (key, time bucket as long as the limit); a row meets its own cell and the next. A histogram of the cells is
+    taken first: where more than ``side`` rows come to a cell from the left, both sides are cut by hash into parts of some
+    ``side`` rows, each row is sent to the parts of the other side, and the join is on (cell, part, part). So no key of the
+    join has more than about ``side`` squared pairs, and what a hot cell costs is spread in proportion to its pairs.
+    """
+    cols = [node, ts, *keep]
+    known = rows.filter(F.col(ts).isNotNull() & F.col(key).isNotNull())
+    placed = materialize(known.select(F.struct(F.col(key).alias("k"), F.floor(F.unix_micros(ts) / (max_gap_s * 1_000_000)).alias("bucket")).alias("cell"), *cols), "cells")
+    n = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select(F.struct(F.col("cell.k").alias("k"), (F.col("cell.bucket") + 1).alias("bucket")).alias("cell"), F.col("n").alias("earlier"))
+    parts = lambda c: F.ceil(c / side).cast("int")
+    left_rows = F.col("n") + F.coalesce("earlier", F.lit(0))
+    hot = materialize(n.join(before, "cell", "left").filter(left_rows > side).select("cell", parts(left_rows).alias("ls"), parts(F.col("n")).alias("rs")), "hot-cells")
+    one = lambda c: F.coalesce(c, F.lit(1))
+    mine = lambda c: F.pmod(F.xxhash64(node), one(F.col(c))).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), one(F.col(c)) - 1))
+    ahead = F.struct(F.col("cell.k").alias("k"), (F.col("cell.bucket") + 1).alias("bucket"))
+    left = join_hot(placed.select(F.explode(F.array("cell", ahead)).alias("cell"), *cols), hot, "cell", 2 * placed.count())
+    right = join_hot(placed, hot, "cell", placed.count())
+    a = left.select("cell", mine("ls").alias("l"), all_of("rs").alias("r"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = right.select("cell", mine("rs").alias("r"), all_of("ls").alias("l"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    gap = seconds_between(F.col(f"a_{ts}"), F.col(f"b_{ts}"))
+    met = a.join(b, ["cell", "l", "r"]).filter((gap > 0) & (gap <= max_gap_s))
+    return met.select(F.col("cell.k").alias("k"), *[f"{s}_{c}" for s in "ab" for c in cols], gap.alias("gap_s"))
+
+
+def causal_edges(entities: DataFrame, max_gap_s: int = 2 * 3600, side: int = SIDE_ROWS) -> DataFrame:
+    """(a, b): every alert with every strictly later one that shares an entity within the gap, uncapped (the directed part of JOIN-12)."""
+    pairs = band_pairs(entities, "entity", "ts", "alert_id", max_gap_s, side=side)
+    return pairs.select(F.col("a_alert_id").alias("a"), F.col("b_alert_id").alias("b")).filter("a != b").distinct()
+
+
+def causal_graph(entities: DataFrame, max_gap_s: int = 2 * 3600) -> DataFrame:
+    """(a, b): shared entities in both directions, whenever, and causal edges (JOIN-12). All pairs by definition of its first part."""
+    return shared_entity_pairs(entities, chain_if_empty=True).unionByName(causal_edges(entities, max_gap_s)).distinct()
+
+
 def pattern_table(spark) -> DataFrame:
     """The fixed tactic pairs as rows, a few of them."""
     return spark.createDataFrame([(a, b, n) for (a, b), n in K.TACTIC_PAIRS.items()], "a_tactic string, b_tactic string, pattern string")
@@ -117,8 +162,8 @@ def shared_entity_pairs(entities: DataFrame, chain_if_empty: bool = False) -> Da
     a, b = entities.select("entity", F.col("alert_id").alias("a")), entities.select("entity", F.col("alert_id").alias("b"))
     pairs = a.join(b, "entity").filter("a != b").select("a", "b").distinct()
     if chain_if_empty and pairs.isEmpty():
-        w = Window.orderBy("alert_id")
-        one = entities.select("alert_id").distinct().select(F.lag("alert_id").over(w).alias("a"), F.col("alert_id").alias("b")).filter("a is not null")
+        placed = number_rows(entities.select("alert_id").distinct(), ["alert_id"])
+        one = placed.select(F.col("alert_id").alias("a"), (F.col("number") + 1).alias("number")).join(placed.withColumnRenamed("alert_id", "b"), "number").select("a", "b")
         return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return pairs
 
@@ -166,7 +211,7 @@ def truth_in_fold(truth: DataFrame, fold: DataFrame, least: int = 2) -> DataFram
 def incident_classes(truth: DataFrame) -> DataFrame:
     """(alert_id, class): incidents numbered by descending size; an alert of several gets the highest number (JOIN-20)."""
     sizes = truth.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"))
-    numbered = sizes.withColumn("class", F.row_number().over(Window.orderBy(F.desc("n"), "incident_id")))
+    numbered = number_rows(sizes, [F.desc("n"), "incident_id"], name="class").withColumn("class", F.col("class").cast("int"))
     return truth.join(small_side(numbered.select("incident_id", "class")), "incident_id").groupBy("alert_id").agg(F.max("class").alias("class"))
 
 

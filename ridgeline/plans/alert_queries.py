@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ridgeline.functions import constants as K
 from ridgeline.functions import scalars as S
 from ridgeline.operators import components, evaluate, features, gate, joins, scoring, sequence, sessions
+from ridgeline.operators.ranking import number_rows
 from ridgeline.operators.tables import materialize
+from ridgeline.plans import discover as D
 from ridgeline.plans.alerts import ENTITY_SQL, SQL, alerts, truth
 from ridgeline.plans.registry import query
 
@@ -152,8 +154,8 @@ FROM m JOIN alerts USING (alert_id) GROUP BY cluster HAVING count(*) >= 1""")
 def cluster_numbers(spark, sf_dir, severity=None):
     rows = severe(spark, sf_dir, severity)
     g = rows.join(entity_components(rows), "alert_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("alert_id").alias("_id"))
-    n = F.row_number().over(Window.orderBy("first_ts", "_id")).cast("string")
-    return g.select("cluster", F.concat(F.lit("cluster_"), F.lpad(n, 4, "0")).alias("name"), "n", "first_ts", "last_ts")
+    name = F.concat(F.lit("cluster_"), D.cluster_number(F.col("number"))).alias("name")
+    return number_rows(g, ["first_ts", "_id"]).select("cluster", name, "n", "first_ts", "last_ts")
 
 
 @query(f"""{ARE}, l AS (SELECT x.alert_id AS a, y.alert_id AS b FROM entity x JOIN entity y ON x.entity = y.entity AND x.alert_id <> y.alert_id

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import constants as K
 from ridgeline.functions import scalars as S
 from ridgeline.operators import components, evaluate, features, gate, joins, scoring, sequence, sessions
+from ridgeline.operators.ranking import number_rows
 from ridgeline.operators.tables import materialize, small_side
 
 
@@ -31,8 +32,13 @@ def cluster(rows: DataFrame, entities: DataFrame, gap_min: int = 120) -> DataFra
 def numbered(members: DataFrame, alerts: DataFrame, prefix: str = "cluster_") -> DataFrame:
     """``members`` with ``name``: clusters numbered by their first alert, then by id, before any filter, so numbers may have holes (WIN-06, 07)."""
     heads = members.join(alerts.select("alert_id", "ts"), "alert_id").groupBy("cluster").agg(F.min(F.struct("ts", "alert_id")).alias("head"))
-    n = F.row_number().over(Window.orderBy("head", "cluster")).cast("string")
-    return members.join(small_side(heads.select("cluster", F.concat(F.lit(prefix), F.lpad(n, 4, "0")).alias("name"))), "cluster")
+    names = number_rows(heads, ["head", "cluster"]).select("cluster", F.concat(F.lit(prefix), cluster_number(F.col("number"))).alias("name"))
+    return members.join(small_side(names), "cluster")
+
+
+def cluster_number(n: Column) -> Column:
+    """Four digits at least."""
+    return F.lpad(n.cast("string"), F.greatest(F.lit(4), F.length(n.cast("string"))), F.lit("0"))
 
 
 def facts(rows: DataFrame, entities: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ridgeline.functions import constants as K
 from ridgeline.functions import scalars as S
+from ridgeline.operators.ranking import number_rows
 
 RECORD = "alert_id string, label string, timestamp string, severity string, tactic string, technique string, host string, user string, process string, ip string"
 
@@ -265,8 +266,7 @@ def questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     items = text.select("file", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("i", "q"))
     cells = [F.try_variant_get("q", f"$.{c.split()[0]}", c.split()[1]).alias(c.split()[0]) for c in QUESTION.split(", ") if not c.startswith("context")]
     context = F.coalesce(F.try_variant_get("q", "$.context", "string"), F.to_json(F.try_variant_get("q", "$.context", "variant")), F.lit("")).alias("context")
-    n = F.row_number().over(Window.orderBy("file", "i")) - 1
-    return items.select(n.cast("int").alias("row_idx"), F.regexp_extract("file", r"(incident_\d+)_qa", 1).alias("incident"), context, *cells)
+    return number_rows(items, ["file", "i"]).select((F.col("number") - 1).cast("int").alias("row_idx"), F.regexp_extract("file", r"(incident_\d+)_qa", 1).alias("incident"), context, *cells)
 
 
 #: Name -> function of (spark, path) giving records (SRC-27).
