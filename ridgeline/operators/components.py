@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.tables import BROADCAST_ROWS, join_hot, materialize, release
 
-#: Edges that one task reduces by itself.
+#: Edges that a task reduces at a time, and the most that it holds.
 PART_ROWS = 50_000
 
 
@@ -29,32 +33,55 @@ def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
     return out.filter("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
 
 
+def least_nodes(src: pa.ChunkedArray, dst: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]:
+    """(node, least node of its component) for the edges' nodes that aren't least themselves."""
+    nodes = pa.chunked_array([*src.chunks, *dst.chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(nodes.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[nodes.indices.to_numpy()]
+    a, b = code[: len(src)], code[len(src) :]
+    above = np.arange(len(order))
+    while True:
+        x, y = above[a], above[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(above, np.maximum(x, y), np.minimum(x, y))
+        while True:  # every node to the top of its chain
+            higher = above[above]
+            if (higher == above).all():
+                break
+            above = higher
+    below = np.flatnonzero(above != np.arange(len(order)))
+    names = nodes.dictionary.take(pa.array(order))
+    return names.take(pa.array(below)), names.take(pa.array(above[below]))
+
+
+def reduce_parts(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The edges (src, dst) that are left of runs of ``rows`` edges: each run's nodes to their least node. No more than a run and a batch are held."""
+
+    def reduced(run: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(run)
+        return pa.RecordBatch.from_arrays(list(least_nodes(table.column("src"), table.column("dst"))), schema=table.schema)
+
+    run, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            run.append(b.slice(0, rows - n))
+            n, b = n + run[-1].num_rows, b.slice(rows - n)
+            if n == rows:
+                yield reduced(run)
+                run, n = [], 0
+    if run:
+        yield reduced(run)
+
+
 def _in_parts(edges: DataFrame, rows: int) -> DataFrame:
-    """Edges (src, dst) of the components that the edges of each part of at most some ``PART_ROWS`` rows have by themselves, to their least node."""
-
-    def unite(batches):
-        above: dict = {}
-
-        def top(x):
-            while above[x] != x:
-                above[x] = x = above[above[x]]
-            return x
-
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for x, y in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
-                above.setdefault(x, x)
-                above.setdefault(y, y)
-                x, y = top(x), top(y)
-                if x != y:
-                    above[max(x, y)] = min(x, y)
-        found = [(x, top(x)) for x in above]
-        found = [(x, y) for x, y in found if x != y]
-        for i in range(0, len(found), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[i : i + 10_000], strict=True), schema.types, strict=True)], schema=schema)
-
-    return edges.coalesce(-(-rows // PART_ROWS)).mapInArrow(unite, edges.schema)
+    """Edges (src, dst) of the components that each part of at most ``PART_ROWS`` edges has by itself, to their least node."""
+    most = PART_ROWS
+    return edges.coalesce(-(-rows // most)).mapInArrow(lambda batches: reduce_parts(batches, most), edges.schema)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
