@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ridgeline.operators.gate import decide, stored
 
+#: State of any size lives in this store, whose changes go to the checkpoint folder; Spark's default keeps all of it in memory.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Name of the statistics that every micro-batch of the gate reports.
+STATISTICS = "gate"
 
-def stream_gate(alerts: DataFrame, key: str = "rel_key", order: list[str] = ("ts", "alert_id"), ttl_ms: int | None = None, **limits) -> DataFrame:
-    """(alert_id, key, severity, attack, seen, reason, store) of streamed alerts (alert_id, key, ts, severity, attack) (STR-01, 02).
 
-    The state of a relationship is one counter; within a micro-batch a key's alerts are counted in ``order``, so replaying
-    a table gives what the batch gate gives. With ``ttl_ms`` a counter is forgotten after that time without alerts.
-    """
+class RelationshipCounter(StatefulProcessor):
+    """Numbers the alerts of a relationship from what earlier micro-batches have counted; the state is one number a relationship."""
+
+    def __init__(self, key: str, order: tuple[str, ...], ttl_ms: int | None):
+        self.key, self.order, self.ttl_ms = key, order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen long", self.ttl_ms)
 
-    def count(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(chunks)).sort_values(list(order), kind="stable")
-        out = rows[["alert_id", "severity", "attack"]].assign(**{key: keys[0]}, seen=range(seen, seen + len(rows)))
-        state.update((seen + len(rows),))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield out[["alert_id", key, "severity", "attack", "seen"]]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        now = pd.concat(list(rows)).sort_values(list(self.order), kind="stable")
+        self.seen.update((before + len(now),))
+        yield now[["alert_id", "severity", "attack"]].assign(**{self.key: key[0]}, seen=range(before, before + len(now)))[["alert_id", self.key, "severity", "attack", "seen"]]
 
+    def close(self) -> None:
+        pass
+
+
+def stream_gate(alerts: DataFrame, key: str = "rel_key", order: tuple[str, ...] = ("ts", "alert_id"), ttl_ms: int | None = None, **limits) -> DataFrame:
+    """(alert_id, key, severity, attack, seen, reason, store) of streamed alerts (alert_id, key, ts, severity, attack) (STR-01, 02).
+
+    The state of a relationship is one number; within a micro-batch a key's alerts are counted in ``order``, so replaying
+    a table gives what the batch gate gives. With ``ttl_ms`` a number is forgotten after that time without alerts, and the
+    relationship starts anew. Each micro-batch reports how many alerts it took and stored (see ``replay``).
+    """
     id_type = alerts.schema["alert_id"].dataType.simpleString()
-    counted = alerts.groupBy(key).applyInPandasWithState(
-        count, f"alert_id {id_type}, {key} string, severity int, attack boolean, seen long", "seen long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout,
-    )
+    counted = alerts.groupBy(key).transformWithStateInPandas(RelationshipCounter(key, tuple(order), ttl_ms), f"alert_id {id_type}, {key} string, severity int, attack boolean, seen long", "append", "ProcessingTime" if ttl_ms else "None")
     decided = counted.withColumn("reason", decide(F.col("severity"), F.col("seen"), F.col("attack"), **limits))
-    return decided.withColumn("store", stored(F.col("reason")))
+    return decided.withColumn("store", stored(F.col("reason"))).observe(STATISTICS, F.count(F.lit(1)).alias("processed"), F.count_if(stored(F.col("reason"))).alias("stored"))
 
 
 def stream_sessions(alerts: DataFrame, key: str, gap: str = "120 minutes", late: str = "1 hour") -> DataFrame:
@@ -45,11 +55,40 @@ def stream_sessions(alerts: DataFrame, key: str, gap: str = "120 minutes", late:
     return alerts.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("alerts"), F.max("severity").alias("max_severity")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "alerts", "max_severity")
 
 
-def replay(stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
-    """Runs a stream over what is there and ends: into Parquet at ``path``, or through ``each`` batch (STR-03, SNK-06)."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = (writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)).start()
-    query.awaitTermination()
+def replay(stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", timed: bool = False) -> DataFrame:
+    """Runs a stream over what is there and ends: into Parquet at ``path``, or through ``each`` batch (STR-03, SNK-06).
+
+    Returns (batch, rows, processed, stored, seconds): what each micro-batch read and reported, and how long it took. Started
+    again with the same checkpoint, a stream goes on after the last batch that it finished. A stream whose state is
+    ``timed`` (a time to live) never ends by itself and is stopped when all that was there is done.
+    """
+    spark, (name, store) = stream.sparkSession, STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+        writer = writer.trigger(processingTime="0 seconds") if timed else writer.trigger(availableNow=True)
+        query = (writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)).start()
+    finally:
+        spark.conf.set(name, before)
+    if timed:
+        # such a stream keeps on running batches without rows; the first of a run may be one that was planned before it, so two count
+        while query.isActive and not (len(last := query.recentProgress[-2:]) == 2 and all(p.numInputRows == 0 for p in last)):
+            time.sleep(0.2)
+        query.stop()
+    else:
+        query.awaitTermination()
+    return statistics(spark, query)
+
+
+def statistics(spark: SparkSession, query) -> DataFrame:
+    """The progress that Spark keeps of a query's last micro-batches, a row each."""
+    rows = []
+    for p in query.recentProgress:
+        seen = p.observedMetrics.get(STATISTICS)
+        if p.numInputRows:
+            rows.append((p.batchId, p.numInputRows, seen and seen["processed"], seen and seen["stored"], p.batchDuration / 1000))
+    return spark.createDataFrame(rows, "batch long, rows long, processed long, stored long, seconds double")
 
 
 def rate_alerts(spark, per_second: int = 1_000, interesting: int = 10) -> DataFrame:

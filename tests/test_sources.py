@@ -144,6 +144,47 @@ def test_stream_gate_keeps_counts_across_batches(spark, tmp_path):
     assert batch.filter("store").count() == 10
 
 
+def alert_files(spark, folder, batches):
+    """One file a batch, written one after another: lists of (alert_id, rel_key, severity)."""
+    schema = "alert_id int, rel_key string, ts timestamp, severity int, attack boolean"
+    for b, rows in enumerate(batches):
+        spark.createDataFrame([(i, k, dt.datetime(2026, 1, 1, b, i % 60), s, False) for i, k, s in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_stream_of_many_batches_equals_the_batch_gate_and_reports(spark, tmp_path):
+    import os
+    import random
+
+    rng, n = random.Random(3), iter(range(10_000))
+    batches = [[(next(n), f"k{rng.randrange(6)}", rng.choice([2, 5, 9])) for _ in range(rng.randrange(1, 9))] for _ in range(10)]
+    stream = alert_files(spark, str(tmp_path / "in"), batches)
+    told = replay(stream_gate(stream), str(tmp_path / "out"), str(tmp_path / "state")).orderBy("batch").collect()
+    assert sorted(int(f) for f in os.listdir(tmp_path / "state/commits") if f.isdigit()) == list(range(10))
+    batch = gate.gate(spark.read.parquet(str(tmp_path / "in")), "rel_key", ["ts", "alert_id"], F.col("attack"))
+    columns = ["alert_id", "rel_key", "seen", "reason", "store"]
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(got.select(*columns).collect()) == sorted(batch.select(*columns).collect())
+    assert [(t.rows, t.processed) for t in told] == [(len(b), len(b)) for b in batches] and sum(t.stored for t in told) == got.filter("store").count()
+    # started again it takes up the counts where they were
+    more = alert_files(spark, str(tmp_path / "in"), [[(20_000, "k1", 2), (20_001, "k1", 2)]])
+    assert replay(stream_gate(more), str(tmp_path / "out"), str(tmp_path / "state")).first().rows == 2
+    before = sum(k == "k1" for b in batches for _, k, _ in b)
+    assert sorted(r.seen for r in spark.read.parquet(str(tmp_path / "out")).filter("alert_id >= 20000").collect()) == [before, before + 1]
+
+
+def test_forgotten_relationships_start_anew(spark, tmp_path):
+    import time
+
+    first = alert_files(spark, str(tmp_path / "in"), [[(1, "a", 5), (2, "a", 5), (3, "b", 5)]])
+    run = lambda s: replay(stream_gate(s, ttl_ms=3_000), str(tmp_path / "out"), str(tmp_path / "state"), timed=True)
+    run(first)
+    time.sleep(4)
+    run(alert_files(spark, str(tmp_path / "in"), [[(4, "a", 5), (5, "a", 5)]]))
+    got = {r.alert_id: r.seen for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+
+
 def test_generator_is_reproducible_and_overlaps(spark):
     from ridgeline.sources import generator
 
