@@ -362,6 +362,30 @@ def test_cosine_pairs_in_blocks_equal_brute_force(spark):
     assert {(r.a, r.b) for r in similarity.cosine_pairs(v, 0.6, block_rows=20).collect()} == want
 
 
+@pytest.mark.parametrize("at_least,block_rows", [(0.9, 25), (0.7, 60), (0.0, 40), (-0.5, 1000)])
+def test_cosine_pairs_of_clusters_repeats_and_odd_vectors(spark, at_least, block_rows):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 5))
+    x = [(centres[0 if i % 3 == 0 else i % 8] + 0.1 * rng.normal(size=5)).tolist() for i in range(150)] + [[1.0] * 5] * 30 + [[0.0] * 5, [0.0] * 5]
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x)] + [(900, [float("nan")] * 5), (901, None), (902, [None] * 5)], "vec_id int, embedding array<double>")
+    a = np.array(x)
+    u = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    s = u @ u.T
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= at_least}
+    border = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if abs(s[i, j] - at_least) < 1e-12 and s[i, j] != 0}
+    got = [(r.a, r.b) for r in similarity.cosine_pairs(v, at_least, block_rows=block_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) - border == want - border
+
+
+def test_vectors_visit_only_balls_that_may_hold_partners(spark):
+    rng = np.random.default_rng(6)
+    centres = np.eye(40)
+    x = [(centres[i % 40] + 0.02 * rng.normal(size=40)) for i in range(4000)]
+    unit = spark.createDataFrame([(i, "", (r / np.linalg.norm(r)).tolist()) for i, r in enumerate(x)], "id int, g string, v array<double>")
+    blocks = 40  # of 100 rows, which is what dealing by hash would ship each row to
+    assert similarity.ball_visits(unit, 0.95, 100).count() < 4000 * blocks / 4
+
+
 def test_samples_and_folds(spark):
     df = spark.range(10).select(F.col("id").alias("alert_id"), F.when(F.col("id") < 7, 1).otherwise(0).alias("label"))
     sizes = features.folds(df, ["alert_id"], 4).groupBy("fold").count().orderBy("fold").collect()
