@@ -69,6 +69,19 @@ def sketch_counts(df: DataFrame, key: str, eps: float = 1e-4, confidence: float
     return df.agg(F.count_min_sketch(F.col(key), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
 
+def sketch_estimates(df: DataFrame, key: str, width: int = 20_000, depth: int = 5) -> DataFrame:
+    """(key, count, estimate): what a count-min sketch of ``depth`` rows of ``width`` counters says of every key, never under its count (AGG-01).
+
+    Counters are rows (row, cell), summed from counts by key; an estimate is the least of a key's counters. Cells come from
+    MD5, so any engine fills the same sketch.
+    """
+    n = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    at = lambda d: F.conv(F.substring(F.md5(F.concat(F.lit(f"{d}:"), F.col(key)).cast("binary")), 1, 8), 16, 10).cast("long") % width
+    cells = n.select(key, "count", F.posexplode(F.array(*map(at, range(depth)))).alias("row", "cell"))
+    counters = cells.groupBy("row", "cell").agg(F.sum("count").alias("counter"))
+    return cells.join(counters, ["row", "cell"]).groupBy(key).agg(F.first("count").alias("count"), F.min("counter").alias("estimate"))
+
+
 def processing_stats(decisions: DataFrame, seconds: float | None = None) -> DataFrame:
     """processed, stored, stored_ratio, and alerts_per_second if the time is known (STR-03, AUX-48)."""
     n, s = F.count(F.lit(1)), F.count_if("store")

@@ -712,9 +712,9 @@ def upsert_latest(spark, sf_dir):
 
 
 @query(f"""{AE}, q AS (SELECT DISTINCT alert_id, ts, entity FROM entity WHERE alert_id IN (SELECT alert_id FROM truth)),
-p AS (SELECT DISTINCT x.alert_id AS a, y.alert_id AS b, (epoch_us(y.ts) - epoch_us(x.ts)) AS g FROM q x JOIN q y ON x.entity = y.entity AND (x.ts, x.alert_id) < (y.ts, y.alert_id) AND epoch_us(y.ts) - epoch_us(x.ts) <= 3600000000),
+p AS (SELECT DISTINCT x.alert_id AS a, y.alert_id AS b, (epoch_us(y.ts) - epoch_us(x.ts)) AS g FROM q x JOIN q y ON x.entity = y.entity AND (x.ts, x.alert_id) < (y.ts, y.alert_id) AND epoch_us(y.ts) - epoch_us(x.ts) <= 21600000000),
 n AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY g, b) AS k FROM p) SELECT a, b FROM n WHERE k <= 8""")
 def weak_positive_pairs(spark, sf_dir):
     rows = alerts(spark, sf_dir)
     train = truth(rows).select("alert_id", F.lit(1).alias("label"))
-    return joins.weak_positives(entities(rows, "ts"), train, 3600, 8)
+    return joins.weak_positives(entities(rows, "ts"), train)

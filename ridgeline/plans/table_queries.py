@@ -187,7 +187,7 @@ def triage_metrics(spark, sf_dir):
     rows = alerts(spark, sf_dir)
     labelled = rows.join(truth(rows).select("alert_id", F.lit(1).alias("label")), "alert_id", "left").fillna({"label": 0})
     ents = Q.entities(rows, "ts").select("alert_id", "ts", "etype", "entity")
-    x, names = learning.graph_features(labelled, ents, hops=1)
+    x, names = learning.graph_features(labelled, ents)
     split = materialize(features.split_rows(x, "label", "alert_id"), "features")
     out = learning.triage(split, names).filter("not is_train").select("alert_id", "label", F.col("probability").alias("score"), "prediction")
     m = evaluate.selection_metrics(out.filter("prediction = 1"), out.filter("label = 1"))
