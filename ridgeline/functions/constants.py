@@ -9,11 +9,13 @@ LABEL_COLUMNS = ("is_incident", "incident_id")
 FALCON_COLUMNS = ("alert_id", "timestamp", "source_node", "target_node", "user", "tactic", "technique", "severity", "process", "is_incident", "incident_id")
 ENTITY_TYPES = ("ip", "user", "host", "service", "file")
 
+# Fixed values.
 ATTACK_KINDS = (
     "initial_access", "credential_access", "failed_login_burst", "execution", "lateral_movement", "privilege_escalation",
     "defense_evasion", "discovery", "collection", "data_exfiltration", "command_and_control", "impact",
 )
 
+# Fixed values.
 TACTIC_KINDS = {
     "initial access": "initial_access",
     "execution": "execution",
@@ -24,6 +26,7 @@ TACTIC_KINDS = {
     "exfiltration": "data_exfiltration",
 }
 
+# Fixed values.
 #: Kind -> words of which any, anywhere in an alert's text, gives the tag; in the order in which kinds are told.
 KIND_WORDS = {
     "initial_access": ("initial access", "drive-by", "malvertising", "fakeupdates", "phish"),
@@ -39,11 +42,13 @@ KIND_WORDS = {
     "impact": ("impact", "ransomware", "shadow copies", "file backups were deleted", "wipe", "encrypted"),
 }
 
+# Fixed values.
 STAGE_RANK = {
     "initial_access": 10, "credential_access": 20, "execution": 30, "command_and_control": 35, "lateral_movement": 40,
     "privilege_escalation": 50, "defense_evasion": 60, "discovery": 70, "collection": 80, "data_exfiltration": 90, "impact": 100,
 }
 
+# Fixed values.
 TACTIC_PAIRS = {
     ("Credential Access", "Execution"): "credential_execution",
     ("Credential Access", "Lateral Movement"): "credential_lateral_movement",
@@ -52,6 +57,7 @@ TACTIC_PAIRS = {
     ("Lateral Movement", "Exfiltration"): "lateral_exfiltration",
 }
 
+# Fixed values.
 ATTACK_CHAINS = (
     ("Initial Access", "Execution", "Credential Access", "Lateral Movement", "Privilege Escalation", "Exfiltration"),
     ("Initial Access", "Execution", "Persistence", "Credential Access", "Lateral Movement"),
@@ -59,6 +65,7 @@ ATTACK_CHAINS = (
     ("Execution", "Privilege Escalation", "Credential Access", "Lateral Movement", "Exfiltration"),
 )
 
+# Fixed values.
 #: Name -> stages in order, and the steps between stages that count.
 ATTACK_GRAPHS = {
     "credential_lateral_privilege": (
@@ -83,12 +90,14 @@ ATTACK_GRAPHS = {
     ),
 }
 
+# Fixed values.
 GENERIC_ICS_PHRASES = (
     "new activity detected - cip class", "new activity detected - cip class service", "new port discovery",
     "ethernet/ip cip service request failed", "ethernet/ip encapsulation protocol command", "modbus exception",
     "unauthorized mitsubishi melsec command", "omron fins unauthorized command", "bacnet operation failed", "new asset detected",
 )
 
+# Fixed values.
 #: Type of a raw entity -> its canonical type and the keys that may hold its value, in order.
 RAW_ENTITIES = {
     "account": ("user", ("UserPrincipalName", "Name", "Sid", "AadUserId")),
@@ -105,6 +114,7 @@ RAW_ENTITIES = {
 }
 EMPTY_ENTITY_VALUES = ("none", "nan", "system", "localsystem")
 
+# Fixed values.
 ANSWER_PATTERNS = (
     r"`([^`]+)`",
     r"\b((?:\d{1,3}\.){3}\d{1,3})\b",
@@ -118,6 +128,7 @@ ANSWER_KINDS = (
     (("host", "device", "machine"), r"(?i)^[a-zA-Z0-9][a-zA-Z0-9_.-]{1,80}$"),
 )
 
+# Fixed values.
 #: Role of a nested field -> leaf names that may hold it, best first; and path parts that speak for or against a path.
 FIELD_NAMES = {
     "alert_id": ("alert_id", "id", "systemalertid", "alertid"),

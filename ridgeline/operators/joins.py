@@ -230,7 +230,9 @@ def weak_negatives(alerts: DataFrame, entities: DataFrame, seed: int, cap: int =
     table's size, so the join is on the bucket, not all by all.
     """
     buckets = max(1, alerts.count() // bucket_rows)
-    h = lambda c, s: F.pmod(F.xxhash64(c, F.lit(s)), F.lit(buckets))
+    # MD5 is the same in every engine, so the draw can be repeated elsewhere
+    drawn = lambda c, s: F.conv(F.substring(F.md5(F.concat(F.col(c).cast("string"), F.lit(f":{s}")).cast("binary")), 1, 8), 16, 10).cast("long")
+    h = lambda c, s: drawn(c, s) % buckets
     cols = ["alert_id", "ts", "tactic", "label"]
     a = alerts.filter("label = 1").select(h("alert_id", seed).alias("bucket"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = alerts.select(h("alert_id", seed + 1).alias("bucket"), *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -239,7 +241,7 @@ def weak_negatives(alerts: DataFrame, entities: DataFrame, seed: int, cap: int =
     own = entities.groupBy("alert_id").agg(F.collect_set("entity").alias("e"))
     both = pairs.join(own.withColumnsRenamed({"alert_id": "a_alert_id", "e": "ea"}), "a_alert_id").join(own.withColumnsRenamed({"alert_id": "b_alert_id", "e": "eb"}), "b_alert_id")
     apart = both.filter(~F.arrays_overlap("ea", "eb"))
-    order = F.row_number().over(Window.partitionBy("a_alert_id").orderBy(F.xxhash64("b_alert_id", F.lit(seed)), "b_alert_id"))
+    order = F.row_number().over(Window.partitionBy("a_alert_id").orderBy(drawn("b_alert_id", seed), "b_alert_id"))
     return apart.withColumn("n", order).filter(F.col("n") <= cap).select(F.col("a_alert_id").alias("a"), F.col("b_alert_id").alias("b"))
 
 

@@ -220,7 +220,14 @@ def relationship_sketch(spark, sf_dir):
     return gate.sketch_counts(Q.gated(spark, sf_dir), "rel_key").select(F.length("sketch").alias("bytes"))
 
 
-@query()
+_DRAWN = "CAST('0x' || substr(md5(a.alert_id || ':{}'), 1, 8) AS BIGINT)"
+
+
+@query(f"""WITH {SQL}, {Q.ENTITY_SQL}, n AS (SELECT greatest(1, count(*) // 512) AS n FROM alerts), o AS (SELECT alert_id, list(DISTINCT entity) AS e FROM entity GROUP BY 1),
+l AS (SELECT a.alert_id, ts, tactic, a.alert_id IN (SELECT alert_id FROM truth) AS bad, e, {_DRAWN.format(3)} AS h3, {_DRAWN.format(4)} AS h4 FROM alerts a JOIN o ON a.alert_id = o.alert_id),
+p AS (SELECT x.alert_id AS a, y.alert_id AS b, row_number() OVER (PARTITION BY x.alert_id ORDER BY y.h3, y.alert_id) AS k FROM n, l x JOIN l y ON x.bad AND x.alert_id <> y.alert_id WHERE x.h3 % n = y.h4 % n
+  AND (NOT y.bad OR (abs(epoch_us(x.ts) - epoch_us(y.ts)) >= 86400000000 AND x.tactic <> y.tactic)) AND NOT list_has_any(x.e, y.e))
+SELECT a, b FROM p WHERE k <= 16""")
 def random_negatives(spark, sf_dir):
     rows = alerts(spark, sf_dir)
     t = truth(alerts(spark, sf_dir)).select("alert_id", F.lit(1).alias("label"))
