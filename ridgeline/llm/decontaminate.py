@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import ALNUM, claim_hashes, hash_words, prepare, slices, text_buffers
+from ridgeline.llm.common import ALNUM, claim_hashes, hash_words, prepare, slices, text_buffers, trimmed
 from ridgeline.operators.tables import materialize
 
 #: Symbols of the indexed text: its own end, the end of a document, then the shard's words in order of their hashes.
@@ -278,7 +278,7 @@ def _scanned(docs: DataFrame, search, keys: str) -> DataFrame:
                 items = pa.array([sorted(f - {None}) + [None] * (None in f) for f in found], pa.list_(pa.string()))  # those without an id: one null
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), pa.array(n_words.astype(np.int64)), items, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)], [*names, "n_words", "items", "spans"])
 
-    return docs.mapInArrow(scan, f"{keys}, n_words long, items array<string>, spans {SPANS}")
+    return docs.mapInArrow(trimmed(scan), f"{keys}, n_words long, items array<string>, spans {SPANS}")
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
@@ -339,7 +339,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, sh
                     clean[d] = False
                     yield batch.slice(i, j - i).filter(pa.array(clean))
 
-        return rows.mapInArrow(keep, docs.schema)
+        return rows.mapInArrow(trimmed(keep), docs.schema)
 
     for k in range(parts):
         docs = without(docs, searcher(k))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import SPACED, by_ids, claim_hashes, hash_words, mix, prepare, slices, text_buffers
+from ridgeline.llm.common import SPACED, by_ids, claim_hashes, hash_words, mix, prepare, slices, text_buffers, trimmed
 from ridgeline.operators.components import components
 from ridgeline.operators.tables import few, join_hot, materialize, release
 
@@ -274,7 +274,7 @@ def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
             for i, j, sets in _each_set(b, rule):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "set"])
 
-    return _text_rows(docs).mapInArrow(build, "doc_id long, n_shingles long, set long")
+    return _text_rows(docs).mapInArrow(trimmed(build), "doc_id long, n_shingles long, set long")
 
 
 def common_shingles(docs: DataFrame, rule: Rule, least: int = 32, most: int = 1_000_000, run: int = 2_000_000) -> np.ndarray:
@@ -298,7 +298,7 @@ def common_shingles(docs: DataFrame, rule: Rule, least: int = 32, most: int = 1_
         if held:
             yield flush()
 
-    counts = _text_rows(docs).mapInArrow(build, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counts = _text_rows(docs).mapInArrow(trimmed(build), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     found = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
@@ -326,7 +326,7 @@ def cell_rows(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
                     own = mix(a.view(np.uint64) * _A + mix(b.view(np.uint64))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((cell[head], own, own))), pa.array(np.concatenate((keys[owner[head]], a, b)))], ["cell", "set"])
 
-    return _text_rows(docs).mapInArrow(build, "cell long, set long")
+    return _text_rows(docs).mapInArrow(trimmed(build), "cell long, set long")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def meetings(rows: DataFrame) -> DataFrame:
                 both = np.unique(np.stack([a[on], s[on]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "set").mapInArrow(pairs, "a long, b long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell", "set").mapInArrow(trimmed(pairs), "a long, b long").distinct()
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -360,7 +360,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "size", "shingles"])
 
     rows = by_ids(_text_rows(docs), wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return rows.mapInArrow(build, "set long, size long, shingles binary")
+    return rows.mapInArrow(trimmed(build), "set long, size long, shingles binary")
 
 
 def links(grouped: DataFrame, rule: Rule) -> DataFrame:
@@ -384,7 +384,7 @@ def links(grouped: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in found], pa.int64()), pa.array([rows[j][0] for _, j in found], pa.int64())], ["a", "b"])
 
     rows = grouped.repartition("part").sortWithinPartitions("part", "set")
-    return rows.select("part", "set", "label", "fresh", "shingles").mapInArrow(run, "a long, b long")
+    return rows.select("part", "set", "label", "fresh", "shingles").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _at(sets: DataFrame, rule: Rule, common: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -406,7 +406,7 @@ def _at(sets: DataFrame, rule: Rule, common: np.ndarray) -> tuple[DataFrame, Dat
             yield pa.RecordBatch.from_arrays([numbers, pa.array([len(r) for r in rows], pa.int64()), pa.array(packed, pa.binary())], ["set", "size", "point"])
 
     rows = sets.select("set", "shingles")
-    return rows.mapInArrow(in_cells, "cell long, set long"), rows.mapInArrow(in_points, "set long, size long, point binary")
+    return rows.mapInArrow(trimmed(in_cells), "cell long, set long"), rows.mapInArrow(trimmed(in_points), "set long, size long, point binary")
 
 
 def _near(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -430,7 +430,7 @@ def _near(rows: DataFrame, rule: Rule) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())], ["a", "b"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "set").select("cell", "set", "size", "point").mapInArrow(run, "a long, b long")
+    return rows.repartition("cell").sortWithinPartitions("cell", "set").select("cell", "set", "size", "point").mapInArrow(trimmed(run), "a long, b long")
 
 
 def refined(sets: DataFrame, rule: Rule, common: np.ndarray, capacity: int, most_sets: int) -> DataFrame:
