@@ -104,18 +104,6 @@ def give_back() -> None:
         pass
 
 
-def trimmed(step: Callable) -> Callable:
-    """``step`` over Arrow batches, after which the worker returns its freed memory: it may idle while other stages need the machine."""
-
-    def run(batches):
-        try:
-            yield from step(batches)
-        finally:
-            give_back()
-
-    return run
-
-
 def claim_hashes() -> None:
     claim("hashes", _POWERS.clear)
 

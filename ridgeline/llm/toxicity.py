@@ -21,7 +21,7 @@ WORDS = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
 #: Feature space of the hashed words and word beginnings.
 BUCKETS = 1 << 20
 #: Words remembered by a worker; then it forgets all and starts anew.
-MEMO = 100_000
+MEMO = 300_000
 
 
 def word_features(word: str) -> tuple[int, int]:
