@@ -170,6 +170,28 @@ def test_severity_sessions_equal_all_pairs(spark):
         assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
 
 
+def test_gap_stars_have_the_components_of_gap_links(spark):
+    rng = random.Random(4)
+    for nulls in (False, True):
+        rows, df = timed(spark, rng)
+        stars = [(r.a, r.b) for r in sessions.gap_stars(df, ["entity"], "ts", "alert_id", 900, nulls).collect()]
+        links = [(r.a, r.b) for r in sessions.gap_links(df, ["entity"], "ts", "alert_id", 900, nulls).collect()]
+        assert stars and union_find(60, stars) == union_find(60, links)
+    # one run of a busy key is a star, not a path as long as the run
+    run = spark.createDataFrame([(i, at(i / 10), "k") for i in range(50)], "alert_id int, ts timestamp, k string")
+    assert {r.a for r in sessions.gap_stars(run, ["k"], "ts", "alert_id", 900).collect()} == {0}
+    assert {r.a for r in sessions.session_links(run.withColumn("session", F.lit(0)), ["k"], "alert_id", ["ts", "alert_id"]).collect()} == {0}
+
+
+def test_severity_sessions_take_no_frame_anew_for_each_row(spark):
+    n = 40_000
+    rows = spark.range(n).select(F.col("id").alias("alert_id"), F.timestamp_seconds(F.col("id") * 3).alias("ts"), F.lit("h").alias("entity"), F.lit(5).alias("severity"))
+    got = sessions.severity_sessions(rows, ["entity"], "ts", "alert_id", "severity")
+    plan = got._jdf.queryExecution().executedPlan().toString().lower()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
+    assert got.agg(F.max("session"), F.count("*")).first() == (0, n)
+
+
 def test_session_numbers_keep_rows_without_time(spark):
     df = spark.createDataFrame([(1, "k", at(0)), (2, "k", at(2)), (3, "k", at(5)), (4, "k", None)], "id int, k string, ts timestamp")
     got = {r.id: r.session for r in sessions.session_numbers(df, ["k"], "ts", "id", 2 * 3600).collect()}
