@@ -246,6 +246,52 @@ def test_tactic_pairs_need_order_entity_and_time(spark):
     assert {(r.pattern, r.earlier, r.later) for r in got} == {("credential_execution", 1, 2), ("credential_execution", 1, 5)}
 
 
+def linked_alerts(spark, rng, n=70):
+    """Rows (alert_id, ts, tactic, entity) of alerts with one to three entities, some times equal, some missing; and a map of them."""
+    tactics = sorted({t for pair in K.TACTIC_PAIRS for t in pair})
+    of = {i: (None if rng.random() < 0.05 else at(rng.randrange(0, 60) / 4), rng.choice(tactics), set(rng.choices(["h:a", "h:b", "u:c", "u:d", "u:e"], k=rng.randrange(1, 4)))) for i in range(n)}
+    rows = [(i, ts, tactic, e) for i, (ts, tactic, es) in of.items() for e in es]
+    return of, spark.createDataFrame(rows, "alert_id int, ts timestamp, tactic string, entity string")
+
+
+def test_pairs_are_met_once_and_not_shuffled(spark):
+    of, df = linked_alerts(spark, random.Random(11))
+    met = lambda x, y, s: of[x][0] and of[y][0] and of[x][2] & of[y][2] and 0 <= (of[y][0] - of[x][0]).total_seconds() <= s
+    every = [(x, y) for x in of for y in of if x != y]
+    want = sorted((K.TACTIC_PAIRS[of[x][1], of[y][1]], x, y) for x, y in every if (of[x][1], of[y][1]) in K.TACTIC_PAIRS and met(x, y, 5400) and (of[x][0], x) < (of[y][0], y))
+    got = joins.tactic_pair_matches(df, 5400)
+    assert sorted((r.pattern, r.earlier, r.later) for r in got.collect()) == want and want
+    causal = joins.causal_edges(df.drop("tactic"), 5400, side=3)
+    assert sorted((r.a, r.b) for r in causal.collect()) == sorted((x, y) for x, y in every if met(x, y, 5400) and of[x][0] < of[y][0])
+    for pairs in (got, causal):
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < (plan.index("Aggregate") if "Aggregate" in plan else len(plan))
+
+
+def test_pattern_links_have_the_components_of_all_matches(spark):
+    for seed in range(3):
+        of, df = linked_alerts(spark, random.Random(seed), 50)
+        pairs = [(r.earlier, r.later) for r in joins.tactic_pair_matches(df, 2700).collect()]
+        links = [(r.a, r.b) for r in joins.pattern_links(df, 2700).collect()]
+        assert union_find(50, links) == union_find(50, pairs)
+        assert {x for p in links for x in p} == {x for p in pairs for x in p}
+    busy = spark.range(200).select(F.col("id").alias("alert_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.when(F.col("id") % 2 == 0, "Lateral Movement").otherwise("Exfiltration").alias("tactic"), F.lit("h").alias("entity"))
+    assert joins.tactic_pair_matches(busy).count() == sum(1 for x in range(0, 200, 2) for y in range(x + 1, 200, 2)) and joins.pattern_links(busy).count() == 199
+
+
+def test_weak_positives_are_the_nearest_of_all_pairs(spark):
+    of, df = linked_alerts(spark, random.Random(3), 90)
+    train = spark.createDataFrame([(i, int(i % 3 > 0)) for i in of], "alert_id int, label int")
+    rows = {i: v for i, v in of.items() if i % 3 and v[0]}
+    want = set()
+    for x in rows:
+        later = sorted(((rows[y][0] - rows[x][0]).total_seconds(), y) for y in rows if rows[x][2] & rows[y][2] and (rows[x][0], x) < (rows[y][0], y))
+        want |= {(x, y) for g, y in [p for p in later if p[0] <= 7200][:3]}
+    found = joins.weak_positives(df.drop("tactic"), train, 7200, 3)
+    assert {(r.a, r.b) for r in found.collect()} == want
+    assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_neighbours_and_precedes(spark):
     rows = [(i, at(h), "host", "host:a") for i, h in enumerate([0, 0, 1, 2, 9])] + [(9, None, "host", "host:a")]
     df = spark.createDataFrame(rows, "alert_id int, ts timestamp, etype string, entity string")
