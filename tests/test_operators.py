@@ -279,6 +279,22 @@ def test_pattern_links_have_the_components_of_all_matches(spark):
     assert joins.tactic_pair_matches(busy).count() == sum(1 for x in range(0, 200, 2) for y in range(x + 1, 200, 2)) and joins.pattern_links(busy).count() == 199
 
 
+def test_match_counts_equal_the_matches_of_each_cluster(spark, monkeypatch):
+    for seed in range(3):
+        of, df = linked_alerts(spark, random.Random(20 + seed))
+        # clusters overlap, and some alerts are in none
+        inside = {(c, i) for c, k in (("x", 2), ("y", 3), ("z", 5)) for i in of if i % k == 0}
+        pairs = [(r.pattern, r.earlier, r.later) for r in joins.tactic_pair_matches(df, 5400).collect()]
+        want = {}
+        for c in "xyz":
+            hit = [p for p in pairs if (c, p[1]) in inside or (c, p[2]) in inside]
+            want[c] = (len(hit), len({p[0] for p in hit}))
+        with monkeypatch.context() as m:
+            m.delattr(joins, "tactic_pair_matches")
+            got = joins.match_counts(df, spark.createDataFrame(sorted(inside), "cluster string, alert_id int"), 5400).collect()
+        assert {r.cluster: (r.matches, r.patterns) for r in got} == want
+
+
 def test_weak_positives_are_the_nearest_of_all_pairs(spark):
     of, df = linked_alerts(spark, random.Random(3), 90)
     train = spark.createDataFrame([(i, int(i % 3 > 0)) for i in of], "alert_id int, label int")
