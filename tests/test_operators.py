@@ -295,6 +295,16 @@ def test_match_counts_equal_the_matches_of_each_cluster(spark, monkeypatch):
         assert {r.cluster: (r.matches, r.patterns) for r in got} == want
 
 
+def test_neighbourhood_counts_equal_the_neighbourhood(spark):
+    of, df = linked_alerts(spark, random.Random(31), 40)
+    ents, roots = df.select("alert_id", "entity"), spark.createDataFrame([(i,) for i in range(0, 40, 3)], "alert_id int")
+    hood = {}
+    for r in joins.neighbourhood(ents, roots).collect():
+        hood.setdefault(r.root, set()).add(r.alert_id)
+    got = {r.root: (r.n, r.entities) for r in joins.neighbourhood_counts(ents, roots).collect()}
+    assert got == {r: (len(h), len(set().union(*(of[i][2] for i in h)))) for r, h in hood.items()}
+
+
 def test_weak_positives_are_the_nearest_of_all_pairs(spark):
     of, df = linked_alerts(spark, random.Random(3), 90)
     train = spark.createDataFrame([(i, int(i % 3 > 0)) for i in of], "alert_id int, label int")
