@@ -305,6 +305,17 @@ def test_neighbourhood_counts_equal_the_neighbourhood(spark):
     assert got == {r: (len(h), len(set().union(*(of[i][2] for i in h)))) for r, h in hood.items()}
 
 
+def test_weak_negatives_make_no_row_of_a_pair(spark):
+    of, df = linked_alerts(spark, random.Random(8), 40)
+    rows = spark.createDataFrame([(i, ts, tactic, i % 2) for i, (ts, tactic, _) in of.items()], "alert_id int, ts timestamp, tactic string, label int")
+    found = joins.weak_negatives(rows, df.select("alert_id", "entity"), 3, cap=4, min_gap_s=3600)
+    draw = lambda i: (int(__import__("hashlib").md5(f"{i}:3".encode()).hexdigest()[:8], 16), i)
+    apart = lambda x, y: of[x][0] and of[y][0] and abs((of[x][0] - of[y][0]).total_seconds()) >= 3600 and of[x][1] != of[y][1]
+    fits = {x: sorted((y for y in of if y != x and (y % 2 == 0 or apart(x, y)) and not of[x][2] & of[y][2]), key=draw)[:4] for x in of if x % 2}
+    assert {(r.a, r.b) for r in found.collect()} == {(x, y) for x, ys in fits.items() for y in ys}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_weak_positives_are_the_nearest_of_all_pairs(spark):
     of, df = linked_alerts(spark, random.Random(3), 90)
     train = spark.createDataFrame([(i, int(i % 3 > 0)) for i in of], "alert_id int, label int")
