@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import SPACED, by_ids, claim_hashes, hash_words, mix, prepare, slices, text_buffers
 from ridgeline.operators.components import components
-from ridgeline.operators.tables import few, join_hot, materialize, release
+from ridgeline.operators.tables import dropped_shuffles, few, join_hot, materialize, release, short_lived
 
 #: Least number of groups of the points in boxes, points of a leaf, and nodes of an inner node.
 GROUPS, LEAF, FAN = 64, 32, 8
@@ -299,7 +299,8 @@ def common_shingles(docs: DataFrame, rule: Rule, least: int = 32, most: int = 1_
             yield flush()
 
     counts = _text_rows(docs).mapInArrow(build, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    found = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow().column(0).to_numpy()
+    with dropped_shuffles(docs.sparkSession):
+        found = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
@@ -520,22 +521,25 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 2_0
     table = materialize(set_table(docs, rule), "sets")
     count = table.count()
     reps = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    common = common_shingles(docs, rule)
-    met = materialize(meetings(cell_rows(docs, rule, common)), "met")
-    roots = materialize(components(met), "roots")
-    active = roots.select(F.col("node").alias("set"), "root").unionByName(roots.select(F.col("root").alias("set"), "root").distinct())
-    active = materialize(active.join(reps, "set").filter("rep is not null"), "active")
-    sets = wanted_sets(docs, active.select("set", F.col("rep").alias("doc_id")), rule)
-    near = active.select("set", "root")
-    sets = materialize(sets.join(F.broadcast(near) if few(near) else near, "set"), "active-sets")
-    sets = refined(sets, rule, common, capacity, most_sets)
-    found = components(group_links(sets, rule, capacity, most_sets))
-    # the least doc_id of a component: of its root and of all nodes under it
-    pairs = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set")
-    least = materialize(pairs.join(reps, "set").groupBy("root").agg(F.min("rep").alias("least")), "least")
-    merged = pairs.join(F.broadcast(least) if few(least) else least, "root").select("set", "least")
-    repeated = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set", "rep")
-    both = materialize(repeated.join(merged, "set", "full").select("set", F.coalesce("least", "rep").alias("least")), "classes")
+    # of all tables between, some of which hold shingles, only the classes stay
+    with short_lived(docs.sparkSession) as keep:
+        common = common_shingles(docs, rule)
+        met = materialize(meetings(cell_rows(docs, rule, common)), "met")
+        roots = materialize(components(met), "roots")
+        release(met)
+        active = roots.select(F.col("node").alias("set"), "root").unionByName(roots.select(F.col("root").alias("set"), "root").distinct())
+        active = materialize(active.join(reps, "set").filter("rep is not null"), "active")
+        sets = wanted_sets(docs, active.select("set", F.col("rep").alias("doc_id")), rule)
+        near = active.select("set", "root")
+        sets = materialize(sets.join(F.broadcast(near) if few(near) else near, "set"), "active-sets")
+        sets = refined(sets, rule, common, capacity, most_sets)
+        found = components(group_links(sets, rule, capacity, most_sets))
+        # the least doc_id of a component: of its root and of all nodes under it
+        pairs = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set")
+        least = materialize(pairs.join(reps, "set").groupBy("root").agg(F.min("rep").alias("least")), "least")
+        merged = pairs.join(F.broadcast(least) if few(least) else least, "root").select("set", "least")
+        repeated = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set", "rep")
+        both = keep(materialize(repeated.join(merged, "set", "full").select("set", F.coalesce("least", "rep").alias("least")), "classes"))
     out = join_hot(table.filter("n_shingles > 0"), both, "set", count)
     some = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
     return some.unionByName(table.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -595,3 +596,33 @@ def test_pipeline_stages_tell_rows_with_null_and_repeated_ids_apart(spark):
     assert kept == sorted([(5, other), (5, alone), (2, copy), (2, leak), (None, None), (2, "a b")], key=str)
     clean = sorted(((r.doc_id, r.text) for r in P.drop_contaminated(spark, docs, SF).collect()), key=str)
     assert clean == sorted([(i, t) for i, t in zip(ids, texts) if not (t or "").startswith(leak)], key=str)
+
+
+def test_near_duplicate_stage_copies_no_text_and_leaves_small_tables_only(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = [f"w{i % 40} " * 3 + " ".join(f"x{i % 40}y{j}" for j in range(60)) + (" end" if i >= 40 else "") for i in range(60)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "ridgeline"
+    before = set(shared.glob("*")) if shared.exists() else set()
+    out = P.drop_near_duplicates(spark, spark.read.parquet(path), SF)
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.glob("*")) - before}
+    assert left == {"near-copies"}  # neither a copy of the rows nor shingles
+    assert sorted(r.doc_id for r in out.collect()) == list(range(40))
+    twice = spark.read.parquet(path).withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))  # both rows have one place in a file
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, twice, SF).collect()) == list(range(40))
+
+
+def test_short_lived_tables_go_and_kept_ones_stay(spark):
+    from ridgeline.operators import tables
+
+    with tables.short_lived(spark) as outer:
+        with tables.short_lived(spark) as keep:
+            gone, kept = (tables.materialize(spark.range(n), "t") for n in (3, 5))
+            keep(kept.filter("id > 0"))
+            folder = gone.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+        assert kept.count() == 5 and not Path(folder).exists()
+        stays = outer(tables.materialize(spark.range(2), "t"))
+        inner = kept.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    assert stays.count() == 2 and not Path(inner).exists()
