@@ -547,6 +547,15 @@ def test_components_in_parts_and_by_stars(spark, monkeypatch, part_rows):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_no_round_when_all_edges_lead_to_roots(spark, monkeypatch):
+    from ridgeline.operators import components as C
+
+    monkeypatch.setattr(C, "PART_ROWS", 10)
+    monkeypatch.setattr(C, "_star", lambda *_: pytest.fail("a round without need"))
+    edges = spark.range(1, 200).selectExpr("id % 7 - 10 as a", "id as b").repartition(4)
+    assert {r.node: r.root for r in C.components(edges).collect()} == {i: i % 7 - 10 for i in range(1, 200)}
+
+
 def test_parts_of_one_large_partition_are_bounded(spark, monkeypatch):
     import numpy as np
     import pyarrow as pa
