@@ -126,6 +126,16 @@ def test_layered_detector_and_comparison(spark):
     assert D.feature_audit(e) == [] and D.feature_audit(e.withColumn("is_incident", F.lit(1))) == ["is_incident"]
 
 
+def test_detectors_with_and_without_rarity_share_their_candidates(spark, monkeypatch):
+    made, real = [], D.joins.pattern_links
+    monkeypatch.setattr(D.joins, "pattern_links", lambda *a, **k: made.append(1) or real(*a, **k))
+    e = falcon_edges(spark)
+    rows = {r.detector: r for r in D.compare_detectors(e, truth(spark, [("INC-1", f"m{i}") for i in range(4)])).collect()}
+    assert made == [1]
+    alone = D.layered(e, True).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("alert_ids")).alias("k")).first()
+    assert rows["layered_rare"].tp + rows["layered_rare"].fp == alone.k
+
+
 NESTED = [("a1", 0, "host-a"), ("a2", 1, "host-a"), ("a3", 23, "host-b"), ("a4", 24, "host-c"), ("a5", 48, "host-a"), ("a6", 49, "host-d"), ("a7", 71, "host-e"), ("a8", 72, "host-f")]
 
 
