@@ -145,6 +145,18 @@ def learned(spark):
     return df, df.select("alert_id", F.concat(F.lit("host:"), "host").alias("entity"))
 
 
+def test_strategies_of_one_base_share_its_groups(spark, monkeypatch):
+    df, ents = learned(spark)
+    some = [s for s in C.grid() if s.name in ("dbscan_current", "dbscan_split_time_6h", "dbscan_split_tactic", "temporal_only_4h", "temporal_only_6h")]
+    alone = {s.name: C.run(df, ents, s).agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"), F.count_if(F.col("cluster") < 0).alias("n")).first() for s in some}
+    made, real = [], C.base_groups
+    monkeypatch.setattr(C, "base_groups", lambda rows, entities, s: made.append(s.base) or real(rows, entities, s))
+    got = {r.strategy: (r.clusters, r.noise) for r in C.compare(df, ents, truth(spark, [("I", i) for i, _, _ in NESTED]), some).collect()}
+    assert sorted(made) == ["dbscan", "temporal"] and got == {n: (r.k, r.n) for n, r in alone.items()}
+    assert len({C.base_key(s) for s in C.grid()}) == 13
+
+
+
 def groups(df):
     out = {}
     for r in df.collect():
