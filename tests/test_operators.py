@@ -547,6 +547,16 @@ def test_components_in_parts_and_by_stars(spark, monkeypatch, part_rows):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_neighbourhood_meets_a_pair_once_and_sorts_out_no_pairs(spark):
+    from ridgeline.operators import joins
+
+    edges = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("b", "x"), ("c", None), ("d", "z"), ("f", "y")], "alert_id string, entity string")
+    out = joins.neighbourhood(edges, spark.createDataFrame([("a",), ("a",), ("c",), ("e",)], "alert_id string"))
+    assert sorted(map(tuple, out.collect())) == [("a", "a"), ("a", "b"), ("a", "f"), ("c", "c"), ("e", "e")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [root#" in line and "alert_id#" in line.split("]")[0]]
+
+
 def test_components_take_no_round_when_all_edges_lead_to_roots(spark, monkeypatch):
     from ridgeline.operators import components as C
 
