@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
+from pyspark.util import inheritable_thread_target
 
-from ridgeline.operators.tables import materialize, release
+from ridgeline.operators.tables import delete, dropped_shuffles, materialize, release, scratch
 
 SCHEMA = "request_key string, response string"
 
@@ -24,7 +27,7 @@ def request_key(prompt: str = "prompt"):
 def stored_answers(spark, store: str) -> DataFrame:
     """(request_key, response) of the result table at ``store``, empty before the first run."""
     try:
-        return spark.read.schema(SCHEMA).parquet(store)
+        return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(store)
     except AnalysisException:
         return spark.createDataFrame([], SCHEMA)
 
@@ -33,8 +36,9 @@ def ask(requests: DataFrame, answer: Callable[[list[str]], list[str]], store: st
     """``requests`` with ``request_key`` and ``response`` of their ``prompt``.
 
     Prompts without an answer in the table at ``store`` are asked, each once, ``batch`` to a call of ``answer`` in tasks;
-    some ``per_job`` of them make a job whose answers are appended when it ends. A run that breaks off loses one job's
-    answers, and a rerun asks for those only. Null prompts are not asked and have no response.
+    some ``per_job`` of them make a job, which reads its own prompts only and whose answers are in the table, in a folder of
+    their own, when it ends. As many jobs run at a time as there are cores; a run that breaks off loses the answers of those,
+    and a rerun asks for those only. Null prompts are not asked and have no response.
     """
     spark = requests.sparkSession
     keyed = requests.withColumn("request_key", request_key())
@@ -51,9 +55,27 @@ def ask(requests: DataFrame, answer: Callable[[list[str]], list[str]], store: st
                 yield pd.DataFrame({"request_key": part["request_key"].to_numpy(), "response": got})
 
     jobs = -(-missing.count() // per_job)
-    for i in range(jobs):
-        mine = missing.filter(F.pmod(F.xxhash64("request_key"), F.lit(jobs)) == i)
-        mine.mapInPandas(call, SCHEMA).write.mode("append").parquet(store)
+    folder, run = scratch(spark, "requests"), uuid.uuid4().hex
+    if jobs:
+        with dropped_shuffles(spark):
+            job = F.pmod(F.xxhash64("request_key"), F.lit(jobs)).cast("int")
+            missing.withColumn("job", job).repartition("job").write.partitionBy("job").parquet(folder)
+
+    def ask_job(i: int) -> None:
+        mine = spark.read.schema("request_key string, prompt string").parquet(f"{folder}/job={i}")
+        mine.mapInPandas(call, SCHEMA).write.parquet(f"{store.rstrip('/')}/{run}-{i}")
+
+    present = sorted(r["job"] for r in spark.read.parquet(folder).select("job").distinct().collect()) if jobs else []
+    with ThreadPoolExecutor(max(1, spark.sparkContext.defaultParallelism)) as pool:
+        asked = [pool.submit(inheritable_thread_target(spark)(ask_job), i) for i in present]
+        try:
+            for a in as_completed(asked):
+                a.result()
+        except BaseException:
+            pool.shutdown(cancel_futures=True)  # jobs that run end and keep their answers
+            raise
+    if jobs:
+        delete(spark, folder)
     release(missing)
     # a task that was run twice, or two runs at a time, may have stored an answer twice
     known = stored_answers(spark, store).groupBy("request_key").agg(F.min("response").alias("response"))

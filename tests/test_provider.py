@@ -57,6 +57,15 @@ def test_a_rerun_asks_only_for_what_a_broken_run_did_not_store(spark, tmp_path):
         provider.ask(rows, lambda prompts: [], str(tmp_path / "other"))
 
 
+def test_jobs_run_at_a_time_each_into_its_own_folder(spark, tmp_path):
+    rows = spark.range(300).select("id", F.format_string("p%d", "id").alias("prompt"))
+    store = tmp_path / "store"
+    got = provider.ask(rows, lambda p: [x.upper() for x in p], str(store), per_job=10)
+    assert got.filter("response = upper(prompt)").count() == 300 and provider.stored_answers(spark, str(store)).count() == 300
+    sizes = [spark.read.parquet(str(f)).count() for f in store.iterdir() if f.is_dir()]
+    assert 20 < len(sizes) <= 30 and sum(sizes) == 300
+
+
 def write_page(folder, number, rows):
     (folder / f"page={number}").mkdir(parents=True)
     (folder / f"page={number}" / "part-0.txt").write_text(json.dumps(rows))
