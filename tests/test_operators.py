@@ -491,6 +491,20 @@ def test_vectors_visit_only_balls_that_may_hold_partners(spark):
     assert similarity.ball_visits(unit, 0.95, 100).count() < 4000 * blocks / 4
 
 
+def test_visits_of_many_balls_leave_a_task_in_bounded_frames():
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    pivots = rng.normal(size=(600, 64))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    home = rng.integers(0, 600, 300).astype(np.int32)
+    p = pd.DataFrame({"id": range(300), "g": "", "v": [pivots[h] for h in home], "ball": home})
+    frames = list(similarity._visits(p, pivots, np.full(600, np.inf)))
+    assert sum(map(len, frames)) == (home + 1).sum() and max(map(len, frames)) <= similarity.TASK_NUMBERS // 64
+    whole = pd.concat(frames)
+    assert whole["own"].sum() == 300 and set(zip(whole["id"], whole["ball"])) == {(i, b) for i, h in enumerate(home) for b in range(h + 1)}
+
+
 def test_samples_and_folds(spark):
     df = spark.range(10).select(F.col("id").alias("alert_id"), F.when(F.col("id") < 7, 1).otherwise(0).alias("label"))
     sizes = features.folds(df, ["alert_id"], 4).groupBy("fold").count().orderBy("fold").collect()
