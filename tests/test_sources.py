@@ -173,6 +173,18 @@ def test_stream_of_many_batches_equals_the_batch_gate_and_reports(spark, tmp_pat
     assert sorted(r.seen for r in spark.read.parquet(str(tmp_path / "out")).filter("alert_id >= 20000").collect()) == [before, before + 1]
 
 
+def test_state_is_asked_by_bucket_not_by_relationship(spark, tmp_path):
+    batches = [[(b * 400 + i, f"k{i % 200}" if i else None, 5) for i in range(400)] for b in range(2)]
+    stream = alert_files(spark, str(tmp_path / "in"), batches)
+    gated = stream_gate(stream)
+    assert "bucket" in gated._jdf.queryExecution().analyzed().toString()
+    replay(gated, str(tmp_path / "out"), str(tmp_path / "state"))
+    batch = gate.gate(spark.read.parquet(str(tmp_path / "in")), "rel_key", ["ts", "alert_id"], F.col("attack"))
+    columns = ["alert_id", "rel_key", "seen", "reason", "store"]
+    order = lambda df: sorted(df.select(*columns).collect(), key=lambda r: r.alert_id)
+    assert order(spark.read.parquet(str(tmp_path / "out"))) == order(batch)
+
+
 def test_forgotten_relationships_start_anew(spark, tmp_path):
     import time
 
