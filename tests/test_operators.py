@@ -622,3 +622,19 @@ def test_least_nodes_of_texts_and_of_long_chains():
     assert node.to_pylist() == chain[1:] and set(least.to_pylist()) == {chain[0]}
     one = pa.chunked_array([pa.array([3, 9, 4])]), pa.chunked_array([pa.array([2, 8, 3])])
     assert [x.to_pylist() for x in C.least_nodes(*one)] == [[3, 4, 9], [2, 2, 8]]
+
+
+def test_neighbours_by_gap_buckets_equal_those_of_whole_entities(spark):
+    rng, k, gap = random.Random(9), 3, 100
+    data = [(i, None if rng.random() < 0.1 else dt.datetime(2026, 1, 1) + dt.timedelta(seconds=rng.choice([rng.randrange(3000), 100 * rng.randrange(30)])), rng.choice("xyz")) for i in range(240)]
+    data += [(1000 + i, None, "bare") for i in range(5)] + [(2000 + i, dt.datetime(2026, 1, 1) + dt.timedelta(days=i), "bare") for i in range(4)]
+    want = set()
+    for e in {r[2] for r in data}:
+        own = sorted((r for r in data if r[2] == e), key=lambda r: (r[1] is not None, r[1] or dt.datetime.min, r[0]))
+        for i, (a, t, _) in enumerate(own):
+            want |= {p for b, u, _ in own[i + 1 : i + 1 + k] if t is None or u is None or (u - t).total_seconds() <= gap for p in ((a, b), (b, a))}
+    rows = spark.createDataFrame(data, "alert_id long, ts timestamp, entity string").withColumn("etype", F.lit("host"))
+    assert {(r.a, r.b) for r in joins.temporal_neighbours(rows, gap, k).collect()} == want
+    # no window holds an entity's whole time
+    held = joins._with_next_heads(rows, gap, k).filter("_bucket is not null").groupBy("entity", "_bucket").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    assert all((r.hi - r.lo).total_seconds() < 2 * gap for r in held.collect())
