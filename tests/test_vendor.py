@@ -96,3 +96,14 @@ def test_empty_table(spark, hidden):
     assert e.clusters.count() == 0 and e.summary.first().stored == 0
     x = V.Errors(none, hidden)
     assert len(by(x.detectors)) == 7 and x.clusters.count() == 0 and x.missed.count() == 0
+
+
+def test_modes_share_labels_and_write_decisions_only(spark, monkeypatch):
+    written, real = [], V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, name: (written.append(name), real(df, name))[1])
+    rows, one = table(spark), None
+    modes = ((True, False), (False, False), (False, True))
+    for mode in modes:
+        one = V.Evaluation(rows, *mode, like=one)
+        assert by(one.detectors) == by(V.Evaluation(rows, *mode).detectors)
+    assert written.count("decided") == 0 and written.count("labels") == written.count("incidents") == 4  # one for all, and three alone
