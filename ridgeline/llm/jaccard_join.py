@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from ridgeline.operators.tables import dropped_shuffles, few, join_hot, material
 
 #: Least number of groups of the points in boxes, points of a leaf, and nodes of an inner node.
 GROUPS, LEAF, FAN = 64, 32, 8
+#: Shingles whose cells are shuffled at a time, and the most shares that cells are cut into, each of which reads all texts.
+SHARE_SHINGLES, MOST_SHARES = 1 << 24, 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -304,8 +307,8 @@ def common_shingles(docs: DataFrame, rule: Rule, least: int = 32, most: int = 1_
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
-def cell_rows(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
-    """(cell, set). Of sets that meet in a cell within a run of rows only the first goes on; the others get a cell of their own with it,
+def cell_rows(docs: DataFrame, rule: Rule, common: np.ndarray, share: int = 0, shares: int = 1) -> DataFrame:
+    """(cell, set) of one of ``shares`` shares of all cells. Of sets that meet in a cell within a run of rows only the first goes on; the others get a cell of their own with it,
     so a family of near copies that is a third of all rows sends a few rows a run, not one per copy and cell."""
 
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -316,6 +319,9 @@ def cell_rows(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
                 keys = np.array([set_key(s) for s in sets], np.int64)
                 _, once = np.unique(keys, return_index=True)
                 owner, cell = cells([sets[i] for i in once], rule, shared.value)
+                if shares > 1:
+                    mine = mix(cell.view(np.uint64)) % np.uint64(shares) == share
+                    owner, cell = owner[mine], cell[mine]
                 keys = keys[once]
                 order = np.lexsort((owner, cell))
                 owner, cell = owner[order], cell[order]
@@ -352,6 +358,12 @@ def meetings(rows: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "set").mapInArrow(pairs, "a long, b long").distinct()
 
 
+def all_meetings(docs: DataFrame, rule: Rule, common: np.ndarray, shares: int) -> DataFrame:
+    """(a, b) of all cells, written. Cells are shuffled a share at a time, whose files go before the next: more shares read the texts more often and take less disk."""
+    met = [materialize(meetings(cell_rows(docs, rule, common, i, shares)), "met") for i in range(shares)]
+    return reduce(DataFrame.unionByName, met)
+
+
 def wanted_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(set, size, shingles): the shingles of the sets in ``wanted`` (set, doc_id), read again from one document each."""
 
@@ -511,7 +523,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 2_0
 
     Words are runs without blanks, A-Z lower-cased; a document's set holds its distinct shingles of ``rule.words`` words, or
     the whole sequence if it has fewer. Equal sets are searched once, however many documents have them. Texts are read
-    four times (sets, common shingles, cells, and the shingles of those sets that met others), so no table of all shingles is ever kept.
+    four times (sets, common shingles, cells, and the shingles of those sets that met others), for cells once a share of them, so no table of all shingles is ever kept.
     ``capacity`` and ``most_sets`` are the shingles and sets that a task compares at a time; they bound memory and drop nothing.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows with a null id have no component. Rows
@@ -524,7 +536,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), capacity: int = 2_0
     # of all tables between, some of which hold shingles, only the classes stay
     with short_lived(docs.sparkSession) as keep:
         common = common_shingles(docs, rule)
-        met = materialize(meetings(cell_rows(docs, rule, common)), "met")
+        shingles = table.agg(F.sum("n_shingles")).first()[0] or 0
+        met = all_meetings(docs, rule, common, min(MOST_SHARES, 1 + shingles // SHARE_SHINGLES))
         roots = materialize(components(met), "roots")
         release(met)
         active = roots.select(F.col("node").alias("set"), "root").unionByName(roots.select(F.col("root").alias("set"), "root").distinct())

@@ -104,3 +104,30 @@ def test_chains_of_shared_passages_are_parted_and_families_are_not(spark, most_s
         pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if rule.den * len(shingles[i] & shingles[j]) >= rule.num * len(shingles[i] | shingles[j])]
         got = {r.doc_id: r.component_id for r in J.jaccard_components(docs, rule, capacity=1500, most_sets=most_sets).collect()}
         assert [got[i] for i in range(len(texts))] == closure(len(texts), pairs)
+
+
+def test_cells_in_shares_meet_the_same_and_leave_no_shuffle(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rng = np.random.default_rng(3)
+    texts = []
+    for f in range(12):
+        base = list(rng.choice(words, 60))
+        for _ in range(4):
+            copy = list(base)
+            copy[int(rng.integers(60))] = "other"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, J.jaccard_components(docs).collect()))
+    seen, plain = [], J.cell_rows
+
+    def watched(docs, rule, common, share=0, shares=1):
+        out = plain(docs, rule, common, share, shares)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "cell_rows", watched)
+    monkeypatch.setattr(J, "SHARE_SHINGLES", 500)
+    assert sorted(map(tuple, J.jaccard_components(docs).collect())) == want
+    # each share holds a part of the cells only, and is shuffled by itself
+    assert len(seen) == J.MOST_SHARES == 4 and max(seen) < 0.6 * sum(seen) and min(seen) > 0
+    assert len({r[2] for r in want}) < len(want)
