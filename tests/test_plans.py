@@ -149,6 +149,14 @@ def test_detectors_with_and_without_rarity_share_their_candidates(spark, monkeyp
     assert rows["layered_rare"].tp + rows["layered_rare"].fp == alone.k
 
 
+def test_compared_detectors_hold_no_incident_in_one_row(spark, monkeypatch):
+    written, real = [], D.materialize
+    monkeypatch.setattr(D, "materialize", lambda df, name: written.append((name, df.dtypes)) or real(df, name))
+    D.compare_detectors(falcon_edges(spark), truth(spark, [("INC-1", f"m{i}") for i in range(4)])).collect()
+    assert {"layered", "orders"} <= {n for n, _ in written}
+    assert [n for n, types in written if any(t.startswith("array") for _, t in types)] == []
+
+
 NESTED = [("a1", 0, "host-a"), ("a2", 1, "host-a"), ("a3", 23, "host-b"), ("a4", 24, "host-c"), ("a5", 48, "host-a"), ("a6", 49, "host-d"), ("a7", 71, "host-e"), ("a8", 72, "host-f")]
 
 
